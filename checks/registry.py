@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from checks import base
+    from checks import base, marts
 
-    return [base]
+    return [base, marts]
 
 
 def queries() -> dict[str, Query]:
