@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from checks import base, marts
+    from checks import base, marts, reads
 
-    return [base, marts]
+    return [base, marts, reads]
 
 
 def queries() -> dict[str, Query]:
