@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from checks import base, marts, reads
+    from checks import base, marts, reads, scores
 
-    return [base, marts, reads]
+    return [base, marts, reads, scores]
 
 
 def queries() -> dict[str, Query]:

@@ -12,7 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.operators.orders import customer_stats
+from patronage.functions import normalize_email, normalize_phone
+from patronage.operators.orders import customer_stats, order_index
 from patronage.session import configure, note_tenants
 
 EPOCH = "timestamp_ntz'1995-01-01 00:00:00'"
@@ -84,6 +85,14 @@ class Tables:
             "case when customer_id % 7 = 0 then null else concat('Last', customer_id) end as last_name",
         )
 
+    @cached_property
+    def clean_pii(self) -> DataFrame:
+        """Contact data as the mappers store it."""
+        return self.customer_pii.withColumns({
+            "primary_email": normalize_email(F.col("primary_email")),
+            "primary_phone": normalize_phone(F.col("primary_phone")),
+        })
+
     # ------------------------------------------------------------ orders and items
 
     @cached_property
@@ -120,6 +129,11 @@ class Tables:
             )
         )
 
+    @cached_property
+    def indexed_orders(self) -> DataFrame:
+        """Order headers with the stored index filled in."""
+        return order_index(self.order_headers)
+
     @cached_property
     def line_totals(self) -> DataFrame:
         return (
