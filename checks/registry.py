@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from checks import base, marts, reads, scores
+    from checks import base, marts, models, reads, scores
 
-    return [base, marts, reads, scores]
+    return [base, marts, reads, scores, models]
 
 
 def queries() -> dict[str, Query]:

@@ -13,8 +13,8 @@ from patronage.plans.marts import Marts
 RUN_AT = datetime(2001, 8, 12, 4, 0, 0)
 
 
-def _inputs(t):
-    return si.ScoreInputs(t, Marts(t), RUN_AT)
+def _inputs(t, reuse=False):
+    return si.ScoreInputs(t, Marts(t, reuse=reuse), RUN_AT)
 
 
 def _tenants(t):
@@ -314,13 +314,13 @@ QUERIES = {
     "monthly_run_streak": lambda t: si.monthly_run_streak(t.score_runs),
     **{f"{n}_inputs": (lambda n: lambda t: r6(getattr(_inputs(t), n)))(n) for n in COMPONENTS},
     **{f"score_{n}": _score(n) for n in COMPONENTS},
-    "score_composite": lambda t: scores.all_scores(_inputs(t).all(_tenants(t))).select(
+    "score_composite": lambda t: scores.all_scores(_inputs(t, reuse=True).all(_tenants(t))).select(
         "tenant_id", *_W, "composite", "coverage", F.array_join("missing", ",").alias("missing")),
     "score_runs_append": lambda t: scores.score_runs(
-        scores.all_scores(_inputs(t).all(_tenants(t))), "2001-08-12 04:00:00").select(
+        scores.all_scores(_inputs(t, reuse=True).all(_tenants(t))), "2001-08-12 04:00:00").select(
         "tenant_id", "score", "value", "computed_at", "definition_version",
         F.length("inputs_hash").alias("hash_length"), (F.length("components") > 2).alias("has_components")),
-    "score_components": lambda t: scores.score_components(scores.all_scores(_inputs(t).all(_tenants(t)))).select(
+    "score_components": lambda t: scores.score_components(scores.all_scores(_inputs(t, reuse=True).all(_tenants(t)))).select(
         "tenant_id", "score", "component", "weight", "sub_score"),
     "no_orders_defaults": lambda t: r6(_inputs(t).first_phase(_tenants(t))),
 }
