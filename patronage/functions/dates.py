@@ -40,7 +40,7 @@ def parse_time(text: Column) -> Column:
 
     Text without an offset is taken as UTC, so the session zone must be UTC.
     """
-    epoch = F.timestamp_seconds(text.cast("double"))
+    epoch = F.timestamp_seconds(text.try_cast("double"))
     iso = F.try_to_timestamp(text)
     parsed = F.when(text.rlike(r"^\s*-?\d+(\.\d+)?\s*$"), epoch).otherwise(iso)
     return F.when(F.length(text) > 0, parsed).cast("timestamp_ntz")
