@@ -8,13 +8,14 @@ import re
 def compose(sql: str, named: dict[str, str]) -> str:
     """Prefix `sql` with every named query it needs, dependencies first."""
     ordered: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for word in re.findall(r"\b[tv]_\w+\b", text):
-            if word in named and word not in ordered:
+            if word in named and word not in entered:  # a recursive query names itself
+                entered.add(word)
                 visit(named[word])
-                if word not in ordered:
-                    ordered.append(word)
+                ordered.append(word)
 
     visit(sql)
     if not ordered:

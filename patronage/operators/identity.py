@@ -65,7 +65,7 @@ def guest_order_keys(orders: DataFrame, raw: DataFrame) -> DataFrame:
     )
     first = lambda *cols: F.coalesce(*[F.when(c != "", c) for c in cols])
     p = F.col("p")
-    phone = normalize_phone(first(p["phone"], p["shipping_address.phone"], p["billing_address.phone"]))
+    phone = normalize_phone(first(p["phone"], p["shipping_address"]["phone"], p["billing_address"]["phone"]))
     email = normalize_email(first(p["email"], p["contact_email"]))
     pairs = F.array(
         F.struct(F.lit("phone").alias("identity_type"), phone.alias("value")),

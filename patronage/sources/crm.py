@@ -64,16 +64,16 @@ def profiles(raw: DataFrame, source: str, resource: str) -> DataFrame:
     """Profile behind each record: its id and the keys it can be found by."""
     p = F.col("p")
     rows = parsed(raw, source, resource, CONSENT if resource == "consent" else MESSAGE)
-    pid = F.coalesce(filled(p["profile.id"], p["profile_id"]), p["id"])
-    phone = normalize_phone(filled(p["profile.phone"], p["phone_number"]))
-    email = normalize_email(filled(p["profile.email"], p["email"]))
+    pid = F.coalesce(filled(p["profile"]["id"], p["profile_id"]), p["id"])
+    phone = normalize_phone(filled(p["profile"]["phone"], p["phone_number"]))
+    email = normalize_email(filled(p["profile"]["email"], p["email"]))
     seen = p["occurred_at"] if resource == "consent" else p["sent_at"]
     return rows.select(
         "tenant_id", "source", "external_id", "seq", pid.alias("profile_id"), parse_time(seen).alias("seen_at"),
         _candidates(("shopify_customer_id", p["external_id"]), ("phone", phone), ("email", email),
                     (PROFILE_KEY[source], pid)).alias("keys"),
         phone.alias("phone"), email.alias("email"),
-        filled(p["profile.id"], p["profile_id"]).isNotNull().alias("has_profile"),
+        filled(p["profile"]["id"], p["profile_id"]).isNotNull().alias("has_profile"),
     )
 
 
@@ -205,7 +205,7 @@ def map_messages(raw: DataFrame, source: str, links: DataFrame, campaigns: DataF
     time = lambda *c: parse_time(filled(*c))
     rows = latest(parsed(raw, source, "messages", MESSAGE)).select(
         *KEY, p["campaign_id"].alias("campaign_ext"),
-        (F.lit(whatsapp) | filled(p["profile.id"], p["profile_id"]).isNotNull()).alias("linkable"),
+        (F.lit(whatsapp) | filled(p["profile"]["id"], p["profile_id"]).isNotNull()).alias("linkable"),
         F.coalesce(p["channel"], F.lit(CHANNEL[source])).alias("channel"),
         time(p["sent_at"]).alias("sent_at"), time(p["delivered_at"]).alias("delivered_at"),
         (time(p["read_at"], p["opened_at"]) if whatsapp else time(p["opened_at"])).alias("opened_at"),
@@ -251,7 +251,7 @@ def map_tickets(
     p = F.col("p")
     rows = latest(parsed(raw, "gorgias", "tickets", TICKET)).select(
         *KEY, p["order_external_id"].alias("order_ext"),
-        _candidates(("shopify_customer_id", p["customer.external_id"]), ("phone", normalize_phone(p["phone"])),
+        _candidates(("shopify_customer_id", p["customer"]["external_id"]), ("phone", normalize_phone(p["phone"])),
                     ("email", normalize_email(p["email"]))).alias("keys"),
         F.coalesce(p["channel"], F.lit("email")).alias("channel"), p["subject"].alias("subject"),
         p["category"].alias("category"), F.coalesce(p["status"], F.lit("open")).alias("status"),
@@ -270,8 +270,8 @@ def map_reviews(
     p = F.col("p")
     rows = latest(parsed(raw, "judgeme", "reviews", REVIEW)).select(
         *KEY, p["order_external_id"].alias("order_ext"), p["product_external_id"].alias("product_ext"),
-        _candidates(("shopify_customer_id", p["reviewer.external_id"]), ("phone", normalize_phone(p["reviewer.phone"])),
-                    ("email", normalize_email(p["reviewer.email"]))).alias("keys"),
+        _candidates(("shopify_customer_id", p["reviewer"]["external_id"]), ("phone", normalize_phone(p["reviewer"]["phone"])),
+                    ("email", normalize_email(p["reviewer"]["email"]))).alias("keys"),
         F.coalesce(p["rating"].try_cast("int"), F.lit(0)).alias("rating"), p["title"].alias("title"), p["body"].alias("body"),
         F.coalesce(F.lower(p["verified"]).isin("true", "buyer"), F.lit(True)).alias("verified"),
         parse_time(filled(p["submitted_at"], p["created_at"])).alias("submitted_at"),

@@ -193,10 +193,10 @@ def map_orders(raw: DataFrame, customers: DataFrame) -> DataFrame:
     names = F.when(F.size(p["payment_gateway_names"]) > 0, F.get(p["payment_gateway_names"], F.lit(0)))
     shipping = F.coalesce(
         p["shipping_paise"].cast("long"),
-        to_paise(filled(p["total_shipping_price"], p["total_shipping_price_set.shop_money.amount"])),
+        to_paise(filled(p["total_shipping_price"], p["total_shipping_price_set"]["shop_money"]["amount"])),
     )
     rows = latest(parsed(raw, "shopify", "orders", ORDER)).select(
-        *KEY, p["customer.id"].alias("customer_external_id"),
+        *KEY, p["customer"]["id"].alias("customer_external_id"),
         F.coalesce(filled(p["name"], p["order_number"]), F.lit("")).alias("order_number"),
         parse_time(p["created_at"]).alias("placed_at"), parse_time(p["cancelled_at"]).alias("cancelled_at"),
         parse_time(F.get(p["fulfillments"], F.lit(0))["created_at"]).alias("fulfilled_at"),
@@ -286,7 +286,7 @@ def map_payments(raw: DataFrame, orders: DataFrame) -> DataFrame:
     """Payments; one whose order is unknown stays without."""
     p = F.col("p")
     rows = latest(parsed(raw, "razorpay", "payments", PAYMENT)).select(
-        *KEY, F.coalesce(filled(p["order_external_id"]), p["notes.shopify_order_id"]).alias("order_ext"),
+        *KEY, F.coalesce(filled(p["order_external_id"]), p["notes"]["shopify_order_id"]).alias("order_ext"),
         F.coalesce(p["method"], F.lit("upi")).alias("method"), F.lit("razorpay").alias("gateway"),
         F.coalesce(p["status"], F.lit("created")).alias("status"),
         F.coalesce(p["amount_paise"], p["amount"], F.lit("0")).cast("long").alias("amount_paise"),
