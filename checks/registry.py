@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from checks import base, ingest, marts, models, reads, scores
+    from checks import base, events, identity, ingest, marts, models, reads, scores
 
-    return [base, ingest, marts, reads, scores, models]
+    return [base, ingest, identity, events, marts, reads, scores, models]
 
 
 def queries() -> dict[str, Query]:
