@@ -114,6 +114,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     checkpointed; the loop ends when a round changes nothing.
     """
     now = settle(edges.select(TENANT, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(TENANT, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(TENANT, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -131,9 +132,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         after = settle(small)
         # Same count and same two hash sums: the links are the same.
-        if _mark(after) == _mark(now):
-            break
+        was, mark = mark, _mark(after)
         now = after
+        if mark == was:
+            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.groupBy(TENANT, "v").agg(F.lit(1)).select(TENANT, F.col("v").alias("node"), F.col("v").alias("component"))

@@ -93,15 +93,6 @@ def customer_stats(orders: DataFrame) -> DataFrame:
     )
 
 
-def first_orders(valid: DataFrame) -> DataFrame:
-    """First valid order time of each known customer."""
-    return (
-        valid.where(F.col("customer_id").isNotNull())
-        .groupBy(*CUSTOMER)
-        .agg(F.min("placed_at").alias("first_at"))
-    )
-
-
 def share(part: Column, whole: Column) -> Column:
     """part / whole as a double, 0 when the whole is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole.cast("double"))

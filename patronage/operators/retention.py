@@ -6,49 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions import day_gap, lifecycle_at_month_end, month_gap, month_of
-from patronage.operators.orders import CUSTOMER, first_orders
+from patronage.operators.orders import CUSTOMER
 from patronage.session import per_tenant
 
 ONE_MONTH = F.expr("INTERVAL 1 MONTH")
 
 
 def customer_months(valid: DataFrame) -> DataFrame:
-    """Orders, revenue and last order per customer and month; known customers only."""
-    return (
-        valid.where(F.col("customer_id").isNotNull())
-        .groupBy(*CUSTOMER, month_of("placed_at").alias("month"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("total_paise").alias("revenue"),
-            F.max("placed_at").alias("last_at"),
-        )
+    """Orders and revenue per customer and month, with the customer's first month.
+
+    Guests come as customer null, one row per tenant and month, born null. The
+    window sees customer-months, so at most one row per month of history.
+    """
+    months = valid.groupBy(*CUSTOMER, month_of("placed_at").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("total_paise").alias("revenue"),
+        F.sum(F.when(F.col("oi") > 1, F.col("total_paise")).otherwise(0)).alias("repeat"),
+        F.sum("discount_paise").alias("discount"),
     )
+    born = F.min("month").over(Window.partitionBy(*CUSTOMER))
+    return months.withColumn("born", F.when(F.col("customer_id").isNotNull(), born))
 
 
 def cohort_retention(valid: DataFrame) -> DataFrame:
     """Cohort month by months since: who came back, and what repeats brought in.
 
     Only cells with an order exist. Orders collapse to customer-months first, so
-    distinct customers are plain row counts.
+    distinct customers are plain row counts, and a cohort's size is its month-0
+    cell: everybody orders in the month they are born in.
     """
-    known = valid.where(F.col("customer_id").isNotNull())
-    months = known.groupBy(*CUSTOMER, month_of("placed_at").alias("month")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("oi") > 1, F.col("total_paise")).otherwise(0)).alias("repeat"),
-    )
-    born = months.groupBy(*CUSTOMER).agg(F.min("month").alias("cohort_month"))
-    sizes = born.groupBy("tenant_id", "cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
     cells = (
-        months.join(born, CUSTOMER)
-        .groupBy("tenant_id", "cohort_month",
-                 month_gap(F.col("cohort_month"), F.col("month")).alias("months_since"))
+        customer_months(valid).where(F.col("customer_id").isNotNull())
+        .groupBy("tenant_id", F.col("born").alias("cohort_month"),
+                 month_gap(F.col("born"), F.col("month")).alias("months_since"))
         .agg(
             F.count(F.lit(1)).alias("active_customers"),
             F.sum("n").alias("n"),
             F.sum("repeat").alias("repeat_revenue_paise"),
         )
     )
-    return cells.join(sizes, ["tenant_id", "cohort_month"]).select(
+    first = F.when(F.col("months_since") == 0, F.col("active_customers"))
+    size = F.max(first).over(Window.partitionBy("tenant_id", "cohort_month"))
+    return cells.withColumn("cohort_size", size).select(
         "tenant_id",
         "cohort_month",
         "months_since",
@@ -75,29 +74,24 @@ def retention_facts(
     """Every customer and month from acquisition to the tenant's newest month.
 
     Monthly and cumulative orders and revenue, the stage at month end, returns
-    and refunds. Orders are collapsed to customer-months before the window, so a
-    window holds at most one row per month, whatever the customer ordered.
-    A refund without a customer is left out unless `refund_fallback` lets it
-    take its order's.
+    and refunds. Orders, returns and refunds collapse together to months in
+    which something happened; running totals are taken over those, and each is
+    then stretched to the month before the next, so the long spine is neither
+    joined nor sorted. A refund without a customer is left out unless
+    `refund_fallback` lets it take its order's.
     """
-    valid = orders.where(F.col("cancelled_at").isNull())
-    om = customer_months(valid)
-    newest = om.groupBy("tenant_id").agg(F.max("month").alias("max_month"))
-    spine = (
-        om.groupBy(*CUSTOMER).agg(F.min("month").alias("acquisition_month"))
-        .join(per_tenant(newest), "tenant_id")
-        .select(
-            *CUSTOMER,
-            "acquisition_month",
-            F.explode(F.sequence("acquisition_month", "max_month", ONE_MONTH)).alias("month"),
-        )
-    )
     owner = orders.select("tenant_id", "order_id", "customer_id", "placed_at")
-    rto = (
+    known = orders.where(F.col("cancelled_at").isNull() & F.col("customer_id").isNotNull())
+    newest = known.groupBy("tenant_id").agg(F.trunc(F.to_date(F.max("placed_at")), "MM").alias("max_month"))
+    sold = known.select(
+        *CUSTOMER, month_of("placed_at").alias("month"), F.lit(1).alias("n"), F.col("total_paise").alias("revenue"),
+        "placed_at",
+    )
+    returned = (
         rto_orders(shipments)
         .join(owner.where(F.col("customer_id").isNotNull()), ["tenant_id", "order_id"])
-        .groupBy(*CUSTOMER, month_of(F.coalesce("rto_at", "shipped_at", "placed_at")).alias("month"))
-        .agg(F.count(F.lit(1)).alias("rto_n"))
+        .select(*CUSTOMER, month_of(F.coalesce("rto_at", "shipped_at", "placed_at")).alias("month"),
+                F.lit(1).alias("rto_n"))
     )
     if refund_fallback:
         refunds = (
@@ -105,56 +99,44 @@ def retention_facts(
             .join(owner.select("tenant_id", "order_id", "customer_id"), ["tenant_id", "order_id"], "left")
             .withColumn("customer_id", F.coalesce("stated", "customer_id"))
         )
-    refunded = (
-        refunds.where(F.col("customer_id").isNotNull())
-        .groupBy(*CUSTOMER, month_of("processed_at").alias("month"))
-        .agg(F.sum("amount_paise").alias("refund_amt"))
+    paid_back = refunds.where(F.col("customer_id").isNotNull()).select(
+        *CUSTOMER, month_of("processed_at").alias("month"), F.col("amount_paise").alias("refund_amt")
+    )
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    busy = (
+        sold.unionByName(returned, allowMissingColumns=True).unionByName(paid_back, allowMissingColumns=True)
+        .groupBy(*CUSTOMER, "month")
+        .agg(zero("n"), zero("revenue"), F.max("placed_at").alias("last_at"), zero("rto_n"), zero("refund_amt"))
     )
-    at = [*CUSTOMER, "month"]
-    so_far = (
-        Window.partitionBy(*CUSTOMER).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*CUSTOMER).orderBy("month")
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = busy.select(
+        "*",
+        F.sum("n").over(so_far).alias("cum_n"),
+        F.sum("revenue").over(so_far).alias("cum_revenue"),
+        F.max("last_at").over(so_far).alias("last_order_at"),
+        F.min(F.when(F.col("n") > 0, F.col("month"))).over(so_far).alias("acquisition_month"),
+        F.lead("month").over(line).alias("next_month"),
     )
+    last = F.least(F.add_months("next_month", -1), F.col("max_month"))
     history = (
-        spine.join(om, at, "left").join(rto, at, "left").join(refunded, at, "left")
-        .select(
-            *at,
-            "acquisition_month",
-            F.coalesce("n", F.lit(0)).alias("n"),
-            F.coalesce("revenue", F.lit(0)).alias("revenue"),
-            F.coalesce("rto_n", F.lit(0)).alias("rto_n"),
-            F.coalesce("refund_amt", F.lit(0)).alias("refund_amt"),
-            F.sum(F.coalesce("n", F.lit(0))).over(so_far).alias("cum_n"),
-            F.sum(F.coalesce("revenue", F.lit(0))).over(so_far).alias("cum_revenue"),
-            F.max("last_at").over(so_far).alias("last_order_at"),
-        )
-        .withColumn("days", day_gap(F.col("last_order_at"), F.last_day("month")))
+        running.where("cum_n > 0").join(per_tenant(newest), "tenant_id").where("month <= max_month")
+        .select("*", F.posexplode(F.sequence("month", last, ONE_MONTH)).alias("ahead", "at_month"))
+        .withColumn("days", day_gap(F.col("last_order_at"), F.last_day("at_month")))
     )
+    own = lambda c: F.when(F.col("ahead") == 0, F.col(c)).otherwise(0)
     return history.select(
         "tenant_id",
         "customer_id",
-        "month",
-        F.col("n").cast("int").alias("orders_in_month"),
-        F.col("revenue").alias("revenue_in_month_paise"),
+        F.col("at_month").alias("month"),
+        own("n").cast("int").alias("orders_in_month"),
+        own("revenue").alias("revenue_in_month_paise"),
         F.col("cum_n").cast("int").alias("cumulative_orders"),
         F.col("cum_revenue").alias("cumulative_revenue_paise"),
         lifecycle_at_month_end(F.col("cum_n"), F.col("days")).alias("lifecycle_stage"),
         F.col("days").alias("days_since_last_order"),
-        (F.col("n") > 0).alias("is_active"),
-        F.col("rto_n").cast("int").alias("rto_orders_in_month"),
-        F.col("refund_amt").alias("refund_paise_in_month"),
+        (own("n") > 0).alias("is_active"),
+        own("rto_n").cast("int").alias("rto_orders_in_month"),
+        own("refund_amt").alias("refund_paise_in_month"),
         "acquisition_month",
     )
-
-
-def monthly_customers(valid: DataFrame) -> DataFrame:
-    """New and returning customers per tenant and month."""
-    months = customer_months(valid).select(*CUSTOMER, "month")
-    born = first_orders(valid).select(*CUSTOMER, month_of("first_at").alias("born"))
-    return (
-        months.join(born, CUSTOMER)
-        .groupBy("tenant_id", "month")
-        .agg(
-            F.count(F.when(F.col("born") == F.col("month"), 1)).alias("new_customers"),
-            F.count(F.when(F.col("born") < F.col("month"), 1)).alias("returning_customers"),
-        )
-    )

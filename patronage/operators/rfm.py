@@ -13,35 +13,43 @@ from patronage.operators.scale import ranked_values
 from patronage.session import per_tenant
 
 
-def quintile_cuts(df: DataFrame, value: str, descending: bool, name: str) -> DataFrame:
-    """Per tenant, the outermost value that still reaches quintile 2, 3, 4 and 5.
+MEASURES = ("r", "f", "m")
 
-    A quintile is 1 + floor(5 * percent rank), at most 5, where the percent rank
-    counts the strictly better-placed rows, so equal values share a quintile.
+
+def quintile_cuts(base: DataFrame) -> DataFrame:
+    """Per tenant and measure, the lowest value that reaches quintile 2, 3, 4 and 5.
+
+    A quintile is 1 + floor(5 * percent rank), at most 5; the percent rank counts
+    strictly lower values, so equal values share a quintile. Recency counts
+    backwards, so that more is better for all three measures. Columns `r2`..`m5`.
     """
-    before = F.col("total") - F.col("upto") if descending else F.col("below")
+    listed = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("value")) for m in MEASURES])
+    values = base.select("tenant_id", F.explode(listed).alias("v")).select("tenant_id", "v.*")
     q = F.when(F.col("total") == 1, F.lit(1)).otherwise(
-        F.least(F.lit(5), 1 + F.floor(5 * before / (F.col("total") - 1)))
+        F.least(F.lit(5), 1 + F.floor(5 * F.col("below") / (F.col("total") - 1)))
     )
-    edge = F.max if descending else F.min
     return (
-        ranked_values(df, ["tenant_id"], value)
+        ranked_values(values, ["tenant_id", "measure"], "value")
         .withColumn("q", q)
         .groupBy("tenant_id")
-        .agg(*[edge(F.when(F.col("q") >= k, F.col(value))).alias(f"{name}{k}") for k in (2, 3, 4, 5)])
+        .agg(*[
+            F.min(F.when((F.col("measure") == m) & (F.col("q") >= k), F.col("value"))).alias(f"{m}{k}")
+            for m in MEASURES for k in (2, 3, 4, 5)
+        ])
     )
 
 
-def _quintile(value: Column, name: str, descending: bool) -> Column:
-    def reached(k: int) -> Column:
-        cut = F.col(f"{name}{k}")
-        return F.coalesce((value <= cut if descending else value >= cut).cast("int"), F.lit(0))
-
-    return reduce(lambda a, b: a + b, (reached(k) for k in (2, 3, 4, 5)), F.lit(1)).cast("int")
+def _quintile(measure: str) -> Column:
+    reached = [F.coalesce((F.col(measure) >= F.col(f"{measure}{k}")).cast("int"), F.lit(0)) for k in (2, 3, 4, 5)]
+    return reduce(lambda a, b: a + b, reached, F.lit(1)).cast("int")
 
 
 def rfm_scored(orders: DataFrame) -> DataFrame:
-    """Customer grain: recency days, frequency, monetary value and their quintiles."""
+    """Customer grain: recency days, frequency, monetary value and their quintiles.
+
+    Ranking needs four cut values per tenant and measure and nothing else, so
+    customers are never sorted and never joined to their ranks.
+    """
     valid = orders.where(F.col("cancelled_at").isNull())
     clock = valid.groupBy("tenant_id").agg(F.to_date(F.max("placed_at")).alias("as_of"))
     base = (
@@ -49,23 +57,16 @@ def rfm_scored(orders: DataFrame) -> DataFrame:
         .groupBy(*CUSTOMER)
         .agg(
             F.max("placed_at").alias("last_at"),
-            F.count(F.lit(1)).cast("int").alias("frequency"),
-            F.sum("total_paise").alias("monetary_paise"),
+            F.count(F.lit(1)).cast("int").alias("f"),
+            F.sum("total_paise").alias("m"),
         )
         .join(per_tenant(clock), "tenant_id")
         .withColumn("recency_days", day_gap(F.col("last_at"), F.col("as_of")))
-        .drop("last_at")
+        .withColumn("r", -F.col("recency_days"))
     )
-    scored = base
-    for value, name, descending in (
-        ("recency_days", "r", True), ("frequency", "f", False), ("monetary_paise", "m", False),
-    ):
-        scored = scored.join(per_tenant(quintile_cuts(base, value, descending, name)), "tenant_id")
-    return scored.select(
-        *base.columns,
-        _quintile(F.col("recency_days"), "r", True).alias("r_quintile"),
-        _quintile(F.col("frequency"), "f", False).alias("f_quintile"),
-        _quintile(F.col("monetary_paise"), "m", False).alias("m_quintile"),
+    return base.join(per_tenant(quintile_cuts(base)), "tenant_id").select(
+        *CUSTOMER, "recency_days", F.col("f").alias("frequency"), F.col("m").alias("monetary_paise"), "as_of",
+        *[_quintile(m).alias(f"{m}_quintile") for m in MEASURES],
     )
 
 

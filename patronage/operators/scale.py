@@ -20,10 +20,20 @@ def hot_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys above the hot limit; at most rows / limit of them."""
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys above the hot limit, at most rows / limit of them; None when there are none.
+
+    Looks at the key columns alone: first the row count, then counts per key
+    where the rows are many enough for a hot key to exist.
+    """
     limit = hot_limit(df)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).drop("__n")
+    narrow = df.select(*keys)
+    if narrow.count() <= limit:
+        return None
+    hot = (
+        narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).drop("__n")
+    )
+    return None if hot.isEmpty() else hot
 
 
 def running(
@@ -42,8 +52,25 @@ def running(
     hot-key list is broadcast: it has at most rows / limit entries.
     """
     sums, peaks = sums or {}, peaks or {}
-    hot = F.broadcast(hot_keys(df, keys).withColumn("__hot", F.lit(True)))
-    split = df.join(hot, keys, "left").withColumn("__bucket", F.when(F.col("__hot"), bucket))
+    hot = hot_keys(df, keys)
+    if hot is None:
+        whole = (
+            Window.partitionBy(*keys).orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return df.select(
+            "*",
+            *[F.sum(c).over(whole).alias(n) for n, c in sums.items()],
+            *[F.max(c).over(whole).alias(n) for n, c in peaks.items()],
+        )
+    return _split_running(df, keys, bucket, order, sums, peaks, hot)
+
+
+def _split_running(
+    df: DataFrame, keys: list[str], bucket: Column, order: list, sums: dict, peaks: dict, hot: DataFrame
+) -> DataFrame:
+    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    split = df.join(marked, keys, "left").withColumn("__bucket", F.when(F.col("__hot"), bucket))
     for name, col in {**sums, **peaks}.items():
         split = split.withColumn(f"__in_{name}", col)
 
@@ -88,6 +115,17 @@ def running(
     )
 
 
+def beside(keys: list[str], *parts: DataFrame) -> DataFrame:
+    """One row per key with the columns of all parts, each of which has at most one row per key.
+
+    Same result as a chain of full joins on small aggregates, in one shuffle.
+    """
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.groupBy(*keys).agg(*[F.max(c).alias(c) for c in out.columns if c not in keys])
+
+
 def _value_bin(value: Column) -> Column:
     """64 bins per doubling: monotone, and even for money, counts and days."""
     v = value.cast("double")

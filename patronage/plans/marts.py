@@ -11,9 +11,9 @@ from patronage.functions import day_gap, month_of, seconds_between
 from patronage.operators.attribution import last_click
 from patronage.operators.leaks import leak_facts
 from patronage.operators.orders import share, valid_orders
-from patronage.operators.retention import cohort_retention, monthly_customers, retention_facts, rto_orders
+from patronage.operators.retention import cohort_retention, customer_months, retention_facts, rto_orders
 from patronage.operators.rfm import rfm_current
-from patronage.operators.scale import median_of
+from patronage.operators.scale import beside, median_of
 from patronage.session import per_tenant, settle
 
 MONTH = ["tenant_id", "month"]
@@ -37,14 +37,13 @@ def _zero(name: str, kind: str = "int") -> Column:
 
 def executive_kpis(valid: DataFrame, refunds: DataFrame, leaks: DataFrame) -> DataFrame:
     """Revenue, repeat share, customers and losses of every month with a valid order."""
-    month = (
-        valid.groupBy("tenant_id", month_of("placed_at").alias("month"))
-        .agg(
-            F.sum("total_paise").alias("total_revenue_paise"),
-            F.sum(F.when(F.col("oi") > 1, F.col("total_paise")).otherwise(0)).alias("repeat_revenue_paise"),
-            F.count(F.lit(1)).alias("n"),
-            F.sum("discount_paise").alias("discount_paise"),
-        )
+    month = customer_months(valid).groupBy(*MONTH).agg(
+        F.sum("revenue").alias("total_revenue_paise"),
+        F.sum("repeat").alias("repeat_revenue_paise"),
+        F.sum("n").alias("n"),
+        F.sum("discount").alias("discount_paise"),
+        F.count_if(F.coalesce(F.col("born") == F.col("month"), F.lit(False))).alias("new_customers"),
+        F.count_if(F.coalesce(F.col("born") < F.col("month"), F.lit(False))).alias("returning_customers"),
     )
     refunded = refunds.groupBy("tenant_id", month_of("processed_at").alias("month")).agg(
         F.sum("amount_paise").alias("refund_loss_paise")
@@ -59,9 +58,7 @@ def executive_kpis(valid: DataFrame, refunds: DataFrame, leaks: DataFrame) -> Da
         F.sum("amount_paise").alias("leak_total_paise"),
     )
     return (
-        month.join(monthly_customers(valid), MONTH, "left")
-        .join(refunded, MONTH, "left")
-        .join(lost, MONTH, "left")
+        beside(MONTH, month, refunded, lost).where(F.col("n").isNotNull())
         .select(
             "tenant_id", "month", "total_revenue_paise", "repeat_revenue_paise",
             share(F.col("repeat_revenue_paise"), F.col("total_revenue_paise")).alias("repeat_rate"),
@@ -224,9 +221,7 @@ def cx_facts(
     asked = nps.groupBy("tenant_id", month_of("responded_at").alias("month")).agg(
         F.count(F.lit(1)).alias("nps_responses"), nps_score(F.col("score")).alias("nps")
     )
-    out = delivered
-    for part in (returned, placed, opened, quality, speed, rated, asked):
-        out = out.join(part, MONTH, "full")
+    out = beside(MONTH, delivered, returned, placed, opened, quality, speed, rated, asked)
     ends = F.coalesce("orders_delivered", F.lit(0)) + F.coalesce("rto_orders", F.lit(0))
     return out.where(F.col("month").isNotNull()).select(
         *MONTH, _zero("orders_delivered"), "median_delivery_days", _zero("rto_orders"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions import month_of, score_band
 from patronage.operators.orders import CUSTOMER, share
-from patronage.operators.scale import ranked_values, value_at
+from patronage.operators.scale import beside, ranked_values, value_at
 from patronage.plans.marts import MOMENTS
 from patronage.session import per_tenant
 
@@ -160,9 +160,8 @@ def overview_kpis(
         latest_runs(runs).groupBy("tenant_id").pivot("score", [*SCORE_NAMES, COMPOSITE]).agg(F.max("value"))
     )
     scores = scores.select("tenant_id", *[F.col(n).alias(f"score_{n}") for n in (*SCORE_NAMES, COMPOSITE)])
-    out = tenants.select("tenant_id")
-    for part in (clock.select("tenant_id", "as_of"), year, newest, people, lost, scores):
-        out = out.join(part, "tenant_id", "left")
+    here = tenants.select("tenant_id", F.lit(True).alias("here"))
+    out = beside(["tenant_id"], here, clock.select("tenant_id", "as_of"), year, newest, people, lost, scores).where("here")
     number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(
         "tenant_id", "as_of", F.lit(WINDOW_MONTHS).alias("window_months"),

@@ -17,6 +17,7 @@ from patronage.functions import day_gap, month_gap, month_of
 from patronage.operators.attribution import latest_before
 from patronage.operators.leaks import SETTLED
 from patronage.operators.orders import CUSTOMER, data_clock
+from patronage.operators.scale import beside
 from patronage.session import per_tenant
 
 TENANT = "tenant_id"
@@ -235,12 +236,10 @@ def vitals_inputs(
     )
     people = dim.groupBy(TENANT).agg(_rate(F.col("whatsapp_opted_in")).alias("whatsapp_optin_share"))
     total = messages.groupBy(TENANT).agg(F.count(F.lit(1)).alias("total_sends"))
-    out = people
-    for part in (
-        rates, consent_backed_share(dim, consent), sends_after_revoke(messages, consent), total,
+    out = beside(
+        [TENANT], people, rates, consent_backed_share(dim, consent), sends_after_revoke(messages, consent), total,
         flow_activity(campaigns, messages),
-    ):
-        out = out.join(part, TENANT, "full")
+    )
     return out.na.fill(0, ["sends_after_revoke", "total_sends", "flows_total", "flows_active_60d"]).na.fill(
         0.0, ["whatsapp_optin_share"]
     )
@@ -350,13 +349,11 @@ def altitude_inputs(
             F.avg(F.when(ended, F.when(told, 1.0).otherwise(0.0))).alias("decided_share"),
         )
     )
-    out = data_clock(orders).select(TENANT)
-    for part in (
-        scored, built, monthly_run_streak(runs), tried,
+    out = _beside(
+        data_clock(orders).select(TENANT), scored, built, monthly_run_streak(runs), tried,
         velocity.select(TENANT, F.col("starts_6mo").alias("cadence_starts_6mo")),
         vitals.select(TENANT, "flows_total", "flows_active_60d"),
-    ):
-        out = out.join(part, TENANT, "left")
+    )
     counts = ["predictions_rows", "concluded_6mo", "winners_shipped", "monthly_run_streak", "cadence_starts_6mo",
               "flows_total", "flows_active_60d"]
     return (
@@ -396,9 +393,9 @@ def with_defaults(tenants: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def _beside(first: DataFrame, *parts: DataFrame) -> DataFrame:
-    for part in parts:
-        first = first.join(part, TENANT, "left")
-    return first
+    """The tenants of `first` with the columns of all parts."""
+    here = first.withColumn("__here", F.lit(True))
+    return beside([TENANT], here, *parts).where("__here").drop("__here")
 
 
 class ScoreInputs:
