@@ -166,12 +166,13 @@ SQL = {
         FROM t_customers p LEFT JOIN v_chosen c ON c.customer_id = p.customer_id GROUP BY ALL""",
     "attach_guest_orders": "SELECT * FROM v_attached",
     "resolve_report": """
-        SELECT t.tenant_id, people AS customers_before, people - merges AS customers_after, merges, orders_attached,
+        SELECT tenant_id, people AS customers_before, people - merges AS customers_after, merges, orders_attached,
                guests - orders_attached AS unresolved_orders, round(1 - (guests - orders_attached) / n, 6) AS match_rate
-        FROM t_tenants t JOIN (SELECT tenant_id, count(*) AS people FROM t_customers GROUP BY ALL) p ON p.tenant_id = t.tenant_id
-        JOIN (SELECT tenant_id, count(*) AS merges FROM v_edges GROUP BY ALL) e ON e.tenant_id = t.tenant_id
-        JOIN (SELECT tenant_id, count(*) AS orders_attached FROM v_attached GROUP BY ALL) a ON a.tenant_id = t.tenant_id
-        JOIN (SELECT tenant_id, count(*) AS n, count(*) FILTER (customer_id IS NULL) AS guests FROM t_heads GROUP BY ALL) o ON o.tenant_id = t.tenant_id""",
+        FROM (SELECT t.tenant_id, (SELECT count(*) FROM t_customers x WHERE x.tenant_id = t.tenant_id) AS people,
+                     (SELECT count(*) FROM v_edges x WHERE x.tenant_id = t.tenant_id) AS merges,
+                     (SELECT count(*) FROM v_attached x WHERE x.tenant_id = t.tenant_id) AS orders_attached,
+                     (SELECT count(*) FROM t_heads x WHERE x.tenant_id = t.tenant_id) AS n,
+                     (SELECT count(*) FROM t_heads x WHERE x.tenant_id = t.tenant_id AND customer_id IS NULL) AS guests FROM t_tenants t)""",
     "resolve": """
         SELECT h.tenant_id, h.order_id, coalesce(c.survivor_id, h.customer_id, a.customer_id) AS customer_id
         FROM t_heads h LEFT JOIN v_chosen c ON c.customer_id = h.customer_id LEFT JOIN v_attached a ON a.order_id = h.order_id""",

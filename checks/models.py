@@ -10,15 +10,18 @@ from patronage.sources import sinks
 
 R, ALPHA, A, B = 0.55, 10.0, 0.8, 2.4
 P, Q, V = 5.0, 3.5, 4e7
-FIXED = [F.lit(v) for v in (R, ALPHA, A, B)]
-ROW = [F.col(c) for c in ("x", "t_x", "age")]
+
+
+def _args():
+    """History columns and the fixed parameters."""
+    return [F.col(c) for c in ("x", "t_x", "age")] + [F.lit(v) for v in (R, ALPHA, A, B)]
 
 
 def _expected(t):
     s = lifetime.bgnbd_summary(t.order_headers)
     return s.withColumns({
-        "expected_orders_90d": lifetime.expected_orders(*ROW, *FIXED, 90 / 7),
-        "expected_12m": lifetime.expected_orders(*ROW, *FIXED, 365 / 7),
+        "expected_orders_90d": lifetime.expected_orders(*_args(), 90 / 7),
+        "expected_12m": lifetime.expected_orders(*_args(), 365 / 7),
     })
 
 
@@ -78,7 +81,7 @@ QUERIES = {
     "bgnbd_summary": lambda t: r6(lifetime.bgnbd_summary(t.order_headers)),
     "bgnbd_fit": lambda t: lifetime.fit_bgnbd(lifetime.bgnbd_summary(t.order_headers)),
     "bgnbd_p_alive": lambda t: r6(lifetime.bgnbd_summary(t.order_headers).select(
-        "tenant_id", "customer_id", lifetime.p_alive(*ROW, *FIXED).alias("p_alive"))),
+        "tenant_id", "customer_id", lifetime.p_alive(*_args()).alias("p_alive"))),
     "bgnbd_expected_orders": lambda t: r6(_expected(t).select(
         "tenant_id", "customer_id", "expected_orders_90d", "expected_12m")),
     "gamma_gamma_fit": lambda t: lifetime.fit_gamma_gamma(lifetime.bgnbd_summary(t.order_headers)),
@@ -88,7 +91,7 @@ QUERIES = {
     "ltv_12m": _ltv,
     "independence_check": lambda t: r6(lifetime.independence(lifetime.bgnbd_summary(t.order_headers))),
     "churn_bands": lambda t: lifetime.bgnbd_summary(t.order_headers).groupBy(
-        "tenant_id", churn_band(lifetime.p_alive(*ROW, *FIXED)).alias("churn_band")).agg(F.count(F.lit(1)).alias("customers")),
+        "tenant_id", churn_band(lifetime.p_alive(*_args())).alias("churn_band")).agg(F.count(F.lit(1)).alias("customers")),
     "churn_features": lambda t: r6(_features(t)),
     "churn_labels": lambda t: churn.churn_labels(churn.cutoffs(t.order_headers, 1), t.order_headers),
     "churn_shadow_model": lambda t: churn.churn_shadow(t),

@@ -60,8 +60,10 @@ GUEST = (
 def guest_order_keys(orders: DataFrame, raw: DataFrame) -> DataFrame:
     """Contact keys of orders without a customer, read from their landed payloads."""
     guests = orders.where(F.col("customer_id").isNull()).select(TENANT, "source", "external_id", "order_id")
-    payloads = raw.where(F.col("resource") == "orders").select(
-        TENANT, "source", "external_id", F.from_json("payload", GUEST).alias("p")
+    payloads = raw.where(F.col("resource") == "orders").select(TENANT, "source", "external_id", "payload")
+    # Join first: only guests' payloads are worth parsing.
+    found = guests.join(payloads, [TENANT, "source", "external_id"]).select(
+        TENANT, "order_id", F.from_json("payload", GUEST).alias("p")
     )
     first = lambda *cols: F.coalesce(*[F.when(c != "", c) for c in cols])
     p = F.col("p")
@@ -72,8 +74,7 @@ def guest_order_keys(orders: DataFrame, raw: DataFrame) -> DataFrame:
         F.struct(F.lit("email").alias("identity_type"), email.alias("value")),
     )
     return (
-        guests.join(payloads, [TENANT, "source", "external_id"])
-        .select(TENANT, "order_id", F.explode(pairs).alias("k")).select(TENANT, "order_id", "k.*")
+        found.select(TENANT, "order_id", F.explode(pairs).alias("k")).select(TENANT, "order_id", "k.*")
         .where(F.col("value").isNotNull())
     )
 

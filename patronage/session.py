@@ -36,6 +36,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "patronage")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Small local inputs: keep all cores busy instead of one large partition.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
