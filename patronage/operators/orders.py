@@ -12,15 +12,20 @@ from patronage.session import per_tenant
 CUSTOMER = ["tenant_id", "customer_id"]
 
 
-def _numbered(valid: DataFrame) -> DataFrame:
-    """Position of each valid order in its customer's history."""
+def _numbered(orders: DataFrame, counted: Column) -> DataFrame:
+    """Add `nth`, a counted order's place in its customer's history.
+
+    Every order that is not counted is a group of its own, so guests neither
+    need a pass of their own nor meet in one huge group.
+    """
+    alone = orders.withColumn("__alone", F.when(~counted, F.col("order_id")))
     return running(
-        valid,
-        CUSTOMER,
+        alone,
+        [*CUSTOMER, "__alone"],
         F.date_trunc("hour", F.col("placed_at")),
         ["placed_at", "order_id"],
         sums={"nth": F.lit(1)},
-    )
+    ).drop("__alone")
 
 
 def valid_orders(orders: DataFrame, indexed: bool = False) -> DataFrame:
@@ -36,10 +41,8 @@ def valid_orders(orders: DataFrame, indexed: bool = False) -> DataFrame:
             "oi", F.when(F.col("customer_id").isNull(), F.coalesce("customer_order_index", F.lit(1)))
             .otherwise(F.col("customer_order_index")).cast("int")
         ).drop("customer_order_index")
-    guests = valid.where(F.col("customer_id").isNull()).withColumn("nth", F.lit(1))
-    known = _numbered(valid.where(F.col("customer_id").isNotNull()))
     return (
-        known.unionByName(guests)
+        _numbered(valid, F.col("customer_id").isNotNull())
         .withColumn("oi", F.coalesce("customer_order_index", "nth").cast("int"))
         .drop("nth", "customer_order_index")
     )
@@ -48,13 +51,10 @@ def valid_orders(orders: DataFrame, indexed: bool = False) -> DataFrame:
 def order_index(orders: DataFrame) -> DataFrame:
     """The index each order should store: 1.. per customer, null if cancelled or guest."""
     counted = F.col("cancelled_at").isNull() & F.col("customer_id").isNotNull()
-    base = orders.drop("customer_order_index")
-    rest = base.where(~counted).withColumn("customer_order_index", F.lit(None).cast("int"))
     return (
-        _numbered(base.where(counted))
-        .withColumn("customer_order_index", F.col("nth").cast("int"))
+        _numbered(orders.drop("customer_order_index"), counted)
+        .withColumn("customer_order_index", F.when(counted, F.col("nth")).cast("int"))
         .drop("nth")
-        .unionByName(rest)
     )
 
 

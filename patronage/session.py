@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings that can be changed on a running session. The skew settings make
-# AQE split a hot join key across tasks, also below an aggregation.
+# AQE split a hot join key across tasks, also below an aggregation. The group
+# limit lets a top-k per tenant be cut in every task before the shuffle, for any
+# page a caller may ask for.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 TENANT_COUNT = "patronage.tenantCount"

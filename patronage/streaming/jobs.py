@@ -15,6 +15,8 @@ from patronage.sources.landing import land_raw
 from patronage.sources.sinks import read_table
 
 LATE_EVENTS = "2 days"
+# State on local disk with checkpointed snapshots instead of on the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _run(stream: DataFrame, write, checkpoint: str) -> None:
@@ -56,6 +58,7 @@ def stream_event_dedup(events: DataFrame, path: str, checkpoint: str, late: str
     of each other whenever the source re-sends within that time.
     """
     spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     at = events.schema["occurred_at"].dataType.simpleString()
     timed = events.withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
     unique = timed.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["event_id"])
