@@ -42,6 +42,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "patronage")
         # Small local inputs: keep all cores busy instead of one large partition.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording call sites costs a round trip per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
