@@ -7,6 +7,8 @@ from patronage.operators import leaks, orders, retention
 from patronage.operators.attribution import last_click
 from patronage.operators.rfm import rfm_scored
 from patronage.plans.marts import Marts, MART_NAMES, nps_score
+from patronage.plans.nightly import store_marts
+from patronage.session import work_path
 
 M = "CAST(date_trunc('month', {}) AS DATE)"
 LEFT = ("v_kpis", "v_cx")
@@ -268,7 +270,29 @@ def _stats_sql() -> str:
 VALID_COLS = ["tenant_id", "order_id", "customer_id", "placed_at", "total_paise", "subtotal_paise",
               "discount_paise", "cod", "financial_status", "oi"]
 
+def _build_marts(t):
+    """All marts stored, then read back: rows and total of a money or count column per tenant and mart."""
+    out = None
+    for name, df in store_marts(t, work_path(t.spark, "marts")).items():
+        total = F.sum(CHECKSUM[name]).cast("long") if name in CHECKSUM else F.lit(0).cast("long")
+        part = df.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows"), total.alias("total"), F.lit(name).alias("mart"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+CHECKSUM = {
+    "rfm_current": "monetary_paise", "cohort_retention": "repeat_revenue_paise", "retention_facts": "cumulative_revenue_paise",
+    "campaign_roi": "attributed_revenue_paise", "leak_facts": "amount_paise", "executive_kpis": "total_revenue_paise",
+    "cx_facts": "tickets_opened", "messaging_facts": "attributed_revenue_paise", "automation_facts": "attributed_revenue_paise",
+}
+MART_VIEW = {
+    "rfm_current": "v_rfm", "cohort_retention": "v_cohort", "retention_facts": "v_retention", "campaign_roi": "v_roi",
+    "leak_facts": "v_leaks", "executive_kpis": "v_kpis", "cx_facts": "v_cx", "messaging_facts": "v_msg",
+    "automation_facts": "v_auto", "experiment_facts": "v_exp",
+}
+
 QUERIES = {
+    "build_marts": _build_marts,
     "valid_orders": lambda t: Marts(t).valid.select(*VALID_COLS),
     "order_index": lambda t: orders.order_index(t.order_headers).select(
         "tenant_id", "order_id", "customer_order_index"),
@@ -291,6 +315,9 @@ QUERIES = {
 }
 
 SQL = {
+    "build_marts": " UNION ALL ".join(
+        f"SELECT tenant_id, count(*) AS rows, CAST({f'sum({CHECKSUM[n]})' if n in CHECKSUM else '0'} AS BIGINT) AS total, "
+        f"'{n}' AS mart FROM {v} GROUP BY tenant_id" for n, v in MART_VIEW.items()),
     "valid_orders": f"SELECT {', '.join(VALID_COLS)} FROM v_valid",
     "order_index": """
         SELECT h.tenant_id, h.order_id, CASE WHEN h.customer_id IS NULL THEN NULL ELSE oi END AS customer_order_index

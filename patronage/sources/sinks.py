@@ -13,8 +13,13 @@ def _folder(spark: SparkSession, path: str):
 
 
 def _write(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the folders that `df` has rows for.
+
+    Rebalancing gathers a tenant's rows into few files and still spreads a
+    large tenant over many tasks.
+    """
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by).parquet(path)
     )
 
