@@ -74,7 +74,7 @@ CX6 = ("round(median_delivery_days, 6) AS median_delivery_days, round(rto_rate,
        "round(avg_review_rating, 6) AS avg_review_rating, round(nps, 6) AS nps")
 HEAT = """
     SELECT g.tenant_id, g.cohort_month, cohort_size, CAST(g.m AS INTEGER) AS months_since, round(value, 6) AS value,
-           round(least(1.0, value / greatest(1e-9, coalesce(peak, 0))), 6) AS intensity
+           CASE WHEN value IS NOT NULL THEN round(least(1.0, value / greatest(1e-9, coalesce(peak, 0))), 6) END AS intensity
     FROM (SELECT tenant_id, cohort_month, any_value(cohort_size) AS cohort_size,
                  unnest(range(0, (SELECT max(months_since) + 1 FROM v_cohort x WHERE x.tenant_id = c.tenant_id))) AS m
           FROM v_cohort c GROUP BY tenant_id, cohort_month) g

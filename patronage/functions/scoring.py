@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def linear(raw: Column, worst: float, best: float) -> Column:
-    """0 at worst, 100 at best, clamped; pass worst > best for lower-is-better."""
+    """0 at worst, 100 at best, clamped; pass worst > best for lower-is-better. Null stays null."""
     if worst == best:
         return F.lit(100.0)
     share = (raw - F.lit(float(worst))) / F.lit(float(best) - float(worst)) * 100.0
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
+    return clamp(share)
+
+
+def clamp(value: Column) -> Column:
+    """Into 0..100. Null stays null: least and greatest alone would skip it."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)))
 
 
 def mean_observed(*parts: Column) -> Column:

@@ -204,7 +204,7 @@ def cohort_heatmap(cohort: DataFrame, mode: str = "customers") -> DataFrame:
     return (
         grid.join(cells.drop("cohort_size"), ["tenant_id", "cohort_month", "months_since"], "left")
         .select("tenant_id", "cohort_month", "cohort_size", "months_since", "value",
-                F.least(F.lit(1.0), F.col("value") / peak).alias("intensity"))
+                F.when(F.col("value").isNotNull(), F.least(F.lit(1.0), F.col("value") / peak)).alias("intensity"))
     )
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions import linear, mean_observed, py_round
+from patronage.functions import clamp, linear, mean_observed, py_round
 from patronage.plans.marts import MOMENTS
 from patronage.plans.reads import COMPOSITE, SCORE_NAMES, SECOND_PHASE
 
@@ -163,7 +163,7 @@ def watertight_parts() -> list[Part]:
     for name, (weight, p90) in WATERTIGHT.items():
         amount = _num(f"leak_{name}_paise")
         lost = F.when(gross > 0, amount / gross).otherwise(0.0)
-        sub = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (1.0 - F.least(lost, F.lit(p90)) / p90)))
+        sub = clamp(100.0 * (1.0 - F.least(lost, F.lit(p90)) / p90))
         said = F.concat(_pct(lost, 2), F.lit(f" of a year's revenue lost to {name}"))
         parts.append(Part(name, weight, sub, amount, _note(said, weight, f"0 at {p90:g}")))
     return parts
@@ -205,9 +205,7 @@ def velocity_parts() -> list[Part]:
     w = VELOCITY_WEIGHTS
 
     def of_done(column: str) -> Column:
-        return F.coalesce(
-            F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * _num(column) / done)), F.lit(0.0)
-        )
+        return F.coalesce(clamp(100.0 * _num(column) / done), F.lit(0.0))
 
     return [
         Part("cadence", w["cadence"], linear(per_month, 0.0, MONTHLY_STARTS), per_month,
@@ -329,8 +327,7 @@ def composite_value() -> Column:
     total = reduce(
         lambda a, b: a + b, [F.coalesce(F.col(n) * float(w), F.lit(0.0)) for n, w in COMPOSITE_WEIGHTS.items()]
     )
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), total / F.when(weight > 0, weight)))
-    return F.coalesce(py_round(clamped), F.lit(0.0))
+    return F.coalesce(py_round(clamp(total / F.when(weight > 0, weight))), F.lit(0.0))
 
 
 def composite(df: DataFrame) -> DataFrame:
