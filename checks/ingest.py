@@ -204,7 +204,6 @@ VIEWS = {
 }
 
 CHAIN = "(k // 4) % 5 + 1"
-RUPEE = "{0}"
 
 SQL = {
     "land_raw": """

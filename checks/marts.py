@@ -10,9 +10,6 @@ from patronage.plans.marts import Marts, MART_NAMES, nps_score
 from patronage.plans.nightly import store_marts
 from patronage.session import work_path
 
-M = "CAST(date_trunc('month', {}) AS DATE)"
-LEFT = ("v_kpis", "v_cx")
-
 VIEWS = {
     "v_valid": """
         SELECT tenant_id, order_id, customer_id, placed_at, cancelled_at, financial_status, cod,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions import normalize_email, normalize_phone
-from patronage.session import per_tenant, settle
+from patronage.session import settle
 
 # Identity types that can merge customers, strongest first.
 PRECEDENCE = ("shopify_customer_id", "phone", "email")
@@ -166,7 +166,7 @@ def customer_components(keys: DataFrame, guest_keys: DataFrame | None = None) ->
 # ------------------------------------------------------------------ merging
 
 
-def age(prefix: str = "") -> Column:
+def age() -> Column:
     """Orders customers oldest first: any order before none, then earliest order, record and id."""
     return F.struct(
         F.col("first_order_at").isNull().alias("no_order"), F.col("first_order_at").alias("first_order"),
