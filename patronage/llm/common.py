@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_mod(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus
@@ -40,6 +51,14 @@ def shared(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(value)
 
 
+def per_worker(key: tuple, build: Callable[[], Any]) -> Any:
+    """What `build` makes, once per Python worker process; tasks bring their code anew, so it is kept outside of it."""
+    kept = sys.modules.setdefault("_patronage_worker", ModuleType("_patronage_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A text column as Python strings; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import packing, tokens
+from patronage.llm import bpe, packing, simhash, tokens
 from patronage.llm.common import read
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -22,7 +22,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(spark, read(spark, sf_dir, "documents"), WORDS)
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(read(spark, sf_dir, "documents"), BYTES, digest=True)
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op5_token_files)
+    f.__name__: f for f in (
+        op4_best_fit_packing, op5_token_files, op6_bpe_round_trip, op10_simhash_near_dedup,
+    )
 }
 SQL: dict[str, str] = {}
