@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -9,7 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,25 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def shared(spark: SparkSession, value: object) -> Broadcast:
+class Shared:
+    """A broadcast value whose classes travel by value, as task code does."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> Any:
+        if "loaded" not in self.__dict__:
+            self.loaded = pickle.loads(self.sent.value)
+        return self.loaded
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent}
+
+
+def shared(spark: SparkSession, value: object) -> Shared:
     """Broadcast something whose size is bounded by parameters, not by the data."""
-    return spark.sparkContext.broadcast(value)
+    return Shared(spark, value)
 
 
 def per_worker(key: tuple, build: Callable[[], Any]) -> Any:
