@@ -20,7 +20,7 @@ from patronage.llm.vectors import nearest, prepared, query_set, valid
 
 PROJECTIONS = 96
 THRESHOLD = 0.6  # share of the windows a vector must lie in
-VERIFY = 0.1  # share of a block that is verified at least, besides k
+VERIFY = 0.25  # share of a block that is verified at least, besides k
 FIRST_WIDTH, WIDEN = 0.5, 1.25
 SEED = 20_240_229
 
