@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import ann, bpe, language, packing, simhash, tokens, topk, toxicity, urls
+from patronage.llm import ann, bpe, language, lines, packing, simhash, tokens, topk, toxicity, urls
 from patronage.llm.common import crc32_mod, read
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,14 @@ def op2_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    n_lines = F.size(F.split("text", "\n", -1))
+    done = lines.deduplicate_lines(docs, removed="removed")
+    kept = F.when(F.col("text").isNotNull(), n_lines).otherwise(0)
+    return done.select("doc_id", kept.alias("kept_lines"), "removed", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORDS)
 
@@ -62,7 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_compression_toxicity, op2_hierarchical_language, op4_best_fit_packing, op5_token_files, op6_bpe_round_trip,
+        op1_compression_toxicity, op2_hierarchical_language, op3_line_dedup, op4_best_fit_packing, op5_token_files, op6_bpe_round_trip,
         op7_collision_neighbours, op8_url_templates, op9_dual_tree_top_k, op10_simhash_near_dedup,
     )
 }
