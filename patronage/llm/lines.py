@@ -344,7 +344,7 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS, removed: str | None =
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names = list(docs.columns)
     joined = docs.withColumn("text", F.col("text").cast("string")).join(per_doc, own == F.col(doc), "left").select(*names, places_)
-    schema = docs.withColumn("text", F.lit("").cast("string")).withColumn(at, F.array(F.lit(0))).select(*names, at).schema
+    schema = docs.withColumn("text", F.lit(None).cast("string")).withColumn(at, F.array(F.lit(0))).select(*names, at).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,7 +4,7 @@ Queries and vectors of a block each form a cover tree: a node has a centre, its
 centres lie further apart than a scale that shrinks by `BASE` per level, and a covering radius bounds the
 distance to every point below it. The product of any pair below a query node
 and a vector node is at most <q, p> + r_q |p| + r_p |q| + r_q r_p; a pair of nodes goes unseen when that is less
-than the worst k-th score in the query node. Ties are kept, so ids decide them exactly.
+than the worst k-th score in the query node; at a leaf of queries each of them has its own bound, with r_q = 0. Ties are kept, so ids decide them exactly.
 """
 
 from __future__ import annotations
@@ -85,6 +85,13 @@ class Best:
             order = np.array([sorted(range(len(s)), key=lambda c: (-int(s[c]), int(i[c])))[:k] for s, i in zip(scores, ids)])
         self.scores[rows], self.found[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
+    def reach(self, rows: np.ndarray, nodes: list[Node]) -> np.ndarray:
+        """For each query the most that a product with a point below each node can be."""
+        centres, radii = np.stack([p.centre for p in nodes]), np.array([p.radius for p in nodes])
+        lengths = np.linalg.norm(self.q[rows], axis=1)[:, None]
+        limit = self.q[rows] @ centres.T + lengths * radii
+        return limit + 1e-9 * (1 + lengths * (np.array([p.length for p in nodes]) + radii))
+
     def worst(self, rows: np.ndarray) -> float:
         return float(self.scores[rows, -1].min())
 
@@ -107,28 +114,25 @@ def dual_search(q: Node, nodes: list[Node], best: Best) -> None:
             if below:
                 dual_search(child, below, best)
         return
-    open_nodes = [(float(bounds[i]), nodes[i]) for i in keep]
-    while open_nodes:  # a leaf of queries: the most promising nodes first, leaves gathered into one product
-        now, rest, size = [], [], 0
-        worst = best.worst(q.points)
-        inner = []
-        for bound, node in open_nodes:
-            if bound < worst:
-                continue
+    waiting = [nodes[i] for i in keep]
+    while waiting:  # a leaf of queries: the most promising nodes first, their leaves gathered into one product
+        reach = best.reach(q.points, waiting)
+        wanted = np.flatnonzero((reach >= best.scores[q.points, -1][:, None]).any(axis=0))
+        wanted = wanted[np.argsort(-reach.max(axis=0)[wanted], kind="stable")]
+        points, later, size = [], [], 0
+        for i in wanted:
+            node = waiting[i]
             if size >= AT_ONCE:
-                rest.append((bound, node))
+                later.append(node)
             elif node.children:
-                inner += node.children
+                later += node.children
                 size += len(node.children)
             else:
-                now.append(node.points)
+                points.append(node.points)
                 size += len(node.points)
-        if now:
-            best.see(q.points, np.concatenate(now))
-        if inner:
-            rest += list(zip(_bounds(q, inner).tolist(), inner))
-            rest.sort(key=lambda x: -x[0])
-        open_nodes = rest
+        if points:
+            best.see(q.points, np.concatenate(points))
+        waiting = later
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
