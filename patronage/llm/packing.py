@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronage.llm.common import per_batch, shared, stored, texts_of, vocabulary
+from patronage.llm.common import per_batch, per_worker, shared, stored, texts_of, vocabulary
 from patronage.llm.encoding import Encoder
 
 SEQ_LEN = 2048
@@ -124,9 +124,10 @@ def pieces(docs: DataFrame, spec: str, seq_len: int = SEQ_LEN, end_id: int = 0,
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + (", ids binary" if with_ids else "")
     names = [f.strip().split()[0] for f in schema.split(",")]
     end = np.array([end_id], dtype="<u4").tobytes()
+    name = zlib.crc32(spec.encode())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = Encoder(sent.value), TaskContext.get().partitionId(), {}
+        encode, part, seen = per_worker(("encoder", name), lambda: Encoder(sent.value)), TaskContext.get().partitionId(), {}
         width = 4 * seq_len
         for batch in per_batch(BATCH, batches):
             rows: list[tuple] = []

@@ -25,7 +25,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patronage.llm.common import per_batch, shared, stored, texts_of, vocabulary
+from patronage.llm.common import per_batch, per_worker, shared, stored, texts_of, vocabulary
 from patronage.llm.encoding import Encoder
 from patronage.session import work_path
 
@@ -148,10 +148,11 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str | None = None,
     largest = max([end_id, *Tokenizer.from_str(spec).get_vocab(with_added_tokens=True).values()])
     width = np.dtype("<u2") if largest < 2**16 else np.dtype("<u4")
     end = np.array([end_id], dtype="<u4").tobytes()
+    spec_name = zlib.crc32(spec.encode())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = first = None
-        encode = Encoder(sent.value)
+        encode = per_worker(("encoder", spec_name), lambda: Encoder(sent.value))
         filesystem, base = _open(folder)
         name = uuid.uuid4().hex
         for batch in per_batch(BATCH, batches):
