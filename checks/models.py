@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.marts import r6
 from patronage.functions import churn_band
 from patronage.models import churn, lifetime
-from patronage.session import work_path
+from patronage.session import settle, work_path
 from patronage.sources import sinks
 
 R, ALPHA, A, B = 0.55, 10.0, 0.8, 2.4
@@ -47,6 +47,81 @@ def _upserted(t):
     return sinks.read_table(t.spark, path, rows)
 
 
+TRIALS = ((0.55, 10.0, 0.8, 2.4), (1.7, 0.4, 3.0, 0.9), (0.05, 80.0, 12.0, 30.0))
+VALUE_TRIALS = ((5.0, 3.5, 1.4), (0.6, 12.0, 0.3), (40.0, 1.1, 9.0))
+
+
+def _at(frame, trials):
+    points = F.array(*[F.array(*[F.log(F.lit(v)) for v in p]) for p in trials])
+    return frame.select("tenant_id").distinct().withColumn("points", points)
+
+
+def _bgnbd_loglik(t):
+    s = lifetime.bgnbd_summary(t.order_headers)
+    return lifetime.bgnbd_loglik(s)(_at(s, TRIALS)).withColumn("ll", F.round("ll", 4))
+
+
+def _value_loglik(t):
+    repeat, _ = lifetime.scaled_values(lifetime.bgnbd_summary(t.order_headers))
+    return lifetime.gamma_gamma_loglik(repeat)(_at(repeat, VALUE_TRIALS)).withColumn("ll", F.round("ll", 4))
+
+
+def _fit_check(summary, fitted, names, loglik):
+    """What a right fit must say, without its parameters: they have no SQL."""
+    have = summary.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("x") > 0).alias("repeaters"))
+    best = lifetime.no_better_nearby(fitted, names, loglik)
+    return have.join(fitted.select("tenant_id", "converged"), "tenant_id").join(best, "tenant_id")
+
+
+def _bgnbd_fit(t):
+    s = settle(lifetime.bgnbd_summary(t.order_headers))
+    return _fit_check(s, settle(lifetime.fit_bgnbd(s)), lifetime.BGNBD, lifetime.bgnbd_loglik(s))
+
+
+def _gamma_fit(t):
+    s = settle(lifetime.bgnbd_summary(t.order_headers))
+    repeat, unit = lifetime.scaled_values(s)
+    fitted = settle(lifetime.fit_gamma_gamma(s)).join(unit, "tenant_id").withColumn("v", F.col("v") / F.col("unit"))
+    return _fit_check(s, fitted, lifetime.GAMMA, lifetime.gamma_gamma_loglik(repeat))
+
+
+def _run_models(t):
+    """Scored customers per tenant, and how many of their predictions are missing, out of range, or in a band their chance does not give."""
+    p = lifetime.run_models(t.order_headers, "2001-08-12 04:00:00")
+    missing = F.col("p_alive").isNull() | F.col("expected_orders_90d").isNull() | F.col("ltv_12m_paise").isNull()
+    odd = ~F.col("p_alive").between(0.0, 1.0) | (F.col("expected_orders_90d") < 0) | (F.col("ltv_12m_paise") < 0)
+    return p.groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(missing).alias("missing"), F.count_if(odd).alias("out_of_range"),
+        F.count_if(F.col("churn_band") != churn_band(F.col("p_alive"))).alias("wrong_band"))
+
+
+def _shadow(t):
+    """Label counts and eligibility; the AUC itself depends on the trees, so only its range is stated."""
+    s = churn.churn_shadow(t)
+    return s.select("tenant_id", "trained_on", "judged_on", F.col("auc").isNotNull().alias("eligible"),
+                    F.coalesce(F.col("auc").between(0.0, 1.0), F.lit(True)).alias("auc_fits"))
+
+
+def _bgnbd_sql():
+    parts = []
+    for i, (r, alpha, a, b) in enumerate(TRIALS):
+        r, alpha, a, b = (f"{v}::DOUBLE" for v in (r, alpha, a, b))
+        lapsed = f"({a} / ({b} + x - 1)) * pow(1 / ({alpha} + t_x), {r} + x)"
+        parts.append(f"""SELECT tenant_id, {i} AS trial, round(sum(lgamma({r} + x) - lgamma({r}) + {r} * ln({alpha}) + lgamma({a} + {b}) + lgamma({b} + x)
+            - lgamma({b}) - lgamma({a} + {b} + x) + ln(pow(1 / ({alpha} + age), {r} + x) + CASE WHEN x > 0 THEN {lapsed} ELSE 0 END)), 4) AS ll
+            FROM v_life GROUP BY tenant_id""")
+    return " UNION ALL ".join(parts)
+
+
+def _value_sql():
+    parts = []
+    for i, (p, q, v) in enumerate(VALUE_TRIALS):
+        p, q, v = (f"{c}::DOUBLE" for c in (p, q, v))
+        parts.append(f"""SELECT tenant_id, {i} AS trial, round(sum(lgamma({p} * n + {q}) - lgamma({p} * n) - lgamma({q}) - ln(m)
+            + {q} * ln({v} / ({v} + n * m)) + {p} * n * ln(n * m / ({v} + n * m))), 4) AS ll FROM v_scaled GROUP BY tenant_id""")
+    return " UNION ALL ".join(parts)
+
+
 HYP = ("list_sum(list_transform(range(0, 1200), lambda k: exp(lgamma({a} + k) - lgamma({a}) + lgamma({b} + k) - lgamma({b}) "
        "- lgamma({c} + k) + lgamma({c}) - lgamma(k + 1.0) + k * ln({z}))))")
 
@@ -70,8 +145,19 @@ VIEWS = {
         SELECT *, CASE WHEN x = 0 THEN 1 ELSE 1 / (1 + {A} / ({B} + x - 1) * pow(({ALPHA} + age) / ({ALPHA} + t_x), {R} + x)) END AS alive
         FROM v_life""",
     "v_expected": f"SELECT *, {_hyp('90.0 / 7')} AS expected_orders_90d, {_hyp('365.0 / 7')} AS expected_12m FROM v_alive",
+    "v_scaled": """
+        SELECT tenant_id, n_orders AS n, mean_value / greatest(avg(mean_value) OVER (PARTITION BY tenant_id), 1e-9) AS m FROM v_life WHERE x > 0""",
+    "v_repeaters": "SELECT tenant_id, count(*) AS customers, count(*) FILTER (x > 0) AS repeaters FROM v_life GROUP BY ALL",
     "v_cut": """
         SELECT tenant_id, max(placed_at) - INTERVAL 182 DAY AS cutoff FROM v_valid WHERE customer_id IS NOT NULL GROUP BY ALL""",
+    "v_shadow": """
+        SELECT tenant_id, horizons, count(*) AS n, count(DISTINCT gone) AS kinds FROM (
+          SELECT v.tenant_id, customer_id, horizons,
+                 count(*) FILTER (placed_at >= c.at AND placed_at <= c.at + INTERVAL 182 DAY) = 0 AS gone
+          FROM v_valid v JOIN (SELECT tenant_id, horizons, max(placed_at) - to_days(182 * horizons) AS at
+                               FROM v_valid, (VALUES (1), (2)) h(horizons) WHERE customer_id IS NOT NULL GROUP BY tenant_id, horizons) c ON c.tenant_id = v.tenant_id
+          WHERE customer_id IS NOT NULL GROUP BY v.tenant_id, customer_id, horizons HAVING count(*) FILTER (placed_at < c.at) > 1)
+        GROUP BY tenant_id, horizons""",
     "v_past": """
         SELECT v.*, cutoff FROM v_valid v JOIN v_cut c ON c.tenant_id = v.tenant_id
         WHERE customer_id IS NOT NULL AND placed_at < cutoff""",
@@ -79,12 +165,14 @@ VIEWS = {
 
 QUERIES = {
     "bgnbd_summary": lambda t: r6(lifetime.bgnbd_summary(t.order_headers)),
-    "bgnbd_fit": lambda t: lifetime.fit_bgnbd(lifetime.bgnbd_summary(t.order_headers)),
+    "bgnbd_loglik": _bgnbd_loglik,
+    "bgnbd_fit": _bgnbd_fit,
     "bgnbd_p_alive": lambda t: r6(lifetime.bgnbd_summary(t.order_headers).select(
         "tenant_id", "customer_id", lifetime.p_alive(*_args()).alias("p_alive"))),
     "bgnbd_expected_orders": lambda t: r6(_expected(t).select(
         "tenant_id", "customer_id", "expected_orders_90d", "expected_12m")),
-    "gamma_gamma_fit": lambda t: lifetime.fit_gamma_gamma(lifetime.bgnbd_summary(t.order_headers)),
+    "gamma_gamma_loglik": _value_loglik,
+    "gamma_gamma_fit": _gamma_fit,
     "gamma_gamma_value": lambda t: lifetime.bgnbd_summary(t.order_headers).select(
         "tenant_id", "customer_id", F.round(lifetime.expected_value(
             F.col("n_orders"), F.col("mean_value"), F.lit(P), F.lit(Q), F.lit(V)), 4).alias("expected_value")),
@@ -94,10 +182,11 @@ QUERIES = {
         "tenant_id", churn_band(lifetime.p_alive(*_args())).alias("churn_band")).agg(F.count(F.lit(1)).alias("customers")),
     "churn_features": lambda t: r6(_features(t)),
     "churn_labels": lambda t: churn.churn_labels(churn.cutoffs(t.order_headers, 1), t.order_headers),
-    "churn_shadow_model": lambda t: churn.churn_shadow(t),
+    "churn_shadow_model": _shadow,
     "predictions_upsert": _upserted,
     "ml_report": lambda t: lifetime.ml_report(t.predictions),
-    "run_models": lambda t: lifetime.run_models(t.order_headers, "2001-08-12 04:00:00"),
+    "run_models": _run_models,
+    "model_status": lambda t: lifetime.model_status(*lifetime.fit_models(t.order_headers)),
 }
 
 SQL = {
@@ -144,4 +233,18 @@ SQL = {
         SELECT tenant_id, model_version, scored_on, count(*) AS customers_scored, count(*) FILTER (churn_band = 'high') AS band_high,
                count(*) FILTER (churn_band = 'medium') AS band_medium, count(*) FILTER (churn_band = 'low') AS band_low
         FROM t_predictions GROUP BY ALL""",
+    "bgnbd_loglik": _bgnbd_sql(),
+    "gamma_gamma_loglik": _value_sql(),
+    "bgnbd_fit": "SELECT *, true AS converged, true AS optimal FROM v_repeaters WHERE repeaters >= 10",
+    "gamma_gamma_fit": "SELECT *, true AS converged, true AS optimal FROM v_repeaters WHERE repeaters >= 10",
+    "run_models": """
+        SELECT tenant_id, customers, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS wrong_band
+        FROM v_repeaters WHERE repeaters >= 10""",
+    "model_status": """
+        SELECT *, CASE WHEN repeaters < 10 THEN 'skipped' ELSE 'scored' END AS status,
+               CASE WHEN repeaters < 10 THEN 'fewer than 10 repeat buyers' END AS reason FROM v_repeaters""",
+    "churn_shadow_model": """
+        SELECT coalesce(a.tenant_id, b.tenant_id) AS tenant_id, coalesce(a.n, 0) AS trained_on, coalesce(b.n, 0) AS judged_on,
+               coalesce(a.n >= 30 AND b.n >= 30 AND a.kinds = 2 AND b.kinds = 2, false) AS eligible, true AS auc_fits
+        FROM (SELECT * FROM v_shadow WHERE horizons = 2) a FULL JOIN (SELECT * FROM v_shadow WHERE horizons = 1) b ON a.tenant_id = b.tenant_id""",
 }

@@ -1,61 +1,61 @@
-"""Maximum likelihood per tenant, with the likelihood summed by Spark.
+"""Maximum likelihood per tenant, all tenants side by side, on Spark.
 
-The observations never leave the executors: each pass sends a few dozen trial
-parameter vectors per tenant out, every task adds up its rows' log-likelihood
-for each, and only the totals come back. A damped Newton step per tenant, on
-log parameters, is taken from them on the driver.
+Observations never leave the executors. In every pass the tenants still open send
+a few dozen trial parameter vectors to their own rows and get the summed log-likelihood of
+each back; a damped Newton step per tenant, on log parameters, follows from those totals
+as one row per tenant. Tenants that are done send nothing, so their rows drop out.
+
+A pass either lowers a tenant's loss by more than the tolerance or raises its
+damping, whose growth ends in a stalled tenant; so the loop needs no bound on passes.
 """
 
 from __future__ import annotations
 
-import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOG_LOW, LOG_HIGH = -10.0, 25.0  # box of the log parameters
-PENALTY = 1e-4  # on the squared parameters; blocks the ridge towards infinity
+from patronage.session import settle
+
+# Box of the log parameters, penalty on the squared parameters.
+LOG_LOW, LOG_HIGH = -10.0, 25.0
+PENALTY = 1e-4  # blocks the ridge towards infinity
 STEP = 1e-3
-MAX_PASSES = 80
-TENANTS_PER_PASS = 2_000
+LONGEST_STEP = 2.0
+DAMPING_END = 1e7
+DIGITS = 6  # of a fitted parameter; below that sums in another order show
 
-LogLik = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
+LogLik = Callable[[DataFrame], DataFrame]  # (tenant_id, points array<array<double>>) -> (tenant_id, trial int, ll double)
+STATE = (
+    "tenant_id long, points array<array<double>>, trial array<double>, best array<double>, loss double, "
+    "slopes array<double>, damping double, passes int, status string"
+)
 
 
-def _totals(cells: DataFrame, trials: dict[int, np.ndarray], loglik: LogLik) -> dict[int, np.ndarray]:
-    """Summed log-likelihood of every trial vector of every tenant."""
-    sent = cells.sparkSession.sparkContext.broadcast(trials)
-    names = [c for c in cells.columns if c not in ("tenant_id", "weight")]
+def summed(rows: DataFrame, points: DataFrame, loglik: Callable[..., Column], names: list[str]) -> DataFrame:
+    """Total log-likelihood per tenant and trial of `rows` (tenant_id, n, ...); n counts equal rows.
+
+    `loglik` gets a column per parameter name, in the order of the trial vectors.
+    """
+    trials = rows.join(points, "tenant_id").select(*rows.columns, F.posexplode("points").alias("trial", "point"))
+    given = trials.select("*", *[F.exp(F.col("point")[i]).alias(f"param_{n}") for i, n in enumerate(names)])
+    part = loglik(*[F.col(f"param_{n}") for n in names])
+    return given.groupBy("tenant_id", "trial").agg(F.sum(part * F.col("n")).alias("ll"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for tenant, rows in batch.groupby("tenant_id"):
-                todo = sent.value.get(int(tenant))
-                if todo is None:
-                    continue
-                columns = {n: rows[n].to_numpy(dtype=float) for n in names}
-                weight = rows["weight"].to_numpy(dtype=float)
-                part = np.array([float(np.dot(weight, loglik(np.exp(t), columns))) for t in todo])
-                sums[int(tenant)] = sums.get(int(tenant), 0.0) + part
-        out = [(t, i, v) for t, part in sums.items() for i, v in enumerate(part)]
-        yield pd.DataFrame(out, columns=["tenant_id", "trial", "ll"])
-
-    rows = (
-        cells.mapInPandas(partial, "tenant_id long, trial int, ll double")
-        .groupBy("tenant_id", "trial").agg(F.sum("ll").alias("ll")).collect()
-    )
-    out = {t: np.full(len(v), -np.inf) for t, v in trials.items()}
-    for r in rows:
-        out[r["tenant_id"]][r["trial"]] = r["ll"]
-    sent.unpersist()
-    return out
 
+def total(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("tenant_id", "trial").agg(F.sum("ll").alias("ll"))
 
-def _stencil(at: np.ndarray) -> np.ndarray:
+
+def stencil(at: np.ndarray) -> np.ndarray:
     """The point and the neighbours that give its gradient and curvature."""
     k = len(at)
     shifts = [np.zeros(k)]
@@ -68,7 +68,7 @@ def _stencil(at: np.ndarray) -> np.ndarray:
     return np.clip(at + np.array(shifts), LOG_LOW, LOG_HIGH)
 
 
-def _slopes(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def slopes(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     centre = values[0]
     up, down = values[1:2 * k + 1:2], values[2:2 * k + 1:2]
     gradient = (up - down) / (2 * STEP)
@@ -82,54 +82,88 @@ def _slopes(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return gradient, curve
 
 
-def _newton(gradient: np.ndarray, curve: np.ndarray, damping: float) -> np.ndarray:
-    """Downhill step with the curvature made positive, at most 2 long."""
+def newton(gradient: np.ndarray, curve: np.ndarray, damping: float) -> np.ndarray:
+    """Downhill step with the curvature made positive."""
     size, axes = np.linalg.eigh(curve)
     size = np.maximum(np.abs(size), 1e-8 * max(1.0, float(np.abs(size).max()))) * (1.0 + damping)
     step = -axes @ ((axes.T @ gradient) / size)
     length = float(np.linalg.norm(step))
-    return step if length <= 2.0 else step * (2.0 / length)
+    return step if length <= LONGEST_STEP else step * (LONGEST_STEP / length)
+
+
+def advance(row: dict, k: int) -> dict:
+    """A tenant's state after the totals of its trial vectors have come in."""
+    points, trial = np.array([list(p) for p in row["points"]]), np.array(row["trial"])
+    values = np.full(len(points), -np.inf)
+    for t in row["totals"]:
+        values[t["trial"]] = t["ll"]
+    loss = -values + PENALTY * np.sum(np.exp(points) ** 2, axis=1)
+    first = row["best"] is None
+    best, status, damping = row["best"], "open", row["damping"]
+    if not first and not loss[0] < row["loss"]:
+        damping = max(1.0, damping * 4.0)
+        packed, lowest = row["slopes"], row["loss"]
+        if damping > DAMPING_END:
+            status = "converged" if np.linalg.norm(np.array(packed[:k])) <= 1e-5 * max(1.0, abs(lowest)) else "stalled"
+    else:
+        gradient, curve = slopes(loss, k)
+        packed, lowest = [*gradient, *curve.ravel()], float(loss[0])
+        damping /= 4.0 if damping > 1e-3 else 1e9
+        if not first:
+            gain, moved = row["loss"] - lowest, float(np.abs(trial - np.array(best)).max())
+            if (gain < 1e-7 and moved < 1e-5) or gain < 1e-11 * abs(lowest):
+                status = "converged"
+        best = trial.tolist()
+    out = {"tenant_id": row["tenant_id"], "best": best, "loss": lowest, "slopes": [float(v) for v in packed],
+           "damping": damping, "passes": row["passes"] + 1, "status": status, "points": None, "trial": None}
+    if status == "open":
+        gradient, curve = np.array(packed[:k]), np.array(packed[k:]).reshape(k, k)
+        step = np.clip(np.array(best) + newton(gradient, curve, damping), LOG_LOW, LOG_HIGH)
+        out |= {"trial": step.tolist(), "points": stencil(step).tolist()}
+    return out
 
 
-def fit(cells: DataFrame, start: np.ndarray, loglik: LogLik) -> dict[int, np.ndarray]:
-    """Penalised maximum-likelihood parameters per tenant.
+def fit(tenants: DataFrame, start: np.ndarray, loglik: LogLik, names: list[str]) -> DataFrame:
+    """Penalised maximum-likelihood parameters of each row of `tenants` (tenant_id).
 
-    `cells` has tenant_id, weight and the columns `loglik` reads; it is scanned
-    once per pass, so give it settled.
+    Columns: tenant_id, the parameters by name, log_likelihood, passes, converged. `loglik` is
+    evaluated once per pass, so let it read settled tables.
     """
-    tenants = sorted(r["tenant_id"] for r in cells.select("tenant_id").distinct().collect())
-    fitted: dict[int, np.ndarray] = {}
-    for i in range(0, len(tenants), TENANTS_PER_PASS):
-        fitted.update(_fit_some(cells, tenants[i:i + TENANTS_PER_PASS], start, loglik))
-    return fitted
+    k = len(start)
+    at, points = [float(v) for v in start], [[float(v) for v in p] for p in stencil(start)]
+    array = lambda values: F.array(*[F.lit(v) for v in values])
+    nothing = F.lit(None)
+    state = settle(tenants.select(
+        F.col("tenant_id").cast("long"), F.array(*[array(p) for p in points]).alias("points"), array(at).alias("trial"),
+        nothing.cast("array<double>").alias("best"), nothing.cast("double").alias("loss"), nothing.cast("array<double>").alias("slopes"),
+        F.lit(0.0).alias("damping"), F.lit(0).alias("passes"), F.lit("open").alias("status")))
+    done: DataFrame | None = None
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [advance(r, k) for r in batch.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
+
+    while not state.isEmpty():
+        open_ = state.select("tenant_id", "points")
+        totals = loglik(open_).groupBy("tenant_id").agg(
+            F.collect_list(F.struct("trial", F.coalesce("ll", F.lit(float("-inf"))).alias("ll"))).alias("totals"))
+        after = settle(state.join(totals, "tenant_id").mapInPandas(step, STATE))
+        over = after.where("status <> 'open'")
+        done = over if done is None else done.unionByName(over)
+        state = after.where("status = 'open'")
+    if done is None:
+        done = state
+    value = lambda i: F.exp(F.col("best")[i])
+
+    def digits(c: Column) -> Column:
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(c)) - F.lit(DIGITS - 1))
+        return F.round(c / unit) * unit
+
+    return done.select(
+        "tenant_id", *[digits(value(i)).alias(n) for i, n in enumerate(names)],
+        (-F.col("loss")).alias("log_likelihood"), "passes", (F.col("status") == "converged").alias("converged"),
+    )
 
 
-def _fit_some(cells: DataFrame, tenants: list[int], start: np.ndarray, loglik: LogLik) -> dict[int, np.ndarray]:
-    k = len(start)
-    trial = {t: np.array(start, dtype=float) for t in tenants}
-    best: dict[int, tuple] = {}
-    damping = dict.fromkeys(tenants, 0.0)
-    active = set(tenants)
-    for _ in range(MAX_PASSES):
-        if not active:
-            break
-        points = {t: _stencil(trial[t]) for t in active}
-        totals = _totals(cells, points, loglik)
-        for t in list(active):
-            loss = -totals[t] + PENALTY * np.sum(np.exp(points[t]) ** 2, axis=1)
-            if t in best and not loss[0] < best[t][0]:
-                damping[t] = max(1.0, damping[t] * 4.0)
-                if damping[t] > 1e7:
-                    active.discard(t)
-                    continue
-            else:
-                gain = best[t][0] - loss[0] if t in best else math.inf
-                moved = float(np.abs(trial[t] - best[t][1]).max()) if t in best else math.inf
-                best[t] = (loss[0], trial[t], *_slopes(loss, k))
-                damping[t] /= 4.0 if damping[t] > 1e-3 else 1e9
-                if (gain < 1e-7 and moved < 1e-5) or gain < 1e-11 * abs(loss[0]):
-                    active.discard(t)
-                    continue
-            _, at, gradient, curve = best[t]
-            trial[t] = np.clip(at + _newton(gradient, curve, damping[t]), LOG_LOW, LOG_HIGH)
-    return {t: np.exp(best[t][1]) for t in best}
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

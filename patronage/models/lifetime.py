@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions import churn_band
-from patronage.models.fitting import fit
-from patronage.models.numeric import bgnbd_loglik, gamma_loglik, hyp2f1
+from patronage.models.fitting import LOG_HIGH, LOG_LOW, PENALTY, STEP, fit, stencil, summed, total
+from patronage.models.numeric import (
+    buying_by_count, buying_by_history, lapse_log_odds, orders_while_alive, value_by_count, value_by_mean,
+)
 from patronage.operators.orders import CUSTOMER
 from patronage.operators.scale import quantile, ranked_values
 from patronage.session import per_tenant, settle
@@ -24,8 +26,11 @@ MIN_REPEATERS = 10
 WEEK = 7.0 * 86400.0
 DISCOUNT_12M = 1.10 ** -0.5
 CAP_QUANTILE = 0.99
+# Where the fits start, in logs.
 BGNBD_START = np.zeros(4)
 GAMMA_START = np.log([1.0, 2.0, 1.0])
+BGNBD = ["r", "alpha", "a", "b"]
+GAMMA = ["p", "q", "v"]
 
 
 def _weeks(start: Column, end: Column) -> Column:
@@ -67,56 +72,95 @@ def enough_repeaters(summary: DataFrame) -> DataFrame:
     )
 
 
-def _params_frame(df: DataFrame, fitted: dict[int, np.ndarray], names: list[str]) -> DataFrame:
-    rows = [(int(t), *[float(v) for v in p]) for t, p in sorted(fitted.items())]
-    return df.sparkSession.createDataFrame(rows, "tenant_id long, " + ", ".join(f"{n} double" for n in names))
+def bgnbd_loglik(summary: DataFrame):
+    """Summed log-likelihood of trial vectors (logs of r, alpha, a, b) per tenant.
+
+    What depends on the number of repeats alone is evaluated once per distinct number.
+    """
+    rows = settle(summary.select("tenant_id", F.col("x").cast("double").alias("x"), "t_x", "age", F.lit(1.0).alias("n")))
+    counts = settle(rows.groupBy("tenant_id", "x").agg(F.sum("n").alias("n")))
+    x, t_x, age = F.col("x"), F.col("t_x"), F.col("age")
+
+    def evaluate(points: DataFrame) -> DataFrame:
+        return total(
+            summed(counts, points, lambda r, alpha, a, b: buying_by_count(x, r, a, b), BGNBD),
+            summed(rows, points, lambda r, alpha, a, b: buying_by_history(x, t_x, age, r, alpha, a, b), BGNBD),
+        )
+
+    return evaluate
 
 
 def fit_bgnbd(summary: DataFrame) -> DataFrame:
-    """(r, alpha, a, b) per tenant; customers with the same history are one weighted row."""
-    cells = (
-        summary.join(per_tenant(enough_repeaters(summary)), "tenant_id", "left_semi")
-        .groupBy("tenant_id", "x", "t_x", "age").agg(F.count(F.lit(1)).alias("weight"))
-    )
-    return _params_frame(summary, fit(settle(cells), BGNBD_START, bgnbd_loglik), ["r", "alpha", "a", "b"])
+    """(r, alpha, a, b) per tenant with enough repeaters, beside log_likelihood, passes and converged."""
+    tenants = enough_repeaters(summary)
+    return fit(tenants, BGNBD_START, bgnbd_loglik(summary.join(tenants, "tenant_id", "left_semi")), BGNBD)
 
 
 def p_alive(x: Column, t_x: Column, age: Column, r: Column, alpha: Column, a: Column, b: Column) -> Column:
     """Probability of still buying; 1 for a customer with a single order."""
-    odds = F.log(a) - F.log(b + x - 1.0) + (r + x) * (F.log(alpha + age) - F.log(alpha + t_x))
-    return F.when(x <= 0, 1.0).otherwise(1.0 / (1.0 + F.exp(F.least(odds, F.lit(700.0)))))
+    return F.when(x <= 0, 1.0).otherwise(1.0 / (1.0 + F.exp(lapse_log_odds(x, t_x, age, r, alpha, a, b))))
 
 
 def expected_orders(
     x: Column, t_x: Column, age: Column, r: Column, alpha: Column, a: Column, b: Column, weeks: float
 ) -> Column:
-    """Expected orders in the next `weeks`, equation 10 of the 2005 paper."""
-    ahead = F.lit(float(weeks))
+    """Expected orders in the next `weeks`: those of a customer who is alive, times the chance of that.
 
+    Alive, the chance of lapsing after an order is Beta(a, b + x) and the rate Gamma(r + x, alpha + age).
+    """
     @F.pandas_udf("double")
-    def gauss(a: pd.Series, b: pd.Series, c: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series(hyp2f1(*(s.to_numpy(dtype=float) for s in (a, b, c, z))))
+    def ahead(a: pd.Series, b: pd.Series, s: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(orders_while_alive(*(c.to_numpy(dtype=float) for c in (a, b, s, w))))
 
-    hyp = gauss(r + x, b + x, a + b + x - 1.0, ahead / (alpha + age + ahead))
-    grown = 1.0 - F.pow((alpha + age) / (alpha + age + ahead), r + x) * hyp
-    return F.greatest(
-        F.lit(0.0), (a + b + x - 1.0) / (a - 1.0) * grown * p_alive(x, t_x, age, r, alpha, a, b)
-    )
+    return ahead(a * F.lit(1.0), b + x, r + x, F.lit(float(weeks)) / (alpha + age)) * p_alive(x, t_x, age, r, alpha, a, b)
 
 
 # ------------------------------------------------------------------ Gamma-Gamma
 
 
+def gamma_gamma_loglik(repeat: DataFrame):
+    """Summed log-likelihood of trial vectors (logs of p, q, v) per tenant; `repeat` has n_orders and scaled."""
+    rows = settle(repeat.select("tenant_id", F.col("n_orders").cast("double").alias("orders"), "scaled", F.lit(1.0).alias("n")))
+    counts = settle(rows.groupBy("tenant_id", "orders").agg(F.sum("n").alias("n")))
+    n, m = F.col("orders"), F.col("scaled")
+
+    def evaluate(points: DataFrame) -> DataFrame:
+        return total(
+            summed(counts, points, lambda p, q, v: value_by_count(n, p, q), GAMMA),
+            summed(rows, points, lambda p, q, v: value_by_mean(n, m, p, q, v), GAMMA),
+        )
+
+    return evaluate
+
+
 def fit_gamma_gamma(summary: DataFrame) -> DataFrame:
-    """(p, q, v) per tenant over repeat buyers; fitted in units of the mean value."""
-    repeat = summary.where("x > 0").join(per_tenant(enough_repeaters(summary)), "tenant_id", "left_semi")
+    """(p, q, v) per tenant over repeat buyers, beside log_likelihood, passes and converged; fitted in units of the mean value."""
+    tenants = enough_repeaters(summary)
+    repeat, unit = scaled_values(summary.join(tenants, "tenant_id", "left_semi"))
+    params = fit(tenants, GAMMA_START, gamma_gamma_loglik(repeat), GAMMA)
+    return params.join(unit, "tenant_id").select("tenant_id", "p", "q", (F.col("v") * F.col("unit")).alias("v"), "log_likelihood", "passes", "converged")
+
+
+def scaled_values(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Repeat buyers with their mean value in units of the tenant's, and those units."""
+    repeat = summary.where("x > 0")
     unit = repeat.groupBy("tenant_id").agg(F.greatest(F.avg("mean_value"), F.lit(1e-9)).alias("unit"))
-    cells = repeat.join(per_tenant(unit), "tenant_id").select(
-        "tenant_id", F.col("n_orders").cast("double").alias("n_orders"),
-        (F.col("mean_value") / F.col("unit")).alias("scaled"), F.lit(1.0).alias("weight"),
-    )
-    params = _params_frame(summary, fit(settle(cells), GAMMA_START, gamma_loglik), ["p", "q", "v"])
-    return params.join(unit, "tenant_id").select("tenant_id", "p", "q", (F.col("v") * F.col("unit")).alias("v"))
+    return repeat.join(unit, "tenant_id").withColumn("scaled", F.col("mean_value") / F.col("unit")), unit
+
+
+def no_better_nearby(fitted: DataFrame, names: list[str], loglik, reach: float = 0.05) -> DataFrame:
+    """(tenant_id, optimal): whether no vector of a fixed stencil around the fit has a higher penalised likelihood."""
+    k = len(names)
+    shifts = stencil(np.zeros(k)) / STEP * reach
+    inside = lambda c: F.greatest(F.least(c, F.lit(LOG_HIGH)), F.lit(LOG_LOW))
+    point = lambda shift: F.array(*[inside(F.log(n) + F.lit(float(d))) for n, d in zip(names, shift)])
+    points = fitted.select("tenant_id", F.array(*[point(s) for s in shifts]).alias("points"))
+    penalty = sum((F.exp(F.col("point")[i]) * F.exp(F.col("point")[i]) for i in range(k)), F.lit(0.0)) * PENALTY
+    paid = points.select("tenant_id", F.posexplode("points").alias("trial", "point")).select("tenant_id", "trial", penalty.alias("paid"))
+    value = loglik(points).join(paid, ["tenant_id", "trial"]).select("tenant_id", "trial", (F.col("ll") - F.col("paid")).alias("value"))
+    own = F.max(F.when(F.col("trial") == 0, F.col("value")))
+    slack = F.abs(own) * 1e-9  # fitted parameters are rounded
+    return value.groupBy("tenant_id").agg((own + slack >= F.max("value")).alias("optimal"))
 
 
 def expected_value(n: Column, m: Column, p: Column, q: Column, v: Column) -> Column:
@@ -163,9 +207,9 @@ def ltv_12m(df: DataFrame) -> DataFrame:
 
 
 def predict(summary: DataFrame, buying: DataFrame, value: DataFrame, scored_at: str) -> DataFrame:
-    """A prediction per customer of every fitted tenant."""
-    params = per_tenant(buying.join(value, "tenant_id"))
-    args = [F.col(c) for c in ("x", "t_x", "age", "r", "alpha", "a", "b")]
+    """A prediction per customer of every tenant both of whose fits converged."""
+    params = buying.where("converged").select("tenant_id", *BGNBD).join(value.where("converged").select("tenant_id", *GAMMA), "tenant_id")
+    args = [F.col(c) for c in ("x", "t_x", "age", *BGNBD)]
     rows = summary.join(params, "tenant_id").withColumns({
         "p_alive": p_alive(*args),
         "expected_orders_90d": expected_orders(*args, 90.0 / 7.0),
@@ -179,10 +223,32 @@ def predict(summary: DataFrame, buying: DataFrame, value: DataFrame, scored_at:
     )
 
 
-def run_models(orders: DataFrame, scored_at: str) -> DataFrame:
-    """Fit both models and score every customer."""
+def model_status(summary: DataFrame, buying: DataFrame, value: DataFrame) -> DataFrame:
+    """What became of every tenant with a customer: scored, or skipped and why.
+
+    Columns: tenant_id, customers, repeaters, status (`scored` or `skipped`), reason (null when scored).
+    """
+    have = summary.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("x") > 0).alias("repeaters"))
+    fits = buying.select("tenant_id", F.col("converged").alias("buys")).join(
+        value.select("tenant_id", F.col("converged").alias("values")), "tenant_id", "full")
+    reason = (
+        F.when(F.col("repeaters") < MIN_REPEATERS, F.lit(f"fewer than {MIN_REPEATERS} repeat buyers"))
+        .when(~F.coalesce("buys", F.lit(False)), F.lit("purchase model did not converge"))
+        .when(~F.coalesce("values", F.lit(False)), F.lit("value model did not converge"))
+    )
+    return have.join(fits, "tenant_id", "left").select(
+        "tenant_id", "customers", "repeaters", F.when(reason.isNull(), "scored").otherwise("skipped").alias("status"), reason.alias("reason"))
+
+
+def fit_models(orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summary and both fits, settled."""
     summary = settle(bgnbd_summary(orders))
-    return predict(summary, fit_bgnbd(summary), fit_gamma_gamma(summary), scored_at)
+    return summary, settle(fit_bgnbd(summary)), settle(fit_gamma_gamma(summary))
+
+
+def run_models(orders: DataFrame, scored_at: str) -> DataFrame:
+    """Fit both models and score every customer; `model_status` tells which tenants were skipped."""
+    return predict(*fit_models(orders), scored_at)
 
 
 def ml_report(predictions: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions import churn_band
 from patronage.models import churn, lifetime
-from patronage.models.numeric import hyp2f1
+from patronage.models.numeric import log_gamma, orders_while_alive
 
 SUMMARY = "tenant_id long, customer_id long, n_orders long, x long, t_x double, age double, mean_value double"
 
@@ -69,11 +70,48 @@ def test_value_shrinks_to_the_population(spark):
     assert prior == pytest.approx(30.0) and many == pytest.approx(100.0, rel=0.05)
 
 
-def test_gauss_series_against_closed_forms():
-    z = np.array([0.1, 0.5, 0.9, 0.99])
-    one = np.ones_like(z)
-    assert hyp2f1(one, one, 2 * one, z) == pytest.approx(-np.log(1 - z) / z, rel=1e-10)
-    assert hyp2f1(2.5 * one, 3 * one, 3 * one, z) == pytest.approx((1 - z) ** -2.5, rel=1e-10)
+def test_expected_orders_against_closed_forms():
+    # p ~ Beta(a, b); with s = 1 the mean of w / (1 + p w), with s = -1 formally -w
+    w = np.array([1e-3, 0.5, 5.0, 1e4])
+    one = np.ones_like(w)
+    assert orders_while_alive(one, one, one, w) == pytest.approx(np.log1p(w), rel=1e-10)  # uniform p
+    # nobody lapses when b is huge: s w orders; a tiny and a large: a sure thing
+    assert orders_while_alive(1e-6 * one, 1e6 * one, 2.5 * one, w) == pytest.approx(2.5 * w, rel=1e-6)
+    assert orders_while_alive(1e7 * one, 1e-3 * one, 2 * one, w) == pytest.approx(1 - (1 + w) ** -2.0, rel=1e-6)
+
+
+def test_expected_orders_against_a_fine_sum():
+    rng = np.random.default_rng(4)
+    for a, b, s, w in [(0.8, 2.4, 0.55, 9.0), (3.0, 40.0, 12.5, 0.7), (0.05, 0.3, 0.2, 900.0), (250.0, 900.0, 30.0, 5.0)]:
+        p = rng.beta(a, b, 400_000)
+        p = np.maximum(p, 1e-300)
+        got = orders_while_alive(*(np.array([v]) for v in (a, b, s, w)))[0]
+        assert got == pytest.approx(np.mean(-np.expm1(-s * np.log1p(p * w)) / p), rel=0.02)
+
+
+def test_log_gamma(spark):
+    z = [1e-6, 0.01, 0.5, 1.0, 2.0, 7.3, 31.0, 1e3, 1e8]
+    rows = spark.createDataFrame([(v,) for v in z], "z double").select("z", log_gamma(F.col("z")).alias("g")).collect()
+    assert [r.g for r in rows] == pytest.approx([math.lgamma(r.z) for r in rows], rel=1e-12, abs=1e-12)
+
+
+def test_every_tenant_is_reported(spark):
+    rows = population(300) + [(2, i, 2, 1, 3.0, 9.0, 10.0) for i in range(9)] + [(3, i, 1, 0, 0.0, 9.0, 10.0) for i in range(5)]
+    summary = spark.createDataFrame(rows, SUMMARY)
+    buying = lifetime.fit_bgnbd(summary).withColumn("converged", F.lit(True))
+    stalled = buying.withColumn("converged", F.lit(False))
+    status = {r.tenant_id: r for r in lifetime.model_status(summary, buying, buying).collect()}
+    assert [(t, s.status, s.customers) for t, s in sorted(status.items())] == [(1, "scored", 300), (2, "skipped", 9), (3, "skipped", 5)]
+    assert status[2].reason == "fewer than 10 repeat buyers"
+    assert "purchase model" in {r.tenant_id: r.reason for r in lifetime.model_status(summary, stalled, buying).collect()}[1]
+
+
+def test_passes_do_not_depend_on_the_other_tenants(spark):
+    alone = lifetime.fit_bgnbd(spark.createDataFrame(population(300), SUMMARY)).first()
+    others = [(t, *r[1:]) for t in (2, 3) for r in population(300, seed=t)]
+    beside = lifetime.fit_bgnbd(spark.createDataFrame(population(300) + others, SUMMARY)).where("tenant_id = 1").first()
+    assert alone.converged and beside.converged and abs(alone.passes - beside.passes) <= 2
+    assert (alone.r, alone.b) == pytest.approx((beside.r, beside.b), rel=1e-4)
 
 
 @pytest.mark.parametrize("p,want", [(0.1, "high"), (0.35, "medium"), (0.64, "medium"), (0.65, "low"), (0.9, "low")])
@@ -121,6 +159,12 @@ def test_nothing_after_the_cutoff_leaks(spark):
     assert (label.churned, stayed.churned) == (1, 0)
 
 
+def test_ranked_auc(spark):
+    rows = [(1, 0.9, 1.0), (1, 0.8, 0.0), (1, 0.8, 1.0), (1, 0.1, 0.0), (2, 0.5, 1.0), (2, 0.5, 0.0), (3, 0.7, 1.0)]
+    got = {r.tenant_id: r.auc for r in churn.ranked_auc(spark.createDataFrame(rows, "tenant_id long, score double, label double")).collect()}
+    assert got == {1: 0.875, 2: 0.5, 3: None}
+
+
 def test_whole_run_is_repeatable(spark, tables):
     one = lifetime.run_models(tables.order_headers, "2026-01-01 00:00:00").orderBy("tenant_id", "customer_id").collect()
     two = lifetime.run_models(tables.order_headers, "2026-01-01 00:00:00").orderBy("tenant_id", "customer_id").collect()
