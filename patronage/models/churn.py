@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from patronage.models.lifetime import WEEK
 from patronage.operators.orders import CUSTOMER
 from patronage.operators.scale import ranked_values
-from patronage.session import per_tenant, settle
+from patronage.session import settle
 
 # Fixed values.
 FEATURES = (
@@ -47,7 +47,7 @@ def churn_features(
     Every row and every later timestamp of a row must lie before the cutoff to
     count: a message sent before it but opened after counts as not opened.
     """
-    cut = per_tenant(at)
+    cut = at
     known = orders.where(F.col("customer_id").isNotNull())
     past = (
         known.where(F.col("cancelled_at").isNull()).join(cut, "tenant_id")
@@ -109,7 +109,7 @@ def churn_labels(at: DataFrame, orders: DataFrame, horizon: int = HORIZON_DAYS)
     end = cut + F.make_dt_interval(F.lit(horizon))
     return (
         orders.where(F.col("customer_id").isNotNull() & F.col("cancelled_at").isNull())
-        .join(per_tenant(at), "tenant_id").groupBy(*CUSTOMER)
+        .join(at, "tenant_id").groupBy(*CUSTOMER)
         .agg(F.count_if(placed < cut).alias("before"), F.count_if((placed >= cut) & (placed <= end)).alias("after"))
         .where("before >= 2")
         .select(*CUSTOMER, F.when(F.col("after") > 0, 0).otherwise(1).alias("churned"))

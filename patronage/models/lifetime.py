@@ -19,7 +19,7 @@ from patronage.models.numeric import (
 )
 from patronage.operators.orders import CUSTOMER
 from patronage.operators.scale import quantile, ranked_values
-from patronage.session import per_tenant, settle
+from patronage.session import settle
 
 VERSION = "bgnbd-0.1+palive-bands-0.1"
 MIN_REPEATERS = 10
@@ -42,7 +42,7 @@ def bgnbd_summary(orders: DataFrame) -> DataFrame:
     valid = orders.where(
         F.col("customer_id").isNotNull() & F.col("cancelled_at").isNull() & F.col("placed_at").isNotNull()
     )
-    clock = per_tenant(valid.groupBy("tenant_id").agg(F.max("placed_at").alias("as_of")))
+    clock = valid.groupBy("tenant_id").agg(F.max("placed_at").alias("as_of"))
     return (
         valid.groupBy(*CUSTOMER)
         .agg(
@@ -194,13 +194,13 @@ def ltv_12m(df: DataFrame) -> DataFrame:
     own = F.when(
         fine, expected_value(F.col("n_orders"), F.col("mean_value"), F.col("p"), F.col("q"), F.col("v"))
     ).otherwise(F.col("mean_value"))
-    valued = df.join(per_tenant(weighted), "tenant_id", "left").withColumn(
+    valued = df.join(weighted, "tenant_id", "left").withColumn(
         "ltv",
         F.col("expected_12m") * F.when(F.col("n_orders") >= 2, own).otherwise(prior) * F.lit(DISCOUNT_12M),
     ).drop("plain_mean")
     cap = quantile(ranked_values(valued, ["tenant_id"], "ltv"), ["tenant_id"], "ltv", CAP_QUANTILE, "cap")
     return (
-        valued.join(per_tenant(cap), "tenant_id")
+        valued.join(cap, "tenant_id")
         .withColumn("ltv_12m_paise", F.bround(F.least("ltv", "cap")).cast("long"))
         .drop("ltv", "cap")
     )

@@ -18,7 +18,7 @@ def latest_before(
 
     `payload` fields order facts of the same instant, highest wins, and come
     back in the struct `name` behind its `at` field. One pass over both sides
-    together: no pairs are formed, and hot keys are cut by the hour.
+    together: no pairs are formed, and every key is cut by the hour.
     """
     entry = F.struct(F.col(fact_at).alias("at"), *payload)
     left = asks.select(

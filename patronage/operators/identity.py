@@ -106,7 +106,7 @@ def star_edges(pairs: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(tenant_id, node, component) for all nodes on an edge; component is its lowest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014). Each
@@ -116,7 +116,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = settle(edges.select(TENANT, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(TENANT, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(TENANT, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above a node move to the lowest node it sees
@@ -137,8 +137,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = after
         if mark == was:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.groupBy(TENANT, "v").agg(F.lit(1)).select(TENANT, F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(TENANT, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -281,22 +279,28 @@ def resolve_report(
     )
 
 
-def follow_pointers(df: DataFrame, key: str, parent: str, max_rounds: int = 60) -> DataFrame:
+def follow_pointers(df: DataFrame, key: str, parent: str) -> DataFrame:
     """Where each chain of pointers ends: rows (tenant_id, key, root).
 
-    Pointer jumping halves every chain per round; `parent` is null at an end.
+    Pointer jumping halves every chain per round; `parent` is null, or the row itself, at an end, and a
+    parent that is no row of its own is an end as well. Rows whose end is known take no part in further
+    rounds. The rows still open must become fewer; where they do not, the pointers run in a circle.
     """
-    now = settle(df.select(TENANT, key, F.coalesce(parent, key).alias("root")))
-    for _ in range(max_rounds):
-        hop = now.select(TENANT, F.col(key).alias("root"), F.col("root").alias("next"))
-        moved = now.join(hop, [TENANT, "root"], "left").select(
-            TENANT, key, F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")
-        )
-        after = settle(moved)
-        if after.where("moved").limit(1).count() == 0:
-            return after.drop("moved")
-        now = after.drop("moved")
-    raise RuntimeError(f"pointers did not settle in {max_rounds} rounds; is there a cycle?")
+    step = settle(df.select(TENANT, key, F.nullif(F.col(parent), F.col(key)).alias("root")))
+    done = settle(step.where("root is null").select(TENANT, key, F.col(key).alias("root")))
+    open_ = step.where("root is not null")
+    left = open_.count()
+    while left:
+        ends = done.select(TENANT, F.col(key).alias("root"), F.col("root").alias("end"), F.lit(True).alias("known"))
+        hops = open_.select(TENANT, F.col(key).alias("root"), F.col("root").alias("end"), F.lit(False).alias("known"))
+        moved = settle(open_.join(ends.unionByName(hops), [TENANT, "root"], "left").select(
+            TENANT, key, F.coalesce("end", "root").alias("root"), F.coalesce("known", F.lit(True)).alias("known")))
+        done = done.unionByName(moved.where("known").drop("known"))
+        open_ = moved.where("not known").drop("known")
+        before, left = left, open_.count()
+        if left == before:
+            raise ValueError(f"{left} pointers run in a circle")
+    return done
 
 
 def canonical_ids(customers: DataFrame) -> DataFrame:

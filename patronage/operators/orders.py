@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from patronage.functions import lifecycle_now, whole_days
 from patronage.operators.scale import running
-from patronage.session import per_tenant
 
 CUSTOMER = ["tenant_id", "customer_id"]
 
@@ -16,9 +15,10 @@ def _numbered(orders: DataFrame, counted: Column) -> DataFrame:
     """Add `nth`, a counted order's place in its customer's history.
 
     Every order that is not counted is a group of its own, so guests neither
-    need a pass of their own nor meet in one huge group.
+    need a pass of their own nor meet in one huge group. Counted orders share the
+    value -1, not null, so that the buckets of a customer find each other.
     """
-    alone = orders.withColumn("__alone", F.when(~counted, F.col("order_id")))
+    alone = orders.withColumn("__alone", F.when(counted, F.lit(-1).cast("long")).otherwise(F.col("order_id")))
     return running(
         alone,
         [*CUSTOMER, "__alone"],
@@ -81,7 +81,7 @@ def customer_stats(orders: DataFrame) -> DataFrame:
         )
     )
     days = whole_days(F.col("last_order_at"), F.col("as_of"))
-    return per.join(per_tenant(data_clock(orders)), "tenant_id").select(
+    return per.join(data_clock(orders), "tenant_id").select(
         *CUSTOMER,
         "orders_count",
         "total_spent_paise",

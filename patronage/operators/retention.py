@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from patronage.functions import day_gap, lifecycle_at_month_end, month_gap, month_of
 from patronage.operators.orders import CUSTOMER
-from patronage.session import per_tenant
 
 def customer_months(valid: DataFrame) -> DataFrame:
     """Orders and revenue per customer and month, with the customer's first month.
@@ -117,7 +116,7 @@ def retention_facts(
     )
     last = F.least(F.add_months("next_month", -1), F.col("max_month"))
     history = (
-        running.where("cum_n > 0").join(per_tenant(newest), "tenant_id").where("month <= max_month")
+        running.where("cum_n > 0").join(newest, "tenant_id").where("month <= max_month")
         .select("*", F.posexplode(F.sequence("month", last, F.expr("INTERVAL 1 MONTH"))).alias("ahead", "at_month"))
         .withColumn("days", day_gap(F.col("last_order_at"), F.last_day("at_month")))
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from patronage.functions import day_gap, rfm_segment
 from patronage.operators.orders import CUSTOMER
 from patronage.operators.scale import ranked_values
-from patronage.session import per_tenant
 
 
 MEASURES = ("r", "f", "m")
@@ -60,11 +59,11 @@ def rfm_scored(orders: DataFrame) -> DataFrame:
             F.count(F.lit(1)).cast("int").alias("f"),
             F.sum("total_paise").alias("m"),
         )
-        .join(per_tenant(clock), "tenant_id")
+        .join(clock, "tenant_id")
         .withColumn("recency_days", day_gap(F.col("last_at"), F.col("as_of")))
         .withColumn("r", -F.col("recency_days"))
     )
-    return base.join(per_tenant(quintile_cuts(base)), "tenant_id").select(
+    return base.join(quintile_cuts(base), "tenant_id").select(
         *CUSTOMER, "recency_days", F.col("f").alias("frequency"), F.col("m").alias("monetary_paise"), "as_of",
         *[_quintile(m).alias(f"{m}_quintile") for m in MEASURES],
     )

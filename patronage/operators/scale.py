@@ -1,6 +1,6 @@
 """Building blocks that stay even when one group holds a third of the rows.
 
-* `running` - running sums and running peaks per key, where a hot key is cut
+* `running` - running sums and running peaks per key, where every key is cut
   into time buckets whose totals are carried over;
 * `ranked_values` - exact positions of every distinct value inside a group,
   without ever sorting the group in one task;
@@ -12,30 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS_CONF = "patronage.hotRows"
-HOT_ROWS = 1_000_000  # rows of one key that a single task sorts without trouble
-
-
-def hot_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
-
-
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys above the hot limit, at most rows / limit of them; None when there are none.
-
-    Looks at the key columns alone: first the row count, then counts per key
-    where the rows are many enough for a hot key to exist.
-    """
-    limit = hot_limit(df)
-    narrow = df.select(*keys)
-    if narrow.count() <= limit:
-        return None
-    hot = (
-        narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).drop("__n")
-    )
-    return None if hot.isEmpty() else hot
-
-
 def running(
     df: DataFrame,
     keys: list[str],
@@ -46,31 +22,15 @@ def running(
 ) -> DataFrame:
     """Add running sums and running maxima per key, up to and including the row.
 
-    `bucket` must not decrease along `order`. Ordinary keys take one window
-    pass. A hot key is windowed bucket by bucket, and what its earlier buckets
-    add up to is joined on; that carry has one row per hot key and bucket. The
-    hot-key list is broadcast: it has at most rows / limit entries.
+    `bucket` must not decrease along `order`. Every key is cut alike: rows are windowed
+    bucket by bucket, and what a key's earlier buckets add up to is joined on, from
+    one row per key and bucket. So a key with a third of all rows is spread over as
+    many tasks as it has buckets, nothing is counted beforehand, and only rows of one key in one
+    bucket are sorted together. A null key joins no carry, so give keys a value where
+    their rows belong together.
     """
     sums, peaks = sums or {}, peaks or {}
-    hot = hot_keys(df, keys)
-    if hot is None:
-        whole = (
-            Window.partitionBy(*keys).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.select(
-            "*",
-            *[F.sum(c).over(whole).alias(n) for n, c in sums.items()],
-            *[F.max(c).over(whole).alias(n) for n, c in peaks.items()],
-        )
-    return _split_running(df, keys, bucket, order, sums, peaks, hot)
-
-
-def _split_running(
-    df: DataFrame, keys: list[str], bucket: Column, order: list, sums: dict, peaks: dict, hot: DataFrame
-) -> DataFrame:
-    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    split = df.join(marked, keys, "left").withColumn("__bucket", F.when(F.col("__hot"), bucket))
+    split = df.withColumn("__bucket", bucket)
     for name, col in {**sums, **peaks}.items():
         split = split.withColumn(f"__in_{name}", col)
 
@@ -88,20 +48,16 @@ def _split_running(
     before = (
         Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = (
-        split.where("__hot")
-        .groupBy(*keys, "__bucket")
-        .agg(
-            *[F.sum(f"__in_{n}").alias(f"__t_{n}") for n in sums],
-            *[F.max(f"__in_{n}").alias(f"__t_{n}") for n in peaks],
-        )
+    totals = split.groupBy(*keys, "__bucket").agg(
+        *[F.sum(f"__in_{n}").alias(f"__t_{n}") for n in sums],
+        *[F.max(f"__in_{n}").alias(f"__t_{n}") for n in peaks],
     )
     carry = totals.select(
         *keys,
         "__bucket",
         *[F.sum(f"__t_{n}").over(before).alias(f"__c_{n}") for n in sums],
         *[F.max(f"__t_{n}").over(before).alias(f"__c_{n}") for n in peaks],
-    )
+    ).where(" or ".join(f"__c_{n} is not null" for n in (*sums, *peaks)))
     joined = local.join(carry, [*keys, "__bucket"], "left")
     return joined.select(
         *[c for c in df.columns],

@@ -14,7 +14,7 @@ from patronage.operators.orders import share, valid_orders
 from patronage.operators.retention import cohort_retention, customer_months, retention_facts, rto_orders
 from patronage.operators.rfm import rfm_current
 from patronage.operators.scale import beside, median_of
-from patronage.session import per_tenant, settle
+from patronage.session import settle
 
 MONTH = ["tenant_id", "month"]
 BREACH_HOURS = 72
@@ -160,7 +160,7 @@ def automation_facts(roi: DataFrame, campaigns: DataFrame, tenants: DataFrame) -
     return (
         with_moments(tenants).join(flows, ["tenant_id", "ext"], "left")
         .join(numbers, ["tenant_id", "campaign_id"], "left")
-        .join(per_tenant(total), "tenant_id", "left")
+        .join(total, "tenant_id", "left")
         .select(
             "tenant_id", "moment", F.col("campaign_id").isNotNull().alias("covered"), "campaign_id",
             _zero("sends"), _zero("attributed_orders"), _zero("attributed_revenue_paise", "long"),

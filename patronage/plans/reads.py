@@ -13,10 +13,9 @@ from patronage.functions import month_of, score_band
 from patronage.operators.orders import CUSTOMER, share
 from patronage.operators.scale import beside, ranked_values, value_at
 from patronage.plans.marts import MOMENTS
-from patronage.session import per_tenant
 
 WINDOW_MONTHS = 12
-PAGE_MAX = 200
+PAGE_MAX = 200  # largest page unless the caller says otherwise
 
 # The nine scores in display order, those of the second phase,
 # and the stage each belongs to.
@@ -32,12 +31,13 @@ COMPOSITE = "composite"
 COMPOSITE_PARTIAL = "composite_partial"
 
 
-def clamp_page(page: int, page_size: int) -> tuple[int, int]:
-    return max(1, page), max(1, min(page_size, PAGE_MAX))
+def clamp_page(page: int, page_size: int, page_max: int = PAGE_MAX) -> tuple[int, int]:
+    """A page's number and size within bounds; a size beyond `page_max` is cut to it."""
+    return max(1, page), max(1, min(page_size, page_max))
 
 
-def _paged(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
-    page, page_size = clamp_page(page, page_size)
+def _paged(df: DataFrame, order: list[Column], page: int, page_size: int, page_max: int = PAGE_MAX) -> DataFrame:
+    page, page_size = clamp_page(page, page_size, page_max)
     place = F.row_number().over(Window.partitionBy("tenant_id").orderBy(*order))
     return (
         df.withColumn("__place", place)
@@ -58,7 +58,7 @@ def newest_month(orders: DataFrame) -> DataFrame:
 
 def _within(df: DataFrame, clock: DataFrame, months: int) -> DataFrame:
     recent = F.col("month") > F.add_months("top_month", -months)
-    return df.join(per_tenant(clock.select("tenant_id", "top_month")), "tenant_id").where(recent)
+    return df.join(clock.select("tenant_id", "top_month"), "tenant_id").where(recent)
 
 
 # ------------------------------------------------------------------ scores
@@ -93,7 +93,7 @@ def scores_latest(runs: DataFrame, tenants: DataFrame) -> DataFrame:
     )
     listed = F.array(*[F.lit(n) for n in SCORE_NAMES], F.lit(COMPOSITE))
     named = (
-        tenants.select("tenant_id").join(per_tenant(facts), "tenant_id", "left")
+        tenants.select("tenant_id").join(facts, "tenant_id", "left")
         .select(
             "tenant_id", F.col("computed_at").alias("run_at"),
             F.coalesce(F.when(F.col("use_part"), F.col("v_part")), "v_full", "v_first", F.lit("v0.1"))
@@ -196,7 +196,7 @@ def cohort_heatmap(cohort: DataFrame, mode: str = "customers") -> DataFrame:
     )
     grid = (
         cells.groupBy("tenant_id", "cohort_month", "cohort_size").agg(F.count(F.lit(1)))
-        .join(per_tenant(span), "tenant_id")
+        .join(span, "tenant_id")
         .select("tenant_id", "cohort_month", "cohort_size", "peak",
                 F.explode(F.sequence(F.lit(0), F.col("last"))).alias("months_since"))
     )
@@ -296,16 +296,16 @@ def leaks_summary(leaks: DataFrame, kpis: DataFrame, orders: DataFrame) -> DataF
 
 
 def customers_page(
-    rfm: DataFrame, dim: DataFrame, segment: str | None = None, page: int = 1, page_size: int = 50
+    rfm: DataFrame, dim: DataFrame, segment: str | None = None, page: int = 1, page_size: int = 50, page_max: int = PAGE_MAX
 ) -> DataFrame:
-    """One page per tenant, latest buyers first, with the total behind it."""
+    """One page per tenant, latest buyers first, with the total behind it; at most `page_max` rows."""
     chosen = rfm if segment is None else rfm.where(F.col("rfm_segment") == segment)
     total = chosen.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("total"))
     rows = chosen.select(*CUSTOMER, "rfm_segment", "recency_days").join(
         dim.select(*CUSTOMER, "lifecycle_stage", "orders_count", "total_spent_paise",
                    "first_order_at", "last_order_at", "whatsapp_opted_in"), CUSTOMER)
-    cut = _paged(rows, [F.col("last_order_at").desc_nulls_last(), F.col("customer_id")], page, page_size)
-    return cut.join(per_tenant(total), "tenant_id")
+    cut = _paged(rows, [F.col("last_order_at").desc_nulls_last(), F.col("customer_id")], page, page_size, page_max)
+    return cut.join(total, "tenant_id")
 
 
 def customers_after(
@@ -452,7 +452,7 @@ def latest_predictions(predictions: DataFrame) -> DataFrame:
     newest = predictions.groupBy("tenant_id").agg(
         F.max(F.struct("scored_at", "model_version", "scored_on")).alias("n")
     ).select("tenant_id", "n.model_version", "n.scored_on")
-    return predictions.join(per_tenant(newest), ["tenant_id", "model_version", "scored_on"])
+    return predictions.join(newest, ["tenant_id", "model_version", "scored_on"])
 
 
 def predictions_summary(predictions: DataFrame) -> DataFrame:
@@ -483,7 +483,7 @@ def predictions_top_risk(
     return (
         cut.join(dim.select(*CUSTOMER, "lifecycle_stage", "orders_count", "total_spent_paise"), CUSTOMER, "left")
         .join(rfm.select(*CUSTOMER, "rfm_segment"), CUSTOMER, "left")
-        .join(per_tenant(total), "tenant_id")
+        .join(total, "tenant_id")
     )
 
 

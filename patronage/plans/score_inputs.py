@@ -18,7 +18,6 @@ from patronage.operators.attribution import latest_before
 from patronage.operators.leaks import SETTLED
 from patronage.operators.orders import CUSTOMER, data_clock
 from patronage.operators.scale import beside
-from patronage.session import per_tenant
 
 TENANT = "tenant_id"
 LEAK_TYPES = ("preventable_churn", "rto_cod", "failed_payments", "discount_abuse")
@@ -53,7 +52,7 @@ def repeat_rate_90d(orders: DataFrame) -> DataFrame:
     """Share of customers, first seen 90 days ago or earlier, who reordered within 90 days."""
     within = F.col("second_at") <= F.col("first_at") + F.make_dt_interval(F.lit(90))
     return (
-        _first_and_second(orders).join(per_tenant(data_clock(orders)), TENANT)
+        _first_and_second(orders).join(data_clock(orders), TENANT)
         .where(F.col("first_at") <= _days_before(F.col("as_of"), 90))
         .groupBy(TENANT).agg(_rate(F.coalesce(within, F.lit(False))).alias("repeat_rate_90d"))
     )
@@ -77,7 +76,7 @@ def m3_retention(cohort: DataFrame) -> DataFrame:
 
 def _last_year(df: DataFrame, kpis: DataFrame) -> DataFrame:
     top = kpis.groupBy(TENANT).agg(F.max("month").alias("top_month"))
-    return df.join(per_tenant(top), TENANT).where(F.col("month") >= F.add_months("top_month", -11))
+    return df.join(top, TENANT).where(F.col("month") >= F.add_months("top_month", -11))
 
 
 def repeat_revenue_share(kpis: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def healthy_share(dim: DataFrame) -> DataFrame:
 
 def new_to_active(dim: DataFrame, orders: DataFrame) -> DataFrame:
     """Share with a second order among customers acquired 180 to 90 days ago."""
-    clock = per_tenant(data_clock(orders))
+    clock = data_clock(orders)
     between = F.col("first_order_at").between(_days_before(F.col("as_of"), 180), _days_before(F.col("as_of"), 90))
     return dim.join(clock, TENANT).where(between).groupBy(TENANT).agg(
         _rate(F.col("orders_count") >= 2).alias("new_to_active_rate")
@@ -106,7 +105,7 @@ def new_to_active(dim: DataFrame, orders: DataFrame) -> DataFrame:
 
 def stage_transition(retention: DataFrame, source: str, target: tuple[str, ...], name: str) -> DataFrame:
     """Of the customers in `source` three months before the newest month, the share now in `target`."""
-    top = per_tenant(retention.groupBy(TENANT).agg(F.max("month").alias("top_month")))
+    top = retention.groupBy(TENANT).agg(F.max("month").alias("top_month"))
     ends = retention.select(*CUSTOMER, "month", "lifecycle_stage").join(top, TENANT)
     # Both ends come out of one aggregation: no self-join of the history.
     both = (
@@ -206,7 +205,7 @@ def flow_activity(campaigns: DataFrame, messages: DataFrame) -> DataFrame:
     """Flows, and those that sent within 60 days of the tenant's last send."""
     key = [TENANT, "campaign_id"]
     last = messages.groupBy(*key).agg(F.max("sent_at").alias("last_send"))
-    clock = per_tenant(messages.groupBy(TENANT).agg(F.max("sent_at").alias("clock")))
+    clock = messages.groupBy(TENANT).agg(F.max("sent_at").alias("clock"))
     recent = F.col("last_send") >= _days_before(F.col("clock"), 60)
     return (
         campaigns.where("campaign_type = 'flow'").select(*key).join(last, key, "left").join(clock, TENANT, "left")
@@ -218,7 +217,7 @@ def flow_activity(campaigns: DataFrame, messages: DataFrame) -> DataFrame:
 def vitals_inputs(
     messaging: DataFrame, dim: DataFrame, consent: DataFrame, messages: DataFrame, campaigns: DataFrame
 ) -> DataFrame:
-    top = per_tenant(messaging.groupBy(TENANT).agg(F.max("month").alias("top_month")))
+    top = messaging.groupBy(TENANT).agg(F.max("month").alias("top_month"))
 
     def over(channel: str, part: str) -> Column:
         mine = F.col("channel") == channel
@@ -250,7 +249,7 @@ def vitals_inputs(
 
 def velocity_inputs(facts: DataFrame) -> DataFrame:
     """Starts in the six newest start months; concluded, valid and decided of all time."""
-    top = per_tenant(facts.groupBy(TENANT).agg(F.max("started_month").alias("top_month")))
+    top = facts.groupBy(TENANT).agg(F.max("started_month").alias("top_month"))
     recent = F.col("started_month") > F.add_months("top_month", -6)
     ended = F.col("status") == "concluded"
     valid = F.col("significant").isNotNull() & (F.col("sample_size") >= SAMPLE_MIN)
@@ -288,7 +287,7 @@ def autopilot_inputs(automation: DataFrame, roi: DataFrame) -> DataFrame:
 
 def pulse_inputs(cx: DataFrame) -> DataFrame:
     """Six newest experience months; ratings and NPS weighted by volume, CSAT and breaches by month."""
-    top = per_tenant(cx.groupBy(TENANT).agg(F.max("month").alias("top_month")))
+    top = cx.groupBy(TENANT).agg(F.max("month").alias("top_month"))
     at = cx.join(top, TENANT).where(F.col("month") > F.add_months("top_month", -12)).withColumn(
         "recent", F.col("month") > F.add_months("top_month", -6)
     )
@@ -342,7 +341,7 @@ def altitude_inputs(
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     told = (F.coalesce("hypothesis", F.lit("")) != "") & (F.coalesce("decision", F.lit("")) != "")
     tried = (
-        experiments.join(per_tenant(data_clock(orders)), TENANT, "left").groupBy(TENANT)
+        experiments.join(data_clock(orders), TENANT, "left").groupBy(TENANT)
         .agg(
             count(ended & (F.col("concluded_at") >= _days_before(F.col("as_of"), 180))).alias("concluded_6mo"),
             count(ended & (F.col("decision") == "shipped")).alias("winners_shipped"),

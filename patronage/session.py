@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings that can be changed on a running session. The skew settings make
 # AQE split a hot join key across tasks, also below an aggregation. The group
@@ -21,9 +20,6 @@ RUNTIME_CONF = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
-TENANT_COUNT = "patronage.tenantCount"
-TENANT_BROADCAST_MAX = 100_000
-
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -39,6 +35,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "patronage")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Checkpoint files go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Small local inputs: keep all cores busy instead of one large partition.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -53,14 +51,16 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "patronage")
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a session without that setting (tests on one machine) gets a folder of
-    its own.
+    Only a session on one machine without that setting, as in tests, gets a folder
+    of its own; on a cluster a machine's own folder would lose files, so that is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = jdir.get() if jdir.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         known = tempfile.mkdtemp(prefix="patronage-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(known)
@@ -75,22 +75,3 @@ def settle(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage into the reliable checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
-
-
-def note_tenants(tenants: DataFrame) -> DataFrame:
-    """Record how many tenants exist, which bounds every row-per-tenant table."""
-    spark = tenants.sparkSession
-    spark.conf.set(TENANT_COUNT, str(tenants.count()))
-    return tenants
-
-
-def per_tenant(df: DataFrame) -> DataFrame:
-    """Mark a row-per-tenant table for broadcast when the tenant count allows.
-
-    The count was measured by `note_tenants`; with no count, or too many
-    tenants, the join strategy stays with AQE, which splits hot tenants.
-    """
-    known = df.sparkSession.conf.get(TENANT_COUNT, None)
-    if known is not None and int(known) <= TENANT_BROADCAST_MAX:
-        return F.broadcast(df)
-    return df

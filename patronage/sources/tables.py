@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions import normalize_email, normalize_phone
 from patronage.operators.orders import customer_stats, order_index
-from patronage.session import configure, note_tenants
+from patronage.session import configure
 
 EPOCH = "timestamp_ntz'1995-01-01 00:00:00'"
 
@@ -33,18 +33,15 @@ class Tables:
 
     @cached_property
     def tenants(self) -> DataFrame:
-        return note_tenants(
-            self.read("region").selectExpr(
-                "cast(r_regionkey + 1 as bigint) as tenant_id",
-                "lower(r_name) as slug",
-                "r_name as name",
-            )
+        return self.read("region").selectExpr(
+            "cast(r_regionkey + 1 as bigint) as tenant_id",
+            "lower(r_name) as slug",
+            "r_name as name",
         )
 
     @cached_property
     def _people(self) -> DataFrame:
         """Customer key and tenant; nation has one row per country."""
-        self.tenants
         nation = self.read("nation").selectExpr(
             "n_nationkey", "cast(n_regionkey + 1 as bigint) as tenant_id"
         )

@@ -22,13 +22,3 @@ def tables(spark):
     from patronage.sources.tables import Tables
 
     return Tables(spark, SF)
-
-
-@pytest.fixture
-def small_hot_limit(spark):
-    """Treat any key with more than three rows as hot."""
-    from patronage.operators.scale import HOT_ROWS_CONF
-
-    spark.conf.set(HOT_ROWS_CONF, "3")
-    yield
-    spark.conf.unset(HOT_ROWS_CONF)

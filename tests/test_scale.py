@@ -24,7 +24,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k long, t timestamp_ntz, id long, v long")
 
 
-def test_running_equals_plain_window(skewed, small_hot_limit):
+def test_running_equals_plain_window(skewed):
     w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     plain = skewed.select("*", F.sum("v").over(w).alias("s"), F.max(F.struct("v", "id")).over(w).alias("m"))
     split = scale.running(skewed, ["k"], F.date_trunc("hour", F.col("t")), ["t", "id"], sums={"s": F.col("v")},
@@ -32,13 +32,41 @@ def test_running_equals_plain_window(skewed, small_hot_limit):
     assert sorted(split.collect()) == sorted(plain.collect())
 
 
-def test_hot_keys_found_only_above_the_limit(skewed, spark):
-    assert scale.hot_keys(skewed, ["k"]) is None
-    spark.conf.set(scale.HOT_ROWS_CONF, "300")
+def test_one_customer_is_spread_over_tasks(skewed, spark):
+    """Rows of the hot key lie in many partitions, before and after the window."""
+    numbered = scale.running(skewed, ["k"], F.date_trunc("hour", F.col("t")), ["t", "id"], sums={"s": F.col("v")})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        assert [r.k for r in scale.hot_keys(skewed, ["k"]).collect()] == [0]
+        where = [r.n for r in numbered.where("k = 0").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     finally:
-        spark.conf.unset(scale.HOT_ROWS_CONF)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(where) >= 4 and max(where) < 0.5 * sum(where)
+
+
+def test_orders_of_one_customer_are_split(spark):
+    """The key that numbers counted orders is never null: null keys would find no carry."""
+    start = datetime(2024, 1, 1)
+    rows = [(1, 7 if i % 3 else None, i, start + timedelta(hours=i // 2), None, None) for i in range(300)]
+    orders = spark.createDataFrame(
+        rows, "tenant_id long, customer_id long, order_id long, placed_at timestamp_ntz, cancelled_at timestamp_ntz, customer_order_index int")
+    got = {r.order_id: r.oi for r in valid_orders(orders).collect()}
+    mine = [i for i in range(300) if i % 3]
+    assert [got[i] for i in mine] == list(range(1, len(mine) + 1))
+    assert {got[i] for i in range(0, 300, 3)} == {1}
+    plan = valid_orders(orders)._jdf.queryExecution().executedPlan().toString()
+    assert "__bucket" in plan
+
+
+def test_building_starts_no_job(tables, spark):
+    def jobs():
+        return spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+
+    orders, messages, consent = tables.fact_orders, tables.fact_messages, tables.fact_consent
+    before = jobs()
+    valid = valid_orders(orders)
+    for df in (valid, order_index(tables.order_headers), last_click(valid, messages), sends_after_revoke(messages, consent)):
+        assert df.columns
+    assert jobs() == before
 
 
 def test_ranks_equal_percent_rank(skewed):
@@ -59,32 +87,6 @@ def test_quantile_equals_numpy(spark, q):
         assert got[g] == pytest.approx(np.quantile(values[g::3], q))
 
 
-def test_hot_customer_paths_equal(tables, small_hot_limit, spark):
-    def results():
-        valid = valid_orders(tables.fact_orders)
-        return [sorted(map(str, df.collect())) for df in (
-            valid.select("order_id", "oi"), order_index(tables.order_headers).select("order_id", "customer_order_index"),
-            last_click(valid, tables.fact_messages), last_click(valid, tables.fact_messages, by_channel=True),
-            sends_after_revoke(tables.fact_messages, tables.fact_consent))]
-
-    split = results()
-    spark.conf.unset(scale.HOT_ROWS_CONF)
-    assert split == results()
-
-
-def test_no_tenant_count_no_broadcast_hint(spark, tables):
-    from patronage import session
-
-    tables.tenants
-    known = spark.conf.get(session.TENANT_COUNT)
-    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
-    small = tables.order_headers.groupBy("tenant_id").count()
-    assert "ResolvedHint" in plan(session.per_tenant(small))
-    spark.conf.set(session.TENANT_COUNT, str(session.TENANT_BROADCAST_MAX + 1))
-    assert "ResolvedHint" not in plan(session.per_tenant(small))
-    spark.conf.set(session.TENANT_COUNT, known)
-
-
 def test_executors_need_no_package():
     """Functions that run in tasks are pickled whole, not by module name."""
     import pickletools
