@@ -102,7 +102,7 @@ def _stream_land(t):
 
 def _stream_dedup(t):
     rows = ev.with_event_id(payment(t)).select("event_id", "tenant_id", "event_name", "occurred_at")
-    stream, _ = _files(t, rows.unionByName(rows.where("tenant_id % 2 = 0")), "stream-events", 1)
+    stream, _ = _files(t, rows.unionByName(rows.where("tenant_id % 2 = 0")), "stream-events", 6)
     return jobs.stream_event_dedup(stream, work_path(t.spark, "unique"), work_path(t.spark, "ckpt-unique"))
 
 

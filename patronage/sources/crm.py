@@ -61,19 +61,27 @@ def _candidates(*pairs: tuple[str, Column]) -> Column:
 
 
 def profiles(raw: DataFrame, source: str, resource: str) -> DataFrame:
-    """Profile behind each record: its id and the keys it can be found by."""
+    """Profile behind each record: its id and the keys it can be found by, strongest first.
+
+    A message is looked up by its profile id before anything else; the other keys count only
+    where that profile is unseen. Consent goes by shop id, phone and e-mail first. `linkable` is false for an
+    e-mail message without a profile, which belongs to nobody; a WhatsApp message always has a sender.
+    """
     p = F.col("p")
     rows = parsed(raw, source, resource, CONSENT if resource == "consent" else MESSAGE)
     pid = F.coalesce(filled(p["profile"]["id"], p["profile_id"]), p["id"])
     phone = normalize_phone(filled(p["profile"]["phone"], p["phone_number"]))
     email = normalize_email(filled(p["profile"]["email"], p["email"]))
     seen = p["occurred_at"] if resource == "consent" else p["sent_at"]
+    has_profile = filled(p["profile"]["id"], p["profile_id"]).isNotNull()
+    named = (PROFILE_KEY[source], F.when(has_profile, pid) if resource == "messages" else pid)
+    order = [("shopify_customer_id", p["external_id"]), ("phone", phone), ("email", email)]
+    order = [named, *order] if resource == "messages" else [*order, named]
     return rows.select(
         "tenant_id", "source", "external_id", "seq", pid.alias("profile_id"), parse_time(seen).alias("seen_at"),
-        _candidates(("shopify_customer_id", p["external_id"]), ("phone", phone), ("email", email),
-                    (PROFILE_KEY[source], pid)).alias("keys"),
-        phone.alias("phone"), email.alias("email"),
-        filled(p["profile"]["id"], p["profile_id"]).isNotNull().alias("has_profile"),
+        _candidates(*order).alias("keys"), phone.alias("phone"), email.alias("email"), has_profile.alias("has_profile"),
+        (has_profile | F.lit(resource == "consent" or source == "interakt")).alias("linkable"),
+        F.lit(resource == "messages").alias("profile_first"),
     )
 
 
@@ -87,13 +95,27 @@ def link_profiles(found: DataFrame, identities: DataFrame, canonical: DataFrame
     end. A record pointing to nothing mints a customer under its profile id.
 
     Adds `customer_id` (null when minted), `minted_external_id` and
-    `minted_source`. `canonical` maps merged customers to live ones.
+    `minted_source`. `canonical` maps merged customers to live ones. Records that are not
+    linkable get neither a customer nor a minted one, and claim nothing.
     """
+    if "linkable" in found.columns:
+        nobody = found.where("not linkable").select(
+            "*", F.lit(None).cast("long").alias("customer_id"), F.lit(None).cast("string").alias("minted_external_id"),
+            F.lit(None).cast("string").alias("minted_source")).drop("linkable")
+        return link_profiles(found.where("linkable").drop("linkable"), identities, canonical).unionByName(nobody)
     at = ["tenant_id", "seq"]
-    keys = found.select(*at, F.explode("keys").alias("k")).select(*at, "k.*").where(F.col("identity_value").isNotNull())
     handle = ["tenant_id", "identity_type", "identity_value"]
+    keys = found.select(*at, F.explode("keys").alias("k")).select(*at, "k.*").where(F.col("identity_value").isNotNull())
+    claiming = keys
+    if "profile_first" in found.columns:
+        # A message whose profile is known already is not looked up further, and its other handles are not taken in.
+        first = found.where("profile_first").select(*at)
+        own = keys.where(F.col("identity_type").isin(*PROFILE_KEY.values())).join(first, at)
+        seen_first = own.groupBy(*handle).agg(F.min("seq").alias("opened"))
+        known = own.join(seen_first, handle).join(identities.select(*handle, F.lit(True).alias("stored")).distinct(), handle, "left")
+        claiming = keys.join(known.where("stored or opened < seq").select(*at), at, "left_anti")
     claimed = (
-        keys.where(F.col("identity_type") != "shopify_customer_id")
+        claiming.where(F.col("identity_type") != "shopify_customer_id")
         .groupBy(*handle).agg(F.min("seq").alias("first_seq"))
     )
     owned = (
@@ -124,7 +146,7 @@ def link_profiles(found: DataFrame, identities: DataFrame, canonical: DataFrame
 def minted_customers(linked: DataFrame) -> DataFrame:
     """Customers to create, dated by the first record of each."""
     return (
-        linked.where(F.col("customer_id").isNull())
+        linked.where(F.col("customer_id").isNull() & F.col("minted_external_id").isNotNull())
         .groupBy("tenant_id", F.col("minted_source").alias("source"), F.col("minted_external_id").alias("external_id"))
         .agg(F.min_by("seen_at", "seq").alias("created_at"))
     )

@@ -2,19 +2,20 @@
 
 All three read a folder of files as it grows, resume from their own checkpoint
 folder, and stop when nothing is left to read (`availableNow`). Their results
-lie in a Parquet table, and equal what the batch operators give on all files.
+lie in a Parquet table, and equal what the batch operators give on all files, in
+whatever order and however late the files arrive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.sources.crm import FLAG_CHANNELS
-from patronage.sources.landing import land_raw
-from patronage.sources.sinks import read_table
+from patronage.sources.landing import RAW_KEY, land_raw
+from patronage.sources.sinks import _folder
 
-LATE_EVENTS = "2 days"
+BUCKETS = 64
 # State on local disk with checkpointed snapshots instead of on the heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,69 +28,112 @@ def _run(stream: DataFrame, write, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def _batch_path(path: str, batch: int) -> str:
-    return f"{path}/batch={batch}"
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _versions(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Rows of a table laid out as bucket=/batch=, with both as columns."""
+    schema = like.withColumn("bucket", F.lit(None).cast("int")).withColumn("batch", F.lit(None).cast("long")).schema
+    fs, where = _folder(spark, path)
+    if not fs.exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _write_batch(rows: DataFrame, path: str, batch: int, *keys: str) -> None:
+    """One folder per bucket and batch; a retried batch overwrites its own."""
+    (
+        rows.withColumn("bucket", _bucket(*keys)).withColumn("batch", F.lit(batch).cast("long"))
+        .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket", "batch").parquet(path)
+    )
 
 
 def stream_land_raw(source: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Land new records once each, however often a batch is retried.
 
-    A batch writes its own folder and overwrites it on a retry; what it compares
-    with are the folders of earlier batches only.
+    Records lie in buckets by their key. A batch compares its keys with those of
+    earlier batches in the buckets it touches, and reads nothing but the keys there.
     """
     spark = source.sparkSession
-    columns = [*source.columns, "batch"]
+    like = spark.createDataFrame([], source.schema)
 
     def write(rows: DataFrame, batch: int) -> None:
-        session = rows.sparkSession
-        like = rows.withColumn("batch", F.lit(0).cast("long"))
-        before = read_table(session, path, like).where(F.col("batch") < batch)
-        land_raw(rows, before).write.mode("overwrite").parquet(_batch_path(path, batch))
+        rows.persist()
+        touched = rows.select(_bucket(*RAW_KEY).alias("bucket")).distinct()
+        before = _versions(rows.sparkSession, path, like).where(F.col("batch") < batch)
+        before = before.join(F.broadcast(touched), "bucket", "left_semi")  # at most BUCKETS rows
+        _write_batch(land_raw(rows, before.select(*RAW_KEY)), path, batch, *RAW_KEY)
+        rows.unpersist()
 
     _run(source, write, checkpoint)
-    empty = spark.createDataFrame([], source.schema).withColumn("batch", F.lit(0).cast("long")).select(*columns)
-    return read_table(spark, path, empty).drop("batch")
+    return _versions(spark, path, like).select(*source.columns)
 
 
-def stream_event_dedup(events: DataFrame, path: str, checkpoint: str, late: str = LATE_EVENTS) -> DataFrame:
-    """Keep the first arrival of each event id; state is dropped once the watermark has passed.
+def stream_event_dedup(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Keep the first arrival of each event id, however late an event or a repeat comes.
 
-    Repeats of an event carry the event's own time, so they fall within `late`
-    of each other whenever the source re-sends within that time.
+    The state holds the ids seen, partitioned over the tasks and kept on disk. There is no
+    watermark: nothing is dropped for being late.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    at = events.schema["occurred_at"].dataType.simpleString()
-    timed = events.withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
-    unique = timed.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["event_id"])
     query = (
-        unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        events.dropDuplicates(["event_id"]).writeStream.format("parquet").option("path", path)
+        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(timed.schema).parquet(path).withColumn("occurred_at", F.col("occurred_at").cast(at))
+    return spark.read.schema(events.schema).parquet(path)
 
 
 def stream_consent_state(ledger: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Last action per customer and channel, kept up to date batch by batch.
 
-    A late record only wins by its own time. Each batch writes the state of the
-    customers it touched as a new folder; the newest entry of a key counts.
+    A late record only wins by its own time. The state lies in buckets by customer. A batch merges its
+    rows into the buckets it touches and writes their next version; of the versions before,
+    the last stays for a retry and older ones go. So state grows with the customers, not with the ledger.
     """
     key = ["tenant_id", "customer_id", "channel"]
     fields = ["occurred_at", "consent_id", "action"]
+    by = ["tenant_id", "customer_id"]
     spark = ledger.sparkSession
+    like = spark.createDataFrame([], ledger.select(*key, *fields).schema)
 
     def newest(df: DataFrame) -> DataFrame:
         return df.groupBy(*key).agg(F.max(F.struct(*fields)).alias("s")).select(*key, "s.*")
 
     def write(rows: DataFrame, batch: int) -> None:
-        newest(rows.select(*key, *fields)).write.mode("overwrite").parquet(_batch_path(path, batch))
+        session = rows.sparkSession
+        rows.persist()
+        touched = rows.select(_bucket(*by).alias("bucket")).distinct()
+        before = _current(_versions(session, path, like).where(F.col("batch") < batch)).join(F.broadcast(touched), "bucket", "left_semi")
+        merged = newest(rows.select(*key, *fields).unionByName(before.select(*key, *fields)))
+        _write_batch(merged, path, batch, *by)
+        _drop_superseded(session, path, batch)
+        rows.unpersist()
 
     _run(ledger, write, checkpoint)
-    like = ledger.select(*key, *fields).withColumn("batch", F.lit(0).cast("long"))
-    stored = read_table(spark, path, spark.createDataFrame([], like.schema))
-    return newest(stored)
+    return _current(_versions(spark, path, like)).select(*key, *fields)
+
+
+def _current(versions: DataFrame) -> DataFrame:
+    """The rows of each bucket's newest version."""
+    last = versions.groupBy("bucket").agg(F.max("batch").alias("batch"))  # at most BUCKETS rows
+    return versions.join(F.broadcast(last), ["bucket", "batch"], "left_semi")
+
+
+def _drop_superseded(spark: SparkSession, path: str, batch: int) -> None:
+    """Delete versions that neither a reader nor a retry of `batch` can need; looks at BUCKETS folders."""
+    fs, where = _folder(spark, path)
+    for bucket in fs.listStatus(where) if fs.exists(where) else []:
+        found = sorted(
+            (int(v.getPath().getName().split("=")[1]), v.getPath())
+            for v in fs.listStatus(bucket.getPath()) if v.getPath().getName().startswith("batch=")
+        ) if bucket.isDirectory() else []
+        before = [p for n, p in found if n < batch]
+        for old in before[:-1]:
+            fs.delete(old, True)
 
 
 def consent_flags_of(state: DataFrame) -> DataFrame:
