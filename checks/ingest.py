@@ -88,12 +88,22 @@ def _sync_report(t):
 
 
 def _bad_words(t):
+    """All seven vocabularies, each with a word that does not belong."""
     orders = t.order_headers.selectExpr(
         "tenant_id", "if(order_id % 101 = 0, 'PAID', financial_status) as financial_status",
         "if(order_id % 103 = 0, 'lost', 'fulfilled') as fulfillment_status")
-    return landing.validate_enums(orders, "orders").unionByName(
-        landing.validate_enums(t.fact_shipments, "shipments")).unionByName(
-        landing.validate_enums(t.fact_payments.withColumn("method", F.expr("if(method = 'card', 'CARD', method)")), "payments"))
+    swap = lambda df, column, word, other: df.withColumn(column, F.expr(f"if({column} = '{word}', '{other}', {column})"))
+    out = landing.validate_enums(orders, "orders")
+    for name, df in (
+        ("shipments", swap(t.fact_shipments, "status", "delivered", "arrived")),
+        ("payments", swap(t.fact_payments, "method", "card", "CARD")),
+        ("refunds", swap(t.fact_refunds, "refund_type", "return", "sent back")),
+        ("consent", swap(t.fact_consent, "action", "revoked", "denied")),
+        ("customers", swap(t.dim_customers, "lifecycle_stage", "loyal", "faithful")),
+        ("experiments", swap(t.experiments, "status", "concluded", "over")),
+    ):
+        out = out.unionByName(landing.validate_enums(df, name))
+    return out
 
 
 def _items(t):
@@ -256,7 +266,12 @@ SQL = {
     "validate_enums": """
         SELECT tenant_id, 'orders' AS "table", 'financial_status' AS "column", 'PAID' AS word, count(*) AS rows FROM t_heads WHERE order_id % 101 = 0 GROUP BY ALL
         UNION ALL SELECT tenant_id, 'orders', 'fulfillment_status', 'lost', count(*) FROM t_heads WHERE order_id % 103 = 0 GROUP BY ALL
-        UNION ALL SELECT tenant_id, 'payments', 'method', 'CARD', count(*) FROM t_payments WHERE method = 'card' GROUP BY ALL""",
+        UNION ALL SELECT tenant_id, 'payments', 'method', 'CARD', count(*) FROM t_payments WHERE method = 'card' GROUP BY ALL
+        UNION ALL SELECT tenant_id, 'shipments', 'status', 'arrived', count(*) FROM t_shipments WHERE status = 'delivered' GROUP BY ALL
+        UNION ALL SELECT tenant_id, 'refunds', 'refund_type', 'sent back', count(*) FROM t_refunds WHERE refund_type = 'return' GROUP BY ALL
+        UNION ALL SELECT tenant_id, 'consent', 'action', 'denied', count(*) FROM t_consent WHERE action = 'revoked' GROUP BY ALL
+        UNION ALL SELECT tenant_id, 'customers', 'lifecycle_stage', 'faithful', count(*) FROM t_dim_customers WHERE lifecycle_stage = 'loyal' GROUP BY ALL
+        UNION ALL SELECT tenant_id, 'experiments', 'status', 'over', count(*) FROM t_experiments WHERE status = 'concluded' GROUP BY ALL""",
     "map_payments": """
         SELECT tenant_id, 'razorpay' AS source, 'pay_' || payment_id AS external_id, method, 'razorpay' AS gateway, status, amount_paise, 'INR' AS currency,
                failure_reason, occurred_at, order_id FROM t_payments""",

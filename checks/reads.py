@@ -42,6 +42,8 @@ QUERIES = {
     "campaign_roi_read": lambda t: reads.campaign_roi_read(Marts(t).campaign_roi),
     "leaks_summary": lambda t: (lambda m: r6(reads.leaks_summary(m.leak_facts, m.executive_kpis, m.orders)))(Marts(t)),
     "leaks_monthly": lambda t: (lambda m: reads.leaks_monthly(m.leak_facts, m.orders))(Marts(t)),
+    "cohort_pivot": lambda t: r6(reads.cohort_pivot(Marts(t).cohort_retention, 3)),
+    "customers_after": lambda t: (lambda m: reads.customers_after(m.rfm_current, m.dim_customers, AFTER[0], AFTER[1]))(Marts(t)),
     "customers_page": lambda t: (lambda m: reads.customers_page(m.rfm_current, m.dim_customers, page=2))(Marts(t)),
     "customers_page_segment": lambda t: (lambda m: reads.customers_page(
         m.rfm_current, m.dim_customers, segment="champions", page_size=500))(Marts(t)),
@@ -66,6 +68,8 @@ QUERIES = {
         t.predictions, t.dim_customers, Marts(t).rfm_current, page_size=20)),
     "customer_prediction": lambda t: reads.customer_prediction(t.predictions),
     "tenants_list": lambda t: reads.tenants_list(t.tenants),
+    "tenant_lookup": lambda t: reads.tenant_lookup(t.tenants, "2").unionByName(reads.tenant_lookup(t.tenants, "asia")).unionByName(
+        reads.tenant_lookup(t.tenants, "nowhere")),
 }
 
 CX6 = ("round(median_delivery_days, 6) AS median_delivery_days, round(rto_rate, 6) AS rto_rate, "
@@ -82,6 +86,7 @@ HEAT = """
       ON v.tenant_id = g.tenant_id AND v.cohort_month = g.cohort_month AND v.months_since = g.m
     LEFT JOIN (SELECT tenant_id, CAST(max({v}) AS DOUBLE) AS peak FROM v_cohort WHERE months_since > 0 GROUP BY ALL) p
       ON p.tenant_id = g.tenant_id"""
+AFTER = ("1998-03-01 00:00:00", 40)
 PAGE = """
     SELECT * EXCLUDE (place) FROM (
       SELECT r.tenant_id, r.customer_id, r.rfm_segment, recency_days, d.lifecycle_stage, orders_count, total_spent_paise,
@@ -214,4 +219,16 @@ SQL = {
     "customer_prediction": """
         SELECT tenant_id, customer_id, scored_at, p_alive, expected_orders_90d, ltv_12m_paise, churn_band, model_version FROM v_newpred""",
     "tenants_list": "SELECT * FROM t_tenants",
+    "tenant_lookup": "SELECT * FROM t_tenants WHERE tenant_id = 2 OR slug = 'asia'",
+    "cohort_pivot": f"SELECT tenant_id, cohort_month, cohort_size, {', '.join(f'max(value) FILTER (months_since = {m}) AS \"{m}\"' for m in range(4))} "
+                    f"FROM ({HEAT.format(v='retention_rate')}) GROUP BY tenant_id, cohort_month, cohort_size",
+    "customers_after": f"""
+        SELECT * EXCLUDE (place) FROM (
+          SELECT r.tenant_id, r.customer_id, r.rfm_segment, recency_days, d.lifecycle_stage, orders_count, total_spent_paise,
+                 first_order_at, last_order_at, d.whatsapp_opted_in, total,
+                 row_number() OVER (PARTITION BY r.tenant_id ORDER BY last_order_at DESC NULLS LAST, r.customer_id) AS place
+          FROM v_rfm r JOIN t_dim_customers d ON d.tenant_id = r.tenant_id AND d.customer_id = r.customer_id
+          JOIN (SELECT tenant_id, count(*) AS total FROM v_rfm GROUP BY ALL) n ON n.tenant_id = r.tenant_id
+          WHERE last_order_at < TIMESTAMP '{AFTER[0]}' OR (last_order_at = TIMESTAMP '{AFTER[0]}' AND r.customer_id > {AFTER[1]}) OR last_order_at IS NULL)
+        WHERE place <= 50""",
 }
