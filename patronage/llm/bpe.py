@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import per_batch, per_worker, shared, texts_of, vocabulary
+from patronage.llm.encoding import BYTE_LETTERS
 
 BATCH = 200
 KEEP_PIECES = 600_000
@@ -35,13 +36,6 @@ LONGEST_KEPT = 64
 FOREVER = 1 << 60
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
-
-
 class Vocabulary:
     """Tokens, their merge trees and the automaton of a byte-level tokenizers file."""
 
@@ -53,7 +47,7 @@ class Vocabulary:
         if (model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or parsed.get("normalizer")
                 or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges")):
             raise ValueError("a plain byte-level BPE file is needed")
-        letters = byte_letters()
+        letters = {chr(letter): byte for byte, letter in BYTE_LETTERS.items()}
         self.added = {a["content"]: a["id"] for a in parsed.get("added_tokens", [])}
         if any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in parsed.get("added_tokens", [])):
             raise ValueError("added tokens that take in their surroundings are not known here")

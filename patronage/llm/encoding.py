@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -13,6 +14,7 @@ ODD = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0
 ODD_SPACE = re.compile("[" + "".join(map(chr, ODD)) + "]")
 LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"  # the lower-case letters of Latin-1
 PIECES = re.compile(f"[^\\s{LATIN}]*[{LATIN}]+|[^\\s{LATIN}]+").findall
+RUN = re.compile(f"[{LATIN}]+").fullmatch
 #: A splitting pattern under which a run of letters always ends a piece, whatever follows it.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -40,6 +42,16 @@ def runs_apart(spec: str) -> bool:
     return words_apart(spec) and _first_split(parsed)["pattern"]["Regex"] == RUNS and steps == ["NFC", "Replace", "Lowercase"]
 
 
+def byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(other)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Encoder:
     """Whole texts to ids, little-endian unsigned 32-bit.
 
@@ -60,6 +72,18 @@ class Encoder:
         self.keep = keep
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces. A run of letters goes to the library's merges directly, which spares it the splitting."""
+        runs = [p for p in pieces if RUN(p)] if self.by_run else []
+        merge = self.library.model.tokenize
+        for p in runs:
+            own = merge(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS))
+            self.known[p] = struct.pack(f"<{len(own)}I", *[t.id for t in own])
+        rest = [p for p in pieces if not RUN(p)] if self.by_run else pieces
+        for at in range(0, len(rest), 20_000):
+            part = rest[at:at + 20_000]
+            self.known.update(zip(part, self._library(part)))
+
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in done]
@@ -86,10 +110,6 @@ class Encoder:
                 wanted.update(pieces)
         if len(self.known) + len(wanted) > self.keep and not wanted <= self.known.keys():
             self.known = {}
-        known = self.known
-        new = list(wanted - known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            known.update(zip(part, self._library(part)))
-        look = known.__getitem__
+        self._learn(list(wanted - self.known.keys()))
+        look = self.known.__getitem__
         return [self._library([t])[0] if pieces is None else b"".join(map(look, pieces)) for t, pieces in zip(texts, cut)]
