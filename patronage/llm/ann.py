@@ -12,6 +12,8 @@ Every vector is indexed, in the block it is dealt to; the directions do not depe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ from patronage.llm.vectors import nearest, prepared, query_set, valid
 PROJECTIONS = 96
 THRESHOLD = 0.6  # share of the windows a vector must lie in
 VERIFY = 0.25  # share of a block that is verified at least, besides k
-FIRST_WIDTH, WIDEN = 0.5, 1.25
+FIRST_WIDTH, WIDEN = 1.0, 1.25  # in units of a projection's spread over vectors of length one
+AT_ONCE = 256  # queries whose windows are open together
 SEED = 20_240_229
 
 
@@ -36,25 +39,39 @@ class CollisionIndex:
         self.values = np.take_along_axis(values, self.order.T, axis=0).T.copy()
         self.reach = float(np.abs(values).max(initial=0.0))
 
-    def candidates(self, unit_query: np.ndarray, wanted: int) -> np.ndarray:
-        """Positions of the vectors that collide with the query often enough, at the first width that gives `wanted`."""
-        centres = self.directions @ unit_query
-        need = int(np.ceil(THRESHOLD * len(centres)))
-        counts = np.zeros(self.n, np.int32)
-        low = high = None
-        width = FIRST_WIDTH
-        while True:
-            left = np.array([np.searchsorted(v, c - width) for v, c in zip(self.values, centres)])
-            right = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.values, centres)])
-            if low is None:
-                new = [o[a:b] for o, a, b in zip(self.order, left, right)]
-            else:  # only what the wider windows add
-                new = [o[a:b] for o, a, b in zip(self.order, left, low)] + [o[a:b] for o, a, b in zip(self.order, high, right)]
-            counts += np.bincount(np.concatenate(new), minlength=self.n).astype(np.int32)
-            low, high = left, right
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= wanted or width > self.reach + np.abs(centres).max():
-                return found
+    def candidates(self, unit_queries: np.ndarray, wanted: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Per query the positions of the vectors that collide with it often enough, at the first width that gives `wanted`.
+
+        Windows are found for all open queries together; a query counts only what each widening adds.
+        """
+        centres = unit_queries @ self.directions.T
+        need = int(np.ceil(THRESHOLD * centres.shape[1]))
+        end = self.reach + np.abs(centres).max(axis=1, initial=0.0)
+        counts: dict[int, np.ndarray] = {}
+        low = high = np.zeros(centres.shape, np.int64)
+        open_, width = np.arange(len(centres)), FIRST_WIDTH
+        while len(open_):
+            left, right = (
+                np.stack([np.searchsorted(v, c, side) for v, c in zip(self.values, (centres[open_] + shift).T)], axis=1)
+                for shift, side in ((-width, "left"), (width, "right"))
+            )
+            more = []
+            for n, query in enumerate(open_.tolist()):
+                windows = zip(self.order, left[n].tolist(), right[n].tolist())
+                if query in counts:
+                    old = zip(windows, low[n].tolist(), high[n].tolist())
+                    parts = [part for (o, a, b), c, d in old for part in (o[a:c], o[d:b])]
+                else:
+                    parts = [o[a:b] for o, a, b in windows]
+                count = np.bincount(np.concatenate(parts), minlength=self.n)
+                count += counts.pop(query, 0)
+                found = np.flatnonzero(count >= need)
+                if len(found) >= wanted or width > end[query]:
+                    yield query, found
+                else:
+                    counts[query] = count
+                    more.append(n)
+            open_, low, high = open_[more], left[more], right[more]
             width *= WIDEN
 
 
@@ -63,13 +80,15 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     index = CollisionIndex(vectors / lengths[:, None])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     wanted = k + 1 + int(VERIFY * len(ids))
-    for query_id, q in zip(query_ids, queries):
-        length = np.linalg.norm(q)
-        found = index.candidates(q / length, wanted)
-        found = found[ids[found] != query_id]
-        scores = (vectors[found] @ q) / (lengths[found] * length)
-        best = np.lexsort((ids[found], -scores))[:k]
-        out.append((np.full(len(best), query_id), ids[found][best], scores[best]))
+    sizes = np.linalg.norm(queries, axis=1)
+    for at in range(0, len(queries), AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        for n, found in index.candidates(queries[part] / sizes[part, None], wanted):
+            query_id, q = query_ids[at + n], queries[at + n]
+            found = found[ids[found] != query_id]
+            scores = (vectors[found] @ q) / (lengths[found] * sizes[at + n])
+            best = np.lexsort((ids[found], -scores))[:k]
+            out.append((np.full(len(best), query_id), ids[found][best], scores[best]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
