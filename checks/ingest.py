@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.marts import r6
 from patronage.operators import identity
-from patronage.session import work_path
+from patronage.session import settle, work_path
 from patronage.sources import crm, landing, shop, sinks
 from patronage.sources.payloads import Payloads
 
@@ -30,11 +30,12 @@ def consent_links(t, source):
     return linked(t, source).select("tenant_id", "external_id", "customer_id")
 
 
-def profile_links(t, source):
-    """Customers of message records whose profile id is the customer's own."""
-    p = Payloads(t)
-    return p.messages(source).select("tenant_id", "external_id", F.get_json_object("payload", "$.profile.id").alias("pid")).join(
-        t.customers.select("tenant_id", "customer_id", F.concat(F.lit("kp"), "customer_id").alias("pid")), ["tenant_id", "pid"])
+def message_links(t, source):
+    """Customers of message records, through the profile ids that consent brought in."""
+    owners = t.customers.select("tenant_id", F.lit(crm.PROFILE_KEY[source]).alias("identity_type"),
+                                F.concat(F.lit("kp"), "customer_id").alias("identity_value"), "customer_id")
+    known = settle(handles(t).select(*owners.columns).unionByName(owners))
+    return crm.link_profiles(crm.profiles(Payloads(t).messages(source), source, "messages"), known).select("tenant_id", "external_id", "customer_id")
 
 
 def _state(raw):
@@ -187,9 +188,9 @@ QUERIES = {
     "map_consent": lambda t: crm.map_consent(
         P(t).consent("interakt"), "interakt", consent_links(t, "interakt"), P(t).consent("interakt").where("seq % 4 = 0")),
     "consent_flags": _flags,
-    "map_messages": lambda t: crm.map_messages(P(t).messages("klaviyo"), "klaviyo", profile_links(t, "klaviyo"),
+    "map_messages": lambda t: crm.map_messages(P(t).messages("klaviyo"), "klaviyo", message_links(t, "klaviyo"),
                                                P(t).campaign_lookup()).unionByName(
-        crm.map_messages(P(t).messages("interakt"), "interakt", profile_links(t, "interakt"), P(t).campaign_lookup())),
+        crm.map_messages(P(t).messages("interakt"), "interakt", message_links(t, "interakt"), P(t).campaign_lookup())),
     "map_tickets": lambda t: crm.map_tickets(P(t).tickets(), handles(t), P(t).order_lookup()),
     "map_reviews": lambda t: crm.map_reviews(P(t).reviews(), handles(t), P(t).order_lookup(), P(t).product_lookup()).drop("body"),
     "link_nps": _link_nps,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions import normalize_email, normalize_phone, parse_time
 from patronage.operators.identity import follow_pointers
+from patronage.session import settle
 from patronage.sources.shop import KEY, filled, latest, parsed
 
 # Default channel and profile handle of each messaging source.
@@ -98,6 +99,7 @@ def link_profiles(found: DataFrame, identities: DataFrame, canonical: DataFrame
     `minted_source`. `canonical` maps merged customers to live ones. Records that are not
     linkable get neither a customer nor a minted one, and claim nothing.
     """
+    found = settle(found)  # parsed once; the steps below read it many times
     if "linkable" in found.columns:
         nobody = found.where("not linkable").select(
             "*", F.lit(None).cast("long").alias("customer_id"), F.lit(None).cast("string").alias("minted_external_id"),
