@@ -286,7 +286,7 @@ for _name, _parts in COMPONENTS.items():
 _ALL = " ".join(f"LEFT JOIN v_score_{n} ON v_score_{n}.tenant_id = t.tenant_id" for n in COMPONENTS)
 _W = {"gravity": 20, "flow": 12, "signal": 12, "watertight": 12, "vitals": 10, "velocity": 10, "pulse": 10, "autopilot": 8,
       "altitude": 6}
-# A tenant without orders: flow 10 (nothing dormant came back scores the floor), watertight 100, the rest 0 or skipped.
+# A tenant without orders: watertight 100, the rest 0 or skipped.
 VIEWS["v_all_scores"] = f"""
     SELECT t.tenant_id, {', '.join(_W)} FROM t_tenants t {_ALL}
     UNION ALL BY NAME SELECT max(tenant_id) + 94 AS tenant_id, 0.0::DOUBLE AS gravity, 0.0::DOUBLE AS flow, 0.0::DOUBLE AS signal,
