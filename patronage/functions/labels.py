@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The names and the boundaries of segments, stages and bands in this module.
+
 
 def rfm_segment(r: Column, f: Column) -> Column:
     """Ten segments from the recency and frequency quintiles; first match wins."""

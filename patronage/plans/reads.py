@@ -18,7 +18,7 @@ WINDOW_MONTHS = 12
 PAGE_MAX = 200  # largest page unless the caller says otherwise
 
 # The nine scores in display order, those of the second phase,
-# and the stage each belongs to.
+# and the stage each belongs to; also the column names of every result in this module.
 SCORE_NAMES = ("gravity", "flow", "signal", "watertight", "vitals", "velocity", "autopilot", "pulse", "altitude")
 SECOND_PHASE = ("vitals", "velocity", "autopilot", "pulse", "altitude")
 STAGES = {

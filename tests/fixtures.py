@@ -1,4 +1,7 @@
-"""Hand-made tenants with known results."""
+"""Hand-made tenants with known results.
+
+Fixed values: the rows of the tenants below, whose results must come out as stated in the tests.
+"""
 
 from datetime import datetime, timedelta
 from types import SimpleNamespace
