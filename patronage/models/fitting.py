@@ -5,8 +5,8 @@ a few dozen trial parameter vectors to their own rows and get the summed log-lik
 each back; a damped Newton step per tenant, on log parameters, follows from those totals
 as one row per tenant. Tenants that are done send nothing, so their rows drop out.
 
-A pass either lowers a tenant's loss by more than the tolerance or raises its
-damping, whose growth ends in a stalled tenant; so the loop needs no bound on passes.
+A pass either lowers a tenant's loss or raises its damping, whose growth ends in a stalled
+tenant; so the loop needs no bound on passes.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PENALTY = 1e-4  # blocks the ridge towards infinity
 STEP = 1e-3
 LONGEST_STEP = 2.0
 DAMPING_END = 1e7
+PROMISE = 1e-12  # fall in loss still promised at which a fit has converged
+ROUNDING = 1e-11  # the same relative to the loss, once a step has failed to lower it: a loss is a sum over many rows
 DIGITS = 6  # of a fitted parameter; below that sums in another order show
 
 LogLik = Callable[[DataFrame], DataFrame]  # (tenant_id, points array<array<double>>) -> (tenant_id, trial int, ll double)
@@ -82,13 +84,21 @@ def slopes(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return gradient, curve
 
 
-def newton(gradient: np.ndarray, curve: np.ndarray, damping: float) -> np.ndarray:
-    """Downhill step with the curvature made positive."""
-    size, axes = np.linalg.eigh(curve)
-    size = np.maximum(np.abs(size), 1e-8 * max(1.0, float(np.abs(size).max()))) * (1.0 + damping)
-    step = -axes @ ((axes.T @ gradient) / size)
+def newton(at: np.ndarray, gradient: np.ndarray, curve: np.ndarray, damping: float) -> tuple[np.ndarray, float]:
+    """Downhill step inside the box with the curvature made positive, and the fall in loss that an undamped one promises.
+
+    A parameter at a wall that it would cross stays there and takes no part.
+    """
+    free = ~(((at <= LOG_LOW) & (gradient > 0)) | ((at >= LOG_HIGH) & (gradient < 0)))
+    step = np.zeros(len(at))
+    if not free.any():
+        return step, 0.0
+    size, axes = np.linalg.eigh(curve[np.ix_(free, free)])
+    size = np.maximum(np.abs(size), 1e-8 * max(1.0, float(np.abs(size).max())))
+    along = axes.T @ gradient[free]
+    step[free] = -axes @ (along / (size * (1.0 + damping)))
     length = float(np.linalg.norm(step))
-    return step if length <= LONGEST_STEP else step * (LONGEST_STEP / length)
+    return step if length <= LONGEST_STEP else step * (LONGEST_STEP / length), float(np.sum(along**2 / size)) / 2
 
 
 def advance(row: dict, k: int) -> dict:
@@ -98,28 +108,26 @@ def advance(row: dict, k: int) -> dict:
     for t in row["totals"]:
         values[t["trial"]] = t["ll"]
     loss = -values + PENALTY * np.sum(np.exp(points) ** 2, axis=1)
-    first = row["best"] is None
-    best, status, damping = row["best"], "open", row["damping"]
-    if not first and not loss[0] < row["loss"]:
-        damping = max(1.0, damping * 4.0)
-        packed, lowest = row["slopes"], row["loss"]
-        if damping > DAMPING_END:
-            status = "converged" if np.linalg.norm(np.array(packed[:k])) <= 1e-5 * max(1.0, abs(lowest)) else "stalled"
-    else:
+    best, lowest, packed, damping = row["best"], row["loss"], row["slopes"], row["damping"]
+    better = best is None or loss[0] < lowest
+    if better:
         gradient, curve = slopes(loss, k)
-        packed, lowest = [*gradient, *curve.ravel()], float(loss[0])
+        best, lowest, packed = trial.tolist(), float(loss[0]), [float(v) for v in (*gradient, *curve.ravel())]
         damping /= 4.0 if damping > 1e-3 else 1e9
-        if not first:
-            gain, moved = row["loss"] - lowest, float(np.abs(trial - np.array(best)).max())
-            if (gain < 1e-7 and moved < 1e-5) or gain < 1e-11 * abs(lowest):
-                status = "converged"
-        best = trial.tolist()
-    out = {"tenant_id": row["tenant_id"], "best": best, "loss": lowest, "slopes": [float(v) for v in packed],
-           "damping": damping, "passes": row["passes"] + 1, "status": status, "points": None, "trial": None}
+    else:
+        damping = max(1.0, damping * 4.0)
+    at, gradient, curve = np.array(best), np.array(packed[:k]), np.array(packed[k:]).reshape(k, k)
+    step, promise = newton(at, gradient, curve, damping)
+    status = "open"
+    if promise <= (PROMISE if better else ROUNDING * abs(lowest)):
+        status = "converged"
+    elif damping > DAMPING_END:
+        status = "stalled"
+    out = {"tenant_id": row["tenant_id"], "best": best, "loss": lowest, "slopes": list(packed), "damping": damping,
+           "passes": row["passes"] + 1, "status": status, "points": None, "trial": None}
     if status == "open":
-        gradient, curve = np.array(packed[:k]), np.array(packed[k:]).reshape(k, k)
-        step = np.clip(np.array(best) + newton(gradient, curve, damping), LOG_LOW, LOG_HIGH)
-        out |= {"trial": step.tolist(), "points": stencil(step).tolist()}
+        trial = np.clip(at + step, LOG_LOW, LOG_HIGH)
+        out |= {"trial": trial.tolist(), "points": stencil(trial).tolist()}
     return out
 
 
