@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import language, lines, packing, simhash, toxicity
+from patronage.llm import language, lines, near, packing, toxicity
 from patronage.llm.common import fresh, read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -51,8 +51,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: the one with the least id."""
-    return simhash.deduplicate(docs)
+    """One document of every group of near copies (0.8 of the five-word shingles): the one with the least id."""
+    return near.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

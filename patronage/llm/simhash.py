@@ -35,21 +35,24 @@ BATCH = 500
 WIDTH = 64
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """SimHash of a text's word shingles, repeats included, as a signed long; no words: 0."""
+def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
+    """Hashes of a text's word shingles, repeats included; no words: none."""
     import xxhash
 
     parts = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not parts:
-        return 0
+        return []
     whole = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = [digest(whole, SEED)]
-    else:
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        starts = np.concatenate(([0], ends[:-words])).tolist()
-        hashes = [digest(whole[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist())]
+        return [digest(whole, SEED)]
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = np.concatenate(([0], ends[:-words])).tolist()
+    return [digest(whole[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist())]
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that most hashes have, as a signed long; no hashes: 0."""
     count = np.zeros(WIDTH, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = np.array(hashes[at:at + 65_536], dtype="<u8")
@@ -57,6 +60,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """SimHash of a text's word shingles, repeats included, as a signed long; no words: 0."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) per row of `docs`, over whole texts; a null text has no words."""
 
@@ -206,9 +214,14 @@ def deduplicate(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFr
     belong to no group that can be named by an id, so they all stay.
     """
     groups = near_groups(docs, words, bits)
-    kept, nth = fresh(docs, "kept_doc"), fresh(docs, "nth")
-    keep = groups.where("component_id = doc_id").select(F.col("doc_id").alias(kept)).distinct()
+    return kept(docs, groups.where("component_id = doc_id").select("doc_id").distinct())
+
+
+def kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` under `ids` (doc_id), the first by text of each, and all rows with a null doc_id."""
+    own, nth = fresh(docs, "kept_doc"), fresh(docs, "nth")
+    keep = ids.withColumnRenamed("doc_id", own)
     doc = F.col("doc_id").cast("long")
     first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.where(doc.isNotNull()).join(keep, doc == F.col(kept), "left_semi").withColumn(nth, F.row_number().over(first))
+    named = docs.where(doc.isNotNull()).join(keep, doc == F.col(own), "left_semi").withColumn(nth, F.row_number().over(first))
     return named.where(F.col(nth) == 1).drop(nth).unionByName(docs.where(doc.isNull()))
