@@ -8,7 +8,9 @@ pivot tables comes first and finds the closest copies cheaply, and a prefix filt
    link counts when the documents' Jaccard similarity says so. That connects most of a large group by a forest.
 2. With shingles in one order for all documents, two sets that are similar enough have their first common shingle
    among the first n - ceil(0.8 n) + 1 of either. Documents meet by these. Pairs that step 1 connected, whose sizes
-   are too different, or whose places leave too few shingles in common go unseen; the others are verified.
+   are too different, whose places leave too few shingles in common, or whose counts of shingles in `BINS` bins are further
+   apart than similar sets can be go unseen; the others are verified, in the first `ROUNDS` rounds only a spanning forest
+   of what each task finds, so that pairs of a large group are connected before they are all looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from patronage.llm.lines import _by_key
 WORDS = 5
 OF, SHARE = 5, 4  # least Jaccard similarity: SHARE / OF
 CHUNK = 2048
+BINS = 64
+ROUNDS = 2
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -45,13 +49,13 @@ def _row():
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, whole, n, fp, prefix) per row of `docs`: hashes of the row and of its set, size, fingerprint, first shingles."""
+    """(doc_id, row, whole, n, fp, prefix, bins) per row of `docs`: hashes of the row and of its set, size, fingerprint, first shingles, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in per_batch(simhash.BATCH, batches):
-            whole, n, fps, prefix = [], [], [], []
+            whole, n, fps, prefix, bins = [], [], [], [], []
             for text in texts_of(batch):
                 hashes = simhash.shingle_hashes(text, WORDS)
                 own = np.unique(np.array(hashes, dtype=np.uint64))
@@ -59,12 +63,13 @@ def sets(docs: DataFrame) -> DataFrame:
                 n.append(len(own))
                 fps.append(simhash.majority(hashes))
                 prefix.append(own[:len(own) - -(-SHARE * len(own) // OF) + 1].view(np.int64))
+                bins.append(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "whole", "n", "fp", "prefix"])
+                [batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
+                names=["doc_id", "row", "whole", "n", "fp", "prefix", "bins"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, row long, whole long, n long, fp long, prefix array<long>")
+    return own.mapInArrow(run, "doc_id long, row long, whole long, n long, fp long, prefix array<long>, bins binary")
 
 
 def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -102,21 +107,34 @@ def close_fingerprints(distinct: DataFrame) -> DataFrame:
     return same.unionByName(linked.select("a", "b"))
 
 
-def candidates(rooted: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of sets of different roots that a common shingle of their prefixes does not rule out."""
-    posted = stored(rooted.select("whole", "n", "root", F.posexplode("prefix").alias("at", "key")), "prefixes")
+def prefixes(distinct: DataFrame) -> DataFrame:
+    """(whole, n, at, key) of the shingles that at least two sets have in their prefixes."""
+    posted = stored(distinct.select("whole", "n", F.posexplode("prefix").alias("at", "key")), "prefixes")
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    return stored(posted.join(shared, "key", "left_semi"), "shared-prefixes")
+
+
+def candidates(posted: DataFrame, rooted: DataFrame, spanning: bool, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of sets of different roots that a common shingle of their prefixes does not rule out.
+
+    spanning: of each batch of a task only a spanning forest of these pairs.
+    """
+    posted = posted.join(rooted.select("whole", "root", "bins"), "whole")
+    posted = stored(posted, "rooted-prefixes")
     sizes = stored(posted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
                    .where("low <> high").select("key", F.ceil(F.col("m") / chunk).cast("int").alias("chunks")), "prefix-sizes")
     own = F.pmod(F.xxhash64("whole"), F.col("chunks")).cast("int")
     dealt = (
         posted.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), "whole", "n", "root", "at",
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), "whole", "n", "root", "at", "bins",
                 F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _ in _by_key(batches):
             key, whole, n, root, at, side = (rows.column(c).to_numpy() for c in ("meeting", "whole", "n", "root", "at", "side"))
+            bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            forest = simhash.Forest()
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             end = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
             left, step = np.arange(len(key)), 1
@@ -124,8 +142,15 @@ def candidates(rooted: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 a, b = left, left + step
                 most = np.minimum(n[a] - at[a], n[b] - at[b])
                 meet = (root[a] != root[b]) & ((side[a] == 2) | (side[a] != side[b])) & similar(most, n[a], n[b])
-                if meet.any():
-                    a, b = whole[a[meet]], whole[b[meet]]
+                a, b = a[meet], b[meet]
+                gap = bins[a] - bins[b]  # modulo 256
+                meet = np.minimum(gap, -gap).sum(axis=1, dtype=np.int64) * (OF + SHARE) <= (n[a] + n[b]) * (OF - SHARE)
+                a, b = a[meet], b[meet]
+                if spanning:
+                    new = np.array([forest.join(x, y) for x, y in zip(root[a].tolist(), root[b].tolist())], dtype=bool)
+                    a, b = a[new], b[new]
+                if len(a):
+                    a, b = whole[a], whole[b]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 step += 1
 
@@ -139,12 +164,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     a text shorter than a shingle is one shingle; a null doc_id is no obstacle; repeated rows come back each.
     """
     marked = stored(sets(docs), "shingled")
-    distinct = stored(marked.groupBy("whole").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("prefix").alias("prefix")), "distinct-sets")
-    first = stored(verified(docs, distinct, stored(close_fingerprints(distinct), "close-fingerprints")), "close-links")
-    roots = components(first).withColumnRenamed("node", "whole")
-    rooted = distinct.join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
-    second = verified(docs, distinct, stored(candidates(rooted), "near-pairs"))
-    roots = components(first.unionByName(second)).withColumnRenamed("node", "whole")
+    distinct = stored(marked.groupBy("whole").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")), "distinct-sets")
+    links = stored(verified(docs, distinct, stored(close_fingerprints(distinct), "close-fingerprints")), "close-links")
+    posted = prefixes(distinct)
+    for turn in range(ROUNDS + 1):
+        roots = components(links).withColumnRenamed("node", "whole")
+        rooted = distinct.join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
+        pairs = stored(candidates(posted, rooted, turn < ROUNDS), "near-pairs")
+        links = links.unionByName(stored(verified(docs, distinct, pairs), "near-links"))
+    roots = components(links).withColumnRenamed("node", "whole")
     return marked.select("doc_id", "row", "whole").join(roots, "whole", "left").select("doc_id", "row", F.coalesce("root", "whole").alias("component"))
 
 
