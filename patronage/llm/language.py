@@ -9,7 +9,7 @@ sample per language; tasks compute the features of whole texts and the margins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +25,8 @@ PER_LANGUAGE = 300  # documents of one language that a fit sees at most
 SAMPLE_CHARS = 20_000  # longest document of the sample
 BATCH = 200
 SLOPE = 2.0  # of the curve from margins to scores
+FOLDS = 3  # of the sample, to measure margins of rows a fit has not seen
+KEEP = 0.995  # share of right held-out rows of a language whose margin is enough
 FAMILIES = {
     **dict.fromkeys("af da de en fo fy is lb nl nn no sv yi".split(), "germanic"),
     **dict.fromkeys("an ast ca co es fr gl it la oc pt ro sc".split(), "romance"),
@@ -50,6 +52,8 @@ class Model:
     families: tuple[tuple[str, tuple[str, ...]], ...]
     of_family: np.ndarray
     of_pair: dict[tuple[str, str], np.ndarray]
+    of_language: dict[str, np.ndarray] = field(default_factory=dict)  # against all other languages
+    least: dict[str, float] = field(default_factory=dict)  # margin of a language below which a text is in none
 
 
 # Bytes that are no letters become a space; bytes over 127 belong to letters almost always.
@@ -121,6 +125,48 @@ def predict(model: Model, x: np.ndarray) -> tuple[str, float]:
     return best, score * min([1.0, *map(sure, lead[best])])
 
 
+def evidence(model: Model, x: np.ndarray, language: str) -> float:
+    """The smaller of the margins that the language's family and the language itself have against all the rest."""
+    family = next(i for i, (_, members) in enumerate(model.families) if language in members)
+    own = [float(model.of_language[language] @ x)]
+    return min(own + [float(model.of_family[family] @ x)] * (len(model.families) > 1))
+
+
+def with_evidence(x: np.ndarray, languages: list[str], families: dict[str, str] = FAMILIES) -> Model:
+    """A model that also knows the least evidence for each language, from rows held out of `FOLDS` fits.
+
+    With a single language there is no rest to tell it from, and no least evidence.
+    """
+
+    def whole(x: np.ndarray, spoken: list[str]) -> Model:
+        known = sorted(set(spoken))
+        machines = {v: svm(x, np.where(np.array(spoken) == v, 1.0, -1.0)) for v in known} if len(known) > 1 else {}
+        return replace(fit(x, spoken, families), of_language=machines)
+
+    model, margins = whole(x, languages), {v: [] for v in languages}
+    if not model.of_language:
+        return model
+    place = np.zeros(len(languages), dtype=int)  # every language is dealt to all folds
+    for v in margins:
+        own = np.flatnonzero(np.array(languages) == v)
+        place[own] = np.arange(len(own)) % FOLDS
+    for fold in range(FOLDS):
+        seen = np.flatnonzero(place != fold)
+        part = whole(x[seen], [languages[i] for i in seen])
+        for i in np.flatnonzero(place == fold):
+            if part.of_language and predict(part, x[i])[0] == languages[i]:
+                margins[languages[i]].append(evidence(part, x[i], languages[i]))
+    return replace(model, least={v: float(np.quantile(m, 1 - KEEP, method="lower")) for v, m in margins.items() if m})
+
+
+def predict_known(model: Model, x: np.ndarray) -> tuple[str, float]:
+    """As `predict`, but `und` with score 0 for a text with less evidence than nearly all texts of the language have."""
+    language, score = predict(model, x)
+    if model.of_language and evidence(model, x, language) < model.least.get(language, -np.inf):
+        return UNKNOWN, 0.0
+    return language, score
+
+
 def _vectors(docs: DataFrame, columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in per_batch(BATCH, batches):
@@ -130,8 +176,8 @@ def _vectors(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, "text").mapInArrow(run, f"{columns[0]} string, {columns[1]} long, x binary")
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILIES) -> Model:
-    """Fit on `docs` (doc_id, text, lang).
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILIES, reject: bool = False) -> Model:
+    """Fit on `docs` (doc_id, text, lang); with `reject`, `identify` gives `und` to texts without evidence for a language.
 
     Rows with a null text or lang, without a letter, or longer than `SAMPLE_CHARS` are not
     drawn. The draw is by a hash of text and id, about `per_language` for each language and never more. With no row the
@@ -154,14 +200,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str,
     if not kept:
         return fit(np.zeros((0, DIM + 1)), [])
     x = np.stack([np.frombuffer(v, dtype="<f4").astype(float) for _, v in kept])
-    return fit(x, [lang for lang, _ in kept], families)
+    return (with_evidence if reject else fit)(x, [lang for lang, _ in kept], families)
 
 
 def identify(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """`docs` with the predicted language of its whole `text` and a score from 0 to 1.
 
     A null text, a text without a letter, or a model without languages gives `und` with
-    score 0. All other columns are passed on, and one called like a new column is replaced;
+    score 0, as does a text with too little evidence where the model can tell. All other columns are passed on, and one called like a new column is replaced;
     repeated rows come back each; an empty table stays empty.
     """
     sent = shared(docs.sparkSession, model)
@@ -173,7 +219,7 @@ def identify(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in per_batch(BATCH, batches):
-            found = [predict(model, features(t)) if model.families and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t in texts_of(batch, text)]
+            found = [predict_known(model, features(t)) if model.families and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t in texts_of(batch, text)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(kept)], pa.array([f for f, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=[*kept, lang_name, score_name])
