@@ -43,7 +43,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that equal or nearly equal an earlier one; `n_chars`, if there, follows the text."""
-    done = lines.deduplicate_lines(docs)
+    done = lines.deduplicate_lines(docs, shortest=1)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.length("text").cast(kind))

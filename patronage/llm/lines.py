@@ -1,6 +1,6 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of at least `MIN_CHARS` characters are duplicates when they are equal or at most `allowed` edits apart
+Lines are duplicates when they are equal or, from `MIN_CHARS` characters on, at most `allowed` edits apart
 (one edit per `CHARS_PER_EDIT` characters, `EDITS` at most), and a line belongs to the class of all it reaches
 over such pairs. Of every class the first occurrence stays, by doc_id and place in the document.
 
@@ -305,17 +305,18 @@ def line_links(docs: DataFrame, edits: int = EDITS, chunk: int = CHUNK) -> DataF
     return met.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(verify, "a long, b long")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (hash of id and text), place, line and check hash of every line that counts."""
+def _marked(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+    """doc_id, doc (hash of id and text), place, line and check hash of every line that counts: not blank, `shortest` characters or more."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("doc", F.xxhash64("doc_id", "text"))
-    lines = own.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "body")).where(F.length("body") >= MIN_CHARS)
+    lines = own.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("place", "body"))
+    lines = lines.where((F.length("body") >= shortest) & F.col("body").rlike("\\S"))
     return lines.select("doc_id", "doc", "place", F.xxhash64("body").alias("line"), F.xxhash64("body", F.lit(1)).alias("check"))
 
 
-def surplus_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def surplus_lines(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc, place, line) of every line that is not the first of its class."""
-    occurrences = _marked(docs)
+    occurrences = _marked(docs, shortest)
     at = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "doc", "place")
     exact = stored(occurrences.groupBy("line", "check").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "exact-lines")
     roots = components(line_links(docs, edits)).withColumnRenamed("node", "line")
@@ -329,18 +330,19 @@ def surplus_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return occurrences.join(judged, ["line", "check"]).where(at != F.col("kept")).select("doc", "place", "line")
 
 
-def deduplicate_lines(docs: DataFrame, edits: int = EDITS, removed: str | None = None) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, edits: int = EDITS, removed: str | None = None, shortest: int = MIN_CHARS) -> DataFrame:
     """`docs` with the surplus lines taken out of `text`; all other columns, and all rows, stay.
 
     removed: name of a further column with the places (from 0) of the lines taken out, ascending.
+    shortest: length from which equal lines count as repeated; near-equal ones count from `MIN_CHARS` on.
 
-    Defined cases: null text stays null, empty text empty; lines under `MIN_CHARS` characters always stay;
+    Defined cases: null text stays null, empty text empty; lines under `shortest` characters and blank lines always stay;
     a document may end up empty; equal lines at one doc_id go by their place, documents
     with a null id come last; rows with the same id and text are one document and
     come back alike; an empty table stays empty; texts and lines of any length are compared whole.
     """
     doc, places_, at = fresh(docs, "doc_key"), fresh(docs, "surplus"), removed or fresh(docs, "removed_places")
-    per_doc = surplus_lines(docs, edits).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("place").alias(places_))
+    per_doc = surplus_lines(docs, edits, shortest).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("place").alias(places_))
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names = list(docs.columns)
     joined = docs.withColumn("text", F.col("text").cast("string")).join(per_doc, own == F.col(doc), "left").select(*names, places_)

@@ -35,7 +35,7 @@ def op2_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.size(F.split("text", "\n", -1))
-    done = lines.deduplicate_lines(docs, removed="removed")
+    done = lines.deduplicate_lines(docs, removed="removed", shortest=1)
     kept = F.when(F.col("text").isNotNull(), n_lines).otherwise(0)
     return done.select("doc_id", kept.alias("kept_lines"), "removed", F.sha2("text", 256).alias("text_sha256"), "text")
 
