@@ -79,7 +79,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     lengths = np.linalg.norm(vectors, axis=1)
     index = CollisionIndex(vectors / lengths[:, None])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    wanted = k + 1 + int(VERIFY * len(ids))
+    wanted = k + int(np.unique(ids, return_counts=True)[1].max(initial=1)) + int(VERIFY * len(ids))  # own vectors do not count
     sizes = np.linalg.norm(queries, axis=1)
     for at in range(0, len(queries), AT_ONCE):
         part = slice(at, at + AT_ONCE)

@@ -22,15 +22,15 @@ MATCH = "query_id long, vec_id long, score {}"
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x array<double>): one vector per id, all components finite.
+    """(vec_id, x array<double>): the different vectors of every id, all components finite.
 
     Rows with a null id, a null or empty vector, or null or non-finite components take no
-    part. Of different vectors under one id the least counts.
+    part. Equal rows count once; different vectors under one id all count.
     """
     x = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and size(x) > 0")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return rows.where(finite).groupBy("vec_id").agg(F.min("x").alias("x"))
+    return rows.where(finite).distinct()
 
 
 def matrix(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
