@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.llm import simhash
-from patronage.llm.common import per_batch, stored, texts_of
+from patronage.llm.common import fresh, per_batch, stored, texts_of
 from patronage.llm.graph import components
 from patronage.llm.lines import _by_key
 
@@ -177,10 +177,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near copies: of each group the row with the least doc_id stays.
+    """The rows of `docs` without near copies: of each group one row stays, that with the least doc_id, null coming last.
 
-    Of repeated rows with that id one stays: the first by text. Rows with a null doc_id
-    belong to no group that can be named by an id, so they all stay.
+    Of rows with that id the first by a hash of id and text stays, and of equal rows one.
     """
-    groups = near_copies(docs).where("doc_id is not null")
-    return simhash.kept(docs, groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    at = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    own, nth = fresh(docs, "kept_row"), fresh(docs, "nth")
+    first = near_copies(docs).groupBy("component").agg(F.min(at).alias("first")).select(F.col("first.row").alias(own))
+    rows = docs.join(first, _row() == F.col(own), "left_semi")
+    once = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
+    return rows.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)

@@ -53,3 +53,10 @@ def test_edge_documents(edge, empty):
     assert sorted((r["doc_id"] for r in near.deduplicate(edge).collect()), key=lambda d: (d is None, d or 0)) == [1, 2, 5, 6, 8, 9, None]
     assert near.deduplicate(edge).columns == edge.columns
     assert near.deduplicate(empty).count() == 0
+
+
+def test_copies_without_ids_are_one_group(docs_frame):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (None, "alone in this table of rows"), (None, "alone in this table of rows"),
+            (4, "one two three four five six"), (4, "one two three four five six")]
+    got = sorted(((r["doc_id"], r["text"]) for r in near.deduplicate(docs_frame(rows)).collect()), key=str)
+    assert got == [(4, "one two three four five six"), (None, "alone in this table of rows")]
