@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import ann, bpe, language, lines, packing, simhash, spelling, tokens, topk, toxicity, turns, urls
+from patronage.llm import ann, bpe, language, lines, packing, personal, simhash, spelling, tokens, topk, toxicity, turns, urls
 from patronage.llm.common import crc32_mod, read
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -76,11 +76,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_digest(read(spark, sf_dir, "conversations"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return personal.digest(docs, personal.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_compression_toxicity, op2_hierarchical_language, op3_line_dedup, op4_best_fit_packing, op5_token_files, op6_bpe_round_trip,
         op7_collision_neighbours, op8_url_templates, op9_dual_tree_top_k, op10_simhash_near_dedup,
-        op11_spelling_variants, op12_conversation_repair,
+        op11_spelling_variants, op12_conversation_repair, op13_personal_data,
     )
 }
 SQL: dict[str, str] = {"op8_url_templates": urls.SQL, "op9_dual_tree_top_k": topk.SQL}
