@@ -35,7 +35,7 @@ RUN = "[A-Za-zÀ-ÿ]"
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 LETTERS = 26 + 64  # a-z and U+00C0 to U+00FF
 NONE = -1
-#: Words that cells are fitted on, and the longest among them; longer words have one cell per length.
+#: Words that cells are fitted on (a share of the words by hash, so many are expected), and the longest among them; longer words have one cell per length.
 SAMPLE, SAMPLE_LENGTH = 65_536, 64
 CELL = 2048  # words that a cell is to have, by the sample
 LEAST_SAMPLED = 16  # sampled words that a cell has at least
@@ -182,7 +182,8 @@ def codes_of(words: list[bytes]) -> np.ndarray:
 def _cells(words: DataFrame) -> dict[int, object]:
     """Per length the tree whose leaves are cells, grown over the sample."""
     total = words.count()
-    rows = words.where(F.length("word") <= SAMPLE_LENGTH).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()
+    share = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / max(1, total))
+    rows = words.where(share & (F.length("word") <= SAMPLE_LENGTH)).select("word").collect()
     by_length: dict[int, list[bytes]] = {}
     for r in rows:
         by_length.setdefault(len(r["word"]), []).append(r["word"].encode("latin-1"))
