@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from types import ModuleType
 from typing import Any
 
@@ -21,9 +22,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` into the shared folder and read it back: lost executors cost nothing before it."""
+_scratch: list[list[str]] = []  # the paths of every open `scratch`, the innermost last
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside go at the end, but for those stored with `keep`. What is to outlast it must be stored so."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write `df` into the shared folder and read it back: lost executors cost nothing before it.
+
+    keep: the table outlasts the innermost `scratch`.
+    """
     path = work_path(df.sparkSession, label)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -51,12 +51,15 @@ def test_close_lines_share_a_key(edits):
         assert lines.bridged(s[:1], s[1:], edits)[0]
 
 
-def brute(rows):
-    """doc_id -> places taken out, over all pairs of lines; ids are distinct and not null."""
+def brute(rows, shortest=lines.MIN_CHARS):
+    """doc_id -> places taken out, over all pairs of lines; ids are distinct and not null.
+
+    Equal lines count from `shortest` characters on, blank ones excepted, near-equal ones from `MIN_CHARS` on.
+    """
     occurs = {}
     for doc, text in rows:
         for place, line in enumerate((text or "").split("\n")):
-            if text is not None and len(line) >= lines.MIN_CHARS:
+            if text is not None and len(line) >= shortest and line.strip():
                 occurs.setdefault(line, []).append((doc, place))
     distinct = sorted(occurs, key=len)
     up = {x: x for x in distinct}
@@ -70,7 +73,7 @@ def brute(rows):
         for b in distinct[i + 1:]:
             if len(b) - len(a) > lines.EDITS:
                 break
-            if distance(a, b) <= lines.allowed(len(a)):
+            if len(a) >= lines.MIN_CHARS and distance(a, b) <= lines.allowed(len(a)):
                 up[root(a)] = root(b)
     classes = {}
     for line, at in occurs.items():

@@ -86,15 +86,7 @@ def test_edge_documents(edge, empty):
     assert by_id[2] == by_id[3] == by_id[4] == by_id[10] == ("0" * 16, 2)
     assert by_id[1] == by_id[7] and by_id[7][1] == 1
     assert by_id[None][1] is None
-    kept = [r["doc_id"] for r in simhash.deduplicate(edge).collect()]
-    assert sorted(kept, key=lambda d: (d is None, d or 0)) == [1, 2, 5, 6, 8, 9, None]
-    assert simhash.deduplicate(edge).columns == edge.columns
-    assert simhash.near_groups(empty).count() == simhash.deduplicate(empty).count() == 0
-
-
-def test_repeated_representative_stays_once(docs_frame):
-    rows = [(1, "same words in here"), (1, "same words in here"), (2, "same words in here"), (3, "quite another text again")]
-    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs_frame(rows)).collect()) == [1, 3]
+    assert simhash.near_groups(empty).count() == 0
 
 
 def test_whole_table_against_all_pairs(spark):
