@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 from collections.abc import Callable, Iterator
@@ -108,6 +109,15 @@ def crc_of_text(doc_ids: pa.Array) -> np.ndarray:
     return np.array([-1 if v is None else zlib.crc32(str(v).encode()) for v in doc_ids.to_pylist()], dtype=np.int64)
 
 
+def give_back() -> None:
+    """Return what a worker no longer needs to the system; workers live on after a task and are many on a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def per_batch(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut batches so that no step holds more than `rows` texts at a time."""
     for batch in batches:

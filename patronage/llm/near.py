@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.llm import simhash
-from patronage.llm.common import fresh, per_batch, scratch, stored, texts_of
+from patronage.llm.common import fresh, give_back, per_batch, scratch, stored, texts_of
 from patronage.llm.graph import components
 from patronage.llm.lines import _by_key
 
@@ -73,6 +73,7 @@ def sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.list_(pa.int64()))],
                 names=["doc_id", "row", "whole", "n", "low"])
+        give_back()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, row long, whole long, n long, low array<long>")
@@ -89,6 +90,7 @@ def _held_by_many(posted: DataFrame) -> DataFrame:
             many = np.full(len(key), AT_ONCE) if large else np.minimum(np.repeat(size, size), AT_ONCE)
             shared = many > 1
             yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(whole[shared]), pa.array(many[shared].astype(np.int32))], names=["key", "whole", "many"])
+        give_back()
 
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, whole long, many int")
 
@@ -109,6 +111,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             fps = [simhash.majority(h) for h in hashes]
             own = [np.unique(np.array(h, dtype=np.uint64)).view(np.int64) for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["whole", "n", "fp", "set"])
+        give_back()
 
     rows = wanted.withColumnRenamed("row", "own")
     texts = docs.select(F.col("text").cast("string").alias("text"), _row().alias("own")).join(rows, "own").dropDuplicates(["own"])
@@ -205,6 +208,7 @@ def candidates(lists: DataFrame, rooted: DataFrame, first: int | None, chunk: in
                 found = list(_compare(own, n[a:b], names, side[a:b], forest))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([whole[a + i] for i, _ in found], pa.int64()), pa.array([whole[a + j] for _, j in found], pa.int64())], names=["a", "b"])
+        give_back()
 
     meeting = dealt.join(lists, "whole").select("meeting", "whole", "root", "side", "n", "list")
     return meeting.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(search, "a long, b long")

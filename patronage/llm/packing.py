@@ -29,6 +29,7 @@ from patronage.llm.encoding import Encoder
 
 SEQ_LEN = 2048
 BATCH = 500
+REMEMBER = 600_000  # encoded pieces that a worker remembers; fewer take less memory and more time
 
 
 class Capacities:
@@ -118,7 +119,7 @@ def best_fit(counts: dict[int, int], seq_len: int) -> list[tuple[int, int, int,
     return runs
 
 
-def pieces(docs: DataFrame, spec: str, seq_len: int = SEQ_LEN, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, spec: str, seq_len: int = SEQ_LEN, end_id: int = 0, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, part, nth (number in its task and length), ids if asked."""
     sent = shared(docs.sparkSession, spec)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + (", ids binary" if with_ids else "")
@@ -127,7 +128,7 @@ def pieces(docs: DataFrame, spec: str, seq_len: int = SEQ_LEN, end_id: int = 0,
     name = zlib.crc32(spec.encode())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = per_worker(("encoder", name), lambda: Encoder(sent.value)), TaskContext.get().partitionId(), {}
+        encode, part, seen = per_worker(("encoder", name, remember), lambda: Encoder(sent.value, remember)), TaskContext.get().partitionId(), {}
         width = 4 * seq_len
         for batch in per_batch(BATCH, batches):
             rows: list[tuple] = []
@@ -145,19 +146,20 @@ def pieces(docs: DataFrame, spec: str, seq_len: int = SEQ_LEN, end_id: int = 0,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int = 0, with_ids: bool = False,
+         remember: int = REMEMBER) -> DataFrame:
     """Pack every document of `docs` (doc_id, text; other columns are not looked at).
 
     tokenizer: path of a tokenizers file. end_id closes each document. Returns per
     piece: doc_id, piece, start, length, ids_crc32, sequence_id (from 0), offset, and
-    with `with_ids` the ids as little-endian unsigned 32-bit.
+    with `with_ids` the ids as little-endian unsigned 32-bit. remember: encoded pieces that a worker holds.
 
     Defined cases: null or empty text is the end id alone; a null doc_id is kept as
     null; repeated rows are packed once each; equal lengths are placed in the order
     of their numbers; an empty table gives no rows. Long texts are cut, never dropped.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, vocabulary(tokenizer), seq_len, end_id, with_ids), "pieces")
+    cut = stored(pieces(docs, vocabulary(tokenizer), seq_len, end_id, with_ids, remember), "pieces")
     per_task = stored(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     totals = per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most seq_len rows
     runs = sorted(best_fit({r["length"]: r["n"] for r in totals}, seq_len))
