@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, remember=150_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
