@@ -1,10 +1,13 @@
 """Maximum likelihood per tenant, all tenants side by side, on Spark.
 
 Observations never leave the executors. In every pass the tenants still open send
-a few dozen trial parameter vectors to their own rows and get the summed log-likelihood of
-each back; a damped Newton step per tenant, on log parameters, follows from those totals
+one trial parameter vector to their own rows and get back the sums of the log-likelihood and of its first and
+second derivatives, one evaluation a row; a damped Newton step per tenant, on log parameters, follows from those
 as one row per tenant. Tenants that are done send nothing, so their rows drop out.
 
+Sums are exact: every term is rounded to a fixed point and added up as integers, so a fit is the same to
+the last bit however the rows are dealt out.
+
 A pass either lowers a tenant's loss or raises its damping, whose growth ends in a stalled
 tenant; so the loop needs no bound on passes.
 """
@@ -16,10 +19,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronage.models.numeric import Slopes, by_logs
 from patronage.session import settle
 
 # Box of the log parameters, penalty on the squared parameters.
@@ -30,15 +35,41 @@ LONGEST_STEP = 2.0
 DAMPING_END = 1e7
 PROMISE = 1e-12  # fall in loss still promised at which a fit has converged
 ROUNDING = 1e-11  # the same relative to the loss, once a step has failed to lower it: a loss is a sum over many rows
-DIGITS = 6  # of a fitted parameter; below that sums in another order show
+DIGITS = 6  # of a fitted parameter; those below say nothing
+
+SCALE = 40  # binary digits of a term behind the point
+LIMBS = (22 + SCALE, 31, 0)  # binary digits below the parts that a term is added up in
+LIMIT = 2.0 ** 80  # no term of a likelihood worth following is larger
 
-LogLik = Callable[[DataFrame], DataFrame]  # (tenant_id, points array<array<double>>) -> (tenant_id, trial int, ll double)
+LogLik = Callable[[DataFrame], DataFrame]  # (tenant_id, point array<double>) -> (tenant_id, limbs array<long>, bad long)
 STATE = (
-    "tenant_id long, points array<array<double>>, trial array<double>, best array<double>, loss double, "
+    "tenant_id long, point array<double>, best array<double>, loss double, "
     "slopes array<double>, damping double, passes int, status string"
 )
 
 
+def limbs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Doubles in parts that add up exactly as longs, over 2 ** 31 rows."""
+    high = np.floor(values * 2.0 ** -22)
+    rest = np.rint((values - high * 2.0 ** 22) * 2.0 ** SCALE).astype(np.int64)
+    return high.astype(np.int64), rest >> 31, rest & ((1 << 31) - 1)
+
+
+def exact(parts: list[int]) -> float:
+    """The double next to a sum that came as limbs."""
+    return sum(int(p) << shift for p, shift in zip(parts, LIMBS)) / (1 << SCALE)
+
+
+def exact_sum(value: Column) -> Column:
+    """The sum of a column, the same in every order of the rows, as a double; null terms do not count."""
+    whole = F.floor(value * 2.0 ** -22)
+    rest = F.rint((value - whole.cast("double") * 2.0 ** 22) * 2.0 ** SCALE).cast("long")
+    high, middle, low = F.sum(whole), F.sum(F.shiftright(rest, 31)), F.sum(rest.bitwiseAND(F.lit((1 << 31) - 1)))
+    wide = lambda c: c.cast("decimal(38,0)")
+    carried = wide(middle) * F.lit(1 << 31).cast("decimal(20,0)") + wide(low)
+    return high.cast("double") * 2.0 ** 22 + carried.cast("double") * 2.0 ** -SCALE
+
+
 def summed(rows: DataFrame, points: DataFrame, loglik: Callable[..., Column], names: list[str]) -> DataFrame:
     """Total log-likelihood per tenant and trial of `rows` (tenant_id, n, ...); n counts equal rows.
 
@@ -57,6 +88,44 @@ def total(*parts: DataFrame) -> DataFrame:
     return out.groupBy("tenant_id", "trial").agg(F.sum("ll").alias("ll"))
 
 
+def summed_slopes(rows: DataFrame, points: DataFrame, inputs: list[str], slopes: Callable[..., Slopes], names: list[str]) -> DataFrame:
+    """Exact sums of a log-likelihood's value and slopes per tenant of `rows` (tenant_id, n, inputs) at `points` (tenant_id, point).
+
+    `slopes` gets an array per input and per parameter. Columns of the sums: tenant_id, bad (rows with a term that is no number) and limbs,
+    those of value, gradient and curvature in rows one after the other. Tasks add up their batches; there is one evaluation a row.
+    """
+    k = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tenant, n, *given = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            with np.errstate(all="ignore"):
+                at = [np.exp(p) for p in given[len(inputs):]]
+                terms = np.stack(by_logs(slopes(*given[:len(inputs)], *at), at)) * n
+            fine = np.abs(terms) < LIMIT
+            high, middle, low = limbs(np.where(fine, terms, 0.0))
+            whose, nth = np.unique(tenant, return_inverse=True)
+            sums = np.zeros((len(whose), 3 * len(terms)), np.int64)
+            np.add.at(sums, nth, np.stack([high, middle, low], axis=1).reshape(3 * len(terms), -1).T)
+            bad = np.bincount(nth, weights=~fine.all(axis=0), minlength=len(whose)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(whose), pa.array(bad), pa.array(list(sums), pa.list_(pa.int64()))], names=["tenant_id", "bad", "limbs"])
+
+    wide = rows.join(points, "tenant_id").select(
+        "tenant_id", F.col("n").cast("double").alias("n"), *inputs, *[F.col("point")[i].alias(f"param_{i}") for i in range(k)])
+    return wide.mapInArrow(run, "tenant_id long, bad long, limbs array<long>")
+
+
+def total_slopes(names: list[str], *parts: DataFrame) -> DataFrame:
+    """Sums per tenant over the tasks and the parts of a likelihood."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    k = len(names)
+    size = 3 * (1 + k + k * (k + 1) // 2)
+    sums = out.groupBy("tenant_id").agg(F.sum("bad").alias("bad"), *[F.sum(F.col("limbs")[i]).alias(f"limb_{i}") for i in range(size)])
+    return sums.select("tenant_id", "bad", F.array(*[f"limb_{i}" for i in range(size)]).alias("limbs"))
+
+
 def stencil(at: np.ndarray) -> np.ndarray:
     """The point and the neighbours that give its gradient and curvature."""
     k = len(at)
@@ -70,20 +139,6 @@ def stencil(at: np.ndarray) -> np.ndarray:
     return np.clip(at + np.array(shifts), LOG_LOW, LOG_HIGH)
 
 
-def slopes(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    centre = values[0]
-    up, down = values[1:2 * k + 1:2], values[2:2 * k + 1:2]
-    gradient = (up - down) / (2 * STEP)
-    curve = np.diag((up - 2 * centre + down) / STEP**2)
-    at = 2 * k + 1
-    for i in range(k):
-        for j in range(i):
-            both = values[at] + values[at + 1] + 2 * centre - up[i] - up[j] - down[i] - down[j]
-            curve[i, j] = curve[j, i] = both / (2 * STEP**2)
-            at += 2
-    return gradient, curve
-
-
 def newton(at: np.ndarray, gradient: np.ndarray, curve: np.ndarray, damping: float) -> tuple[np.ndarray, float]:
     """Downhill step inside the box with the curvature made positive, and the fall in loss that an undamped one promises.
 
@@ -102,17 +157,21 @@ def newton(at: np.ndarray, gradient: np.ndarray, curve: np.ndarray, damping: flo
 
 
 def advance(row: dict, k: int) -> dict:
-    """A tenant's state after the totals of its trial vectors have come in."""
-    points, trial = np.array([list(p) for p in row["points"]]), np.array(row["trial"])
-    values = np.full(len(points), -np.inf)
-    for t in row["totals"]:
-        values[t["trial"]] = t["ll"]
-    loss = -values + PENALTY * np.sum(np.exp(points) ** 2, axis=1)
+    """A tenant's state after the sums at its trial point have come in."""
+    point = np.array(row["point"])
+    parts = [exact(row["limbs"][i:i + 3]) for i in range(0, len(row["limbs"]), 3)]
+    squares = PENALTY * np.exp(2 * point)
+    loss = np.inf if row["bad"] else -parts[0] + float(squares.sum())
     best, lowest, packed, damping = row["best"], row["loss"], row["slopes"], row["damping"]
-    better = best is None or loss[0] < lowest
+    better = best is None or loss < lowest
     if better:
-        gradient, curve = slopes(loss, k)
-        best, lowest, packed = trial.tolist(), float(loss[0]), [float(v) for v in (*gradient, *curve.ravel())]
+        gradient, curve, at = -np.array(parts[1:k + 1]) + 2 * squares, np.diag(4 * squares), k + 1
+        for i in range(k):
+            for j in range(i + 1):
+                curve[i, j] -= parts[at]
+                curve[j, i] = curve[i, j]
+                at += 1
+        best, lowest, packed = point.tolist(), float(loss), [float(v) for v in (*gradient, *curve.ravel())]
         damping /= 4.0 if damping > 1e-3 else 1e9
     else:
         damping = max(1.0, damping * 4.0)
@@ -123,26 +182,23 @@ def advance(row: dict, k: int) -> dict:
         status = "converged"
     elif damping > DAMPING_END:
         status = "stalled"
-    out = {"tenant_id": row["tenant_id"], "best": best, "loss": lowest, "slopes": list(packed), "damping": damping,
-           "passes": row["passes"] + 1, "status": status, "points": None, "trial": None}
+    out = {"tenant_id": row["tenant_id"], "point": None, "best": best, "loss": lowest, "slopes": list(packed), "damping": damping,
+           "passes": row["passes"] + 1, "status": status}
     if status == "open":
-        trial = np.clip(at + step, LOG_LOW, LOG_HIGH)
-        out |= {"trial": trial.tolist(), "points": stencil(trial).tolist()}
+        out["point"] = np.clip(at + step, LOG_LOW, LOG_HIGH).tolist()
     return out
 
 
 def fit(tenants: DataFrame, start: np.ndarray, loglik: LogLik, names: list[str]) -> DataFrame:
     """Penalised maximum-likelihood parameters of each row of `tenants` (tenant_id).
 
-    Columns: tenant_id, the parameters by name, log_likelihood, passes, converged. `loglik` is
-    evaluated once per pass, so let it read settled tables.
+    Columns: tenant_id, the parameters by name, log_likelihood, passes, converged. `loglik` gives the sums at a point
+    and is evaluated once per pass, so let it read settled tables.
     """
     k = len(start)
-    at, points = [float(v) for v in start], [[float(v) for v in p] for p in stencil(start)]
-    array = lambda values: F.array(*[F.lit(v) for v in values])
     nothing = F.lit(None)
     state = settle(tenants.select(
-        F.col("tenant_id").cast("long"), F.array(*[array(p) for p in points]).alias("points"), array(at).alias("trial"),
+        F.col("tenant_id").cast("long"), F.array(*[F.lit(float(v)) for v in start]).alias("point"),
         nothing.cast("array<double>").alias("best"), nothing.cast("double").alias("loss"), nothing.cast("array<double>").alias("slopes"),
         F.lit(0.0).alias("damping"), F.lit(0).alias("passes"), F.lit("open").alias("status")))
     done: DataFrame | None = None
@@ -153,10 +209,8 @@ def fit(tenants: DataFrame, start: np.ndarray, loglik: LogLik, names: list[str])
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
 
     while not state.isEmpty():
-        open_ = state.select("tenant_id", "points")
-        totals = loglik(open_).groupBy("tenant_id").agg(
-            F.collect_list(F.struct("trial", F.coalesce("ll", F.lit(float("-inf"))).alias("ll"))).alias("totals"))
-        after = settle(state.join(totals, "tenant_id").mapInPandas(step, STATE))
+        sums = loglik(state.select("tenant_id", "point"))
+        after = settle(state.join(sums, "tenant_id").mapInPandas(step, STATE))
         over = after.where("status <> 'open'")
         done = over if done is None else done.unionByName(over)
         state = after.where("status = 'open'")

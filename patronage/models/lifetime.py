@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions import churn_band
-from patronage.models.fitting import LOG_HIGH, LOG_LOW, PENALTY, STEP, fit, stencil, summed, total
+from patronage.models.fitting import LOG_HIGH, LOG_LOW, PENALTY, STEP, exact_sum, fit, stencil, summed, summed_slopes, total, total_slopes
 from patronage.models.numeric import (
-    buying_by_count, buying_by_history, lapse_log_odds, orders_while_alive, value_by_count, value_by_mean,
+    buying_by_count, buying_by_count_slopes, buying_by_history, buying_by_history_slopes, lapse_log_odds, orders_while_alive, value_by_count,
+    value_by_count_slopes, value_by_mean, value_by_mean_slopes,
 )
 from patronage.operators.orders import CUSTOMER
 from patronage.operators.scale import quantile, ranked_values
@@ -72,13 +73,22 @@ def enough_repeaters(summary: DataFrame) -> DataFrame:
     )
 
 
-def bgnbd_loglik(summary: DataFrame):
-    """Summed log-likelihood of trial vectors (logs of r, alpha, a, b) per tenant.
-
-    What depends on the number of repeats alone is evaluated once per distinct number.
-    """
+def _histories(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows per history, and per number of repeats with how many have it: what depends on that alone is evaluated once per number."""
     rows = settle(summary.select("tenant_id", F.col("x").cast("double").alias("x"), "t_x", "age", F.lit(1.0).alias("n")))
-    counts = settle(rows.groupBy("tenant_id", "x").agg(F.sum("n").alias("n")))
+    return rows, settle(rows.groupBy("tenant_id", "x").agg(F.sum("n").alias("n")))
+
+
+def bgnbd_slopes(summary: DataFrame):
+    """Exact sums of the log-likelihood and its derivatives at one point (logs of r, alpha, a, b) per tenant."""
+    rows, counts = _histories(summary)
+    return lambda points: total_slopes(
+        BGNBD, summed_slopes(counts, points, ["x"], buying_by_count_slopes, BGNBD), summed_slopes(rows, points, ["x", "t_x", "age"], buying_by_history_slopes, BGNBD))
+
+
+def bgnbd_loglik(summary: DataFrame):
+    """Summed log-likelihood of trial vectors (logs of r, alpha, a, b) per tenant."""
+    rows, counts = _histories(summary)
     x, t_x, age = F.col("x"), F.col("t_x"), F.col("age")
 
     def evaluate(points: DataFrame) -> DataFrame:
@@ -93,7 +103,7 @@ def bgnbd_loglik(summary: DataFrame):
 def fit_bgnbd(summary: DataFrame) -> DataFrame:
     """(r, alpha, a, b) per tenant with enough repeaters, beside log_likelihood, passes and converged."""
     tenants = enough_repeaters(summary)
-    return fit(tenants, BGNBD_START, bgnbd_loglik(summary.join(tenants, "tenant_id", "left_semi")), BGNBD)
+    return fit(tenants, BGNBD_START, bgnbd_slopes(summary.join(tenants, "tenant_id", "left_semi")), BGNBD)
 
 
 def p_alive(x: Column, t_x: Column, age: Column, r: Column, alpha: Column, a: Column, b: Column) -> Column:
@@ -118,10 +128,21 @@ def expected_orders(
 # ------------------------------------------------------------------ Gamma-Gamma
 
 
+def _values(repeat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = settle(repeat.select("tenant_id", F.col("n_orders").cast("double").alias("orders"), "scaled", F.lit(1.0).alias("n")))
+    return rows, settle(rows.groupBy("tenant_id", "orders").agg(F.sum("n").alias("n")))
+
+
+def gamma_gamma_slopes(repeat: DataFrame):
+    """Exact sums of the log-likelihood and its derivatives at one point (logs of p, q, v) per tenant; `repeat` has n_orders and scaled."""
+    rows, counts = _values(repeat)
+    return lambda points: total_slopes(
+        GAMMA, summed_slopes(counts, points, ["orders"], value_by_count_slopes, GAMMA), summed_slopes(rows, points, ["orders", "scaled"], value_by_mean_slopes, GAMMA))
+
+
 def gamma_gamma_loglik(repeat: DataFrame):
     """Summed log-likelihood of trial vectors (logs of p, q, v) per tenant; `repeat` has n_orders and scaled."""
-    rows = settle(repeat.select("tenant_id", F.col("n_orders").cast("double").alias("orders"), "scaled", F.lit(1.0).alias("n")))
-    counts = settle(rows.groupBy("tenant_id", "orders").agg(F.sum("n").alias("n")))
+    rows, counts = _values(repeat)
     n, m = F.col("orders"), F.col("scaled")
 
     def evaluate(points: DataFrame) -> DataFrame:
@@ -137,14 +158,14 @@ def fit_gamma_gamma(summary: DataFrame) -> DataFrame:
     """(p, q, v) per tenant over repeat buyers, beside log_likelihood, passes and converged; fitted in units of the mean value."""
     tenants = enough_repeaters(summary)
     repeat, unit = scaled_values(summary.join(tenants, "tenant_id", "left_semi"))
-    params = fit(tenants, GAMMA_START, gamma_gamma_loglik(repeat), GAMMA)
+    params = fit(tenants, GAMMA_START, gamma_gamma_slopes(repeat), GAMMA)
     return params.join(unit, "tenant_id").select("tenant_id", "p", "q", (F.col("v") * F.col("unit")).alias("v"), "log_likelihood", "passes", "converged")
 
 
 def scaled_values(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repeat buyers with their mean value in units of the tenant's, and those units."""
     repeat = summary.where("x > 0")
-    unit = repeat.groupBy("tenant_id").agg(F.greatest(F.avg("mean_value"), F.lit(1e-9)).alias("unit"))
+    unit = repeat.groupBy("tenant_id").agg(F.greatest(exact_sum(F.col("mean_value")) / F.count("mean_value"), F.lit(1e-9)).alias("unit"))
     return repeat.join(unit, "tenant_id").withColumn("scaled", F.col("mean_value") / F.col("unit")), unit
 
 
@@ -188,7 +209,7 @@ def ltv_12m(df: DataFrame) -> DataFrame:
     """
     fine = F.col("q") > 1.0
     weighted = df.where("x > 0").groupBy("tenant_id").agg(
-        (F.sum(F.col("mean_value") * F.col("n_orders")) / F.sum("n_orders")).alias("plain_mean")
+        (exact_sum(F.col("mean_value") * F.col("n_orders")) / F.sum("n_orders")).alias("plain_mean")
     )
     prior = F.when(fine, F.col("p") * F.col("v") / (F.col("q") - 1.0)).otherwise(F.col("plain_mean"))
     own = F.when(

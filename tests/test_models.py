@@ -1,13 +1,17 @@
 import math
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patronage.functions import churn_band
-from patronage.models import churn, lifetime
-from patronage.models.numeric import log_gamma, orders_while_alive
+from patronage.models import churn, fitting, lifetime
+from patronage.models.numeric import (
+    buying_by_count, buying_by_count_slopes, buying_by_history, buying_by_history_slopes, gammas, log_gamma, orders_while_alive,
+    value_by_count, value_by_count_slopes, value_by_mean, value_by_mean_slopes,
+)
 
 SUMMARY = "tenant_id long, customer_id long, n_orders long, x long, t_x double, age double, mean_value double"
 
@@ -95,6 +99,59 @@ def test_log_gamma(spark):
     assert [r.g for r in rows] == pytest.approx([math.lgamma(r.z) for r in rows], rel=1e-12, abs=1e-12)
 
 
+def test_gamma_function_and_its_slopes():
+    z = np.array([1e-4, 0.3, 1.0, 2.5, 9.0, 400.0, 1e6])
+    value, first, second = gammas(z)
+    assert value == pytest.approx([math.lgamma(v) for v in z], rel=1e-12, abs=1e-12)
+    k = np.arange(200_000)
+    for v, d, t in zip(z, first, second):
+        assert d == pytest.approx(math.log(v) - np.sum(1.0 / (v + k) - np.log1p(1.0 / (v + k))) - 0.5 / (v + 200_000), rel=1e-8, abs=1e-9)
+        assert t == pytest.approx(np.sum(1.0 / (v + k) ** 2) + 1.0 / (v + 199_999.5), rel=1e-8)
+
+
+@pytest.mark.parametrize("model", ["buying", "value"])
+def test_slopes_against_differences(spark, model):
+    rng = np.random.default_rng(7)
+    names = lifetime.BGNBD if model == "buying" else lifetime.GAMMA
+    if model == "buying":
+        rows = [(1, float(x), float(t), float(t + rng.uniform(0, 40)), 1.0) for x, t in ((0, 0), (1, 3.5), (4, 20.0), (30, 90.0), (0, 0))]
+        df = spark.createDataFrame(rows, "tenant_id long, x double, t_x double, age double, n double")
+        x, t_x, age = F.col("x"), F.col("t_x"), F.col("age")
+        pairs = [(lambda r, alpha, a, b: buying_by_count(x, r, a, b), ["x"], buying_by_count_slopes),
+                 (lambda r, alpha, a, b: buying_by_history(x, t_x, age, r, alpha, a, b), ["x", "t_x", "age"], buying_by_history_slopes)]
+    else:
+        df = spark.createDataFrame([(1, float(n), float(rng.gamma(2.0)) + 0.01, 1.0) for n in (2, 3, 9, 50)], "tenant_id long, orders double, m double, n double")
+        n, m = F.col("orders"), F.col("m")
+        pairs = [(lambda p, q, v: value_by_count(n, p, q), ["orders"], value_by_count_slopes),
+                 (lambda p, q, v: value_by_mean(n, m, p, q, v), ["orders", "m"], value_by_mean_slopes)]
+    k, h = len(names), 1e-3
+    for at in (np.zeros(k), rng.normal(size=k)):
+        eye = np.eye(k) * h
+        shifts = [np.zeros(k)] + [s * eye[i] + t * eye[j] for i in range(k) for j in range(i + 1) for s in (1, -1) for t in (1, -1)] + [s * eye[i] for i in range(k) for s in (1, -1)]
+        points = spark.createDataFrame([(1, [(at + d).tolist() for d in shifts])], "tenant_id long, points array<array<double>>")
+        point = spark.createDataFrame([(1, at.tolist())], "tenant_id long, point array<double>")
+        for plain, inputs, slopes in pairs:
+            ll = {r.trial: r.ll for r in fitting.summed(df, points, plain, names).collect()}
+            found = fitting.total_slopes(names, fitting.summed_slopes(df, point, inputs, slopes, names)).first()
+            got = [fitting.exact(found.limbs[i:i + 3]) for i in range(0, len(found.limbs), 3)]
+            assert found.bad == 0 and got[0] == pytest.approx(ll[0], rel=1e-9)
+            single = len(shifts) - 2 * k
+            assert got[1:k + 1] == pytest.approx([(ll[single + 2 * i] - ll[single + 2 * i + 1]) / (2 * h) for i in range(k)], rel=1e-4, abs=1e-5)
+            cross = [(ll[1 + 4 * c] - ll[2 + 4 * c] - ll[3 + 4 * c] + ll[4 + 4 * c]) / (4 * h * h) for c in range(k * (k + 1) // 2)]
+            assert got[k + 1:] == pytest.approx(cross, rel=1e-3, abs=1e-3)
+
+
+def test_exact_sums_do_not_depend_on_the_order(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-6, 9, 3000), [1e15, -1e15, 0.1]]).tolist()
+    want = float(sum(Fraction(v).limit_denominator(1 << 60) for v in values))
+    seen = set()
+    for parts in (1, 7, 64):
+        df = spark.createDataFrame([(v,) for v in rng.permutation(values).tolist()], "v double").repartition(parts)
+        seen.add(df.agg(fitting.exact_sum(F.col("v"))).first()[0])
+    assert len(seen) == 1 and seen.pop() == pytest.approx(want, abs=1e-6)
+
+
 def test_every_tenant_is_reported(spark):
     rows = population(300) + [(2, i, 2, 1, 3.0, 9.0, 10.0) for i in range(9)] + [(3, i, 1, 0, 0.0, 9.0, 10.0) for i in range(5)]
     summary = spark.createDataFrame(rows, SUMMARY)
@@ -165,6 +222,27 @@ def test_ranked_auc(spark):
     assert got == {1: 0.875, 2: 0.5, 3: None}
 
 
+def test_fits_are_the_same_under_any_partitioning(spark):
+    rows = population(400) + [(2, *r[1:]) for r in population(300, seed=5)]
+    rng = np.random.default_rng(0)
+    at = {4: [0.3, 1.7, -0.2, 0.4], 3: [0.5, 0.9, -0.3]}
+    points = {k: spark.createDataFrame([(1, p), (2, p[::-1])], "tenant_id long, point array<double>") for k, p in at.items()}
+    before, sums, fits = spark.conf.get("spark.sql.shuffle.partitions"), set(), set()
+    try:
+        for parts in (1, 7, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            summary = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], SUMMARY).repartition(parts)
+            summary = summary.withColumn("mean_value", F.col("mean_value") * (1 + F.col("customer_id") % 7 / 3.0))
+            repeat, unit = lifetime.scaled_values(summary)
+            told = [lifetime.bgnbd_slopes(summary)(points[4]), lifetime.gamma_gamma_slopes(repeat)(points[3]), unit]
+            sums.add(str([sorted(map(tuple, df.collect())) for df in told]))
+            if parts < 64:
+                fits.add(str(sorted(map(tuple, lifetime.fit_bgnbd(summary).collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sums) == len(fits) == 1
+
+
 def test_whole_run_is_repeatable(spark, tables):
     one = lifetime.run_models(tables.order_headers, "2026-01-01 00:00:00").orderBy("tenant_id", "customer_id").collect()
     two = lifetime.run_models(tables.order_headers, "2026-01-01 00:00:00").orderBy("tenant_id", "customer_id").collect()
