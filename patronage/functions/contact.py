@@ -26,7 +26,7 @@ def normalize_phone(raw: Column) -> Column:
 
 def normalize_email(raw: Column) -> Column:
     """Trimmed lower case when it looks like an address; else null."""
-    text = F.lower(F.trim(raw.cast("string")))
+    text = F.lower(F.trim(raw.cast("string"), F.lit(" \t\n\r\x0b\x0c")))
     usable = (
         text.contains("@")
         & ~text.contains(" ")

@@ -1,7 +1,4 @@
-"""Hand-made tenants with known results.
-
-Fixed values: the rows of the tenants below, whose results must come out as stated in the tests.
-"""
+"""Hand-made tenants; the tests state what must come of them, worked out by hand."""
 
 from datetime import datetime, timedelta
 from types import SimpleNamespace
@@ -68,61 +65,58 @@ def tenant_tables(spark, orders, people, shipments=(), payments=(), refunds=(),
 
 
 def retail(spark, tenant=1, shift=0):
-    """Twelve customers and twenty orders over six months."""
-    rows, n = [], shift
-
-    def add(customer, *days_totals, **more):
-        nonlocal n
-        for index, (day, total) in enumerate(days_totals, 1):
-            n += 1
-            rows.append(order(n, customer + shift, day, total, index, tenant=tenant, **more))
-        return n
-
-    add(1, *[(d, 100000) for d in ("01-10", "02-10", "03-10", "04-10", "06-20")])
-    add(2, ("01-15", 200000), ("02-15", 150000))
-    add(3, ("01-20", 120000))
-    add(4, ("01-05", 80000))
-    add(5, ("02-05", 110000))
-    add(6, ("02-08", 95000), ("03-08", 105000))
-    returned = add(7, ("03-05", 70000), cod=True)
-    unpaid = add(8, ("04-05", 60000), status="pending")
-    add(9, ("05-05", 85000))
-    add(10, ("06-05", 60000), subtotal=100000, discount=40000)
-    add(11, *[(d, 100000) for d in ("04-10", "05-10", "06-10")])
-    add(12, ("06-01", 90000))
+    """Nine customers and eighteen orders over five months."""
+    bought = {  # customer: (day, rupees) per order
+        1: (("01-03", 2400), ("02-21", 600), ("03-30", 1800), ("05-28", 750)),
+        2: (("01-28", 500),),
+        3: (("02-02", 3100), ("03-27", 450), ("04-16", 450)),
+        4: (("02-14", 998),),
+        5: (("03-25", 200),),
+        6: (("03-11", 1500), ("04-01", 250), ("05-02", 250), ("05-30", 1300)),
+        7: (("04-20", 640),),
+        8: (("05-15", 720),),
+        9: (("01-06", 880), ("01-19", 880)),
+    }
+    special = {5: {"cod": True}, 7: {"status": "pending"}, 8: {"subtotal": 120000, "discount": 48000}}
+    rows, last = [], {}
+    for customer, orders in bought.items():
+        for index, (day, rupees) in enumerate(orders, 1):
+            last[customer] = len(rows) + 1 + shift
+            rows.append(order(last[customer], customer + shift, day, rupees * 100, index, tenant=tenant, **special.get(customer, {})))
     return tenant_tables(
-        spark, rows, [(tenant, c + shift, False, False) for c in range(1, 13)],
-        shipments=[(tenant, 1 + shift, returned, "rto_received", True, at("03-07"), None, at("03-12"))],
-        payments=[(tenant, 1 + shift, unpaid, "upi", "failed", 60000, "declined", at("04-05"))])
+        spark, rows, [(tenant, c + shift, False, False) for c in bought],
+        shipments=[(tenant, 1 + shift, last[5], "rto_received", True, at("03-28"), None, at("04-04"))],
+        payments=[(tenant, 1 + shift, last[7], "card", "failed", 64000, "insufficient funds", at("04-20")),
+                  (tenant, 2 + shift, last[8], "card", "captured", 72000, None, at("05-15"))])
 
 
 def experience(spark):
-    """Two customers with deliveries, tickets, messages on two channels and experiments."""
-    hour = lambda day, h: at(day) + timedelta(hours=h)
-    none = None
-    msg = lambda i, c, who, ch, sent, dlv=none, opn=none, clk=none, bnc=none: (
-        1, i, c, who, ch, at(sent), at(dlv) if dlv else None, at(opn) if opn else None, at(clk) if clk else None,
-        at(bnc) if bnc else None, None)
+    """Three customers in June: four parcels, four tickets, messages on two channels, three experiments."""
+    later = lambda day, hours: at(day) + timedelta(hours=hours)
+
+    def sent(i, campaign, customer, channel, day, delivered=None, opened=None, clicked=None, bounced=None):
+        return (1, i, campaign, customer, channel, at(day), *[at(d) if d else None for d in (delivered, opened, clicked, bounced)], None)
+
+    welcome, sale, news = 20, 21, 22
     return tenant_tables(
         spark,
-        [order(3, 2, "04-02", 50000, 1, status="pending", cod=True), order(2, 2, "05-04", 60000, 2),
-         order(1, 1, "05-05", 90000, 1)],
-        [(1, 1, True, True), (1, 2, True, False)],
-        shipments=[(1, 1, 1, "delivered", False, at("05-06"), at("05-09"), None),
-                   (1, 2, 3, "rto_received", True, at("04-04"), None, at("05-02"))],
-        campaigns=[(1, 10, "welcome flow", "flow", "email", at("01-01"), "KLF-01"),
-                   (1, 11, "blast", "campaign", "email", at("01-01"), "K-C1"),
-                   (1, 12, "wa", "campaign", "whatsapp", at("01-01"), "WA-1")],
-        messages=[msg(1, 11, 1, "email", "04-01", "04-01", "04-01", "04-01"),
-                  msg(2, 10, 2, "email", "05-01", "05-01", "05-01", "05-01"),
-                  msg(3, 12, 1, "whatsapp", "05-01", "05-01", "05-02", "05-03"),
-                  msg(4, 12, 2, "whatsapp", "05-01", "05-01", "05-01"), msg(5, 12, 2, "whatsapp", "05-01", "05-01"),
-                  msg(6, 12, 1, "whatsapp", "05-01", bnc="05-01")],
-        consent=[(1, 1, 1, "whatsapp", "granted", at("01-02")), (1, 2, 1, "email", "granted", at("01-02"))],
-        tickets=[(1, i, 2, None, "email", "other", "resolved", at(d), None, hour(d, h), csat)
-                 for i, (d, h, csat) in enumerate((("05-10", 10, 4), ("05-12", 20, 5), ("05-14", 100, None)), 1)],
-        reviews=[(1, 1, 1, 1, 1, 5, True, at("05-12")), (1, 2, 2, 2, 1, 4, True, at("05-20"))],
-        nps=[(1, i, 1, s, "email", at("05-15")) for i, s in enumerate((10, 9, 7, 3), 1)],
-        experiments=[(1, 1, "a", "gravity", "concluded", at("03-01"), at("03-31"), 2000, 8.0, True, "shipped", "why"),
-                     (1, 2, "b", "flow", "running", at("05-10"), None, None, None, None, None, None),
-                     (1, 3, "c", "pulse", "draft", None, None, None, None, None, None, None)])
+        [order(11, 1, "06-03", 120000, 1), order(12, 2, "06-10", 45000, 1), order(13, 2, "06-24", 30000, 2),
+         order(14, 3, "05-20", 80000, 1, status="pending", cod=True)],
+        [(1, 1, True, True), (1, 2, True, True), (1, 3, False, False)],
+        shipments=[(1, 1, 11, "delivered", False, at("06-04"), at("06-08"), None), (1, 2, 12, "delivered", False, at("06-11"), at("06-13"), None),
+                   (1, 3, 13, "delivered", False, at("06-25"), at("06-30"), None), (1, 4, 14, "rto_received", True, at("05-22"), None, at("06-02"))],
+        campaigns=[(1, welcome, "hello there", "flow", "email", at("02-01"), "KLF-01"),  # the id that stands for the welcome flow
+                   (1, sale, "june sale", "campaign", "email", at("05-30"), "sale-june"),
+                   (1, news, "order news", "campaign", "whatsapp", at("05-30"), "news-7")],
+        messages=[sent(1, welcome, 1, "email", "06-02", "06-02", "06-02", "06-02"), sent(2, sale, 2, "email", "06-01", "06-01", "06-01", "06-01"),
+                  sent(3, news, 2, "whatsapp", "06-20", "06-20", "06-21", "06-22"), sent(4, news, 1, "whatsapp", "06-20", "06-20"),
+                  sent(5, news, 3, "whatsapp", "06-20", "06-20", "06-20"), sent(6, news, 3, "whatsapp", "06-21", bounced="06-21"),
+                  sent(7, news, 1, "whatsapp", "06-23", "06-23")],
+        consent=[(1, 1, 1, "whatsapp", "granted", at("03-01")), (1, 2, 2, "whatsapp", "granted", at("03-04")), (1, 3, 2, "email", "granted", at("03-04"))],
+        tickets=[(1, i, who, None, "chat", "delivery", "resolved", at(day), None, later(day, hours), csat)
+                 for i, (who, day, hours, csat) in enumerate(((1, "06-09", 6, 5), (1, "06-12", 12, 2), (2, "06-14", 18, None), (3, "06-15", 120, 3)), 1)],
+        reviews=[(1, 1, 1, 11, 1, 3, True, at("06-12")), (1, 2, 2, 12, 1, 5, True, at("06-18")), (1, 3, 2, 13, 2, 4, False, at("06-21"))],
+        nps=[(1, i, 1 + i % 2, score, "email", at("06-25")) for i, score in enumerate((10, 9, 9, 6, 8), 1)],
+        experiments=[(1, 1, "free returns", "flow", "concluded", at("02-03"), at("02-17"), 900, -1.5, False, "dropped", "why not"),
+                     (1, 2, "bundles", "gravity", "running", at("05-21"), None, None, None, None, None, None),
+                     (1, 3, "cards", "pulse", "draft", None, None, None, None, None, None, None)])
