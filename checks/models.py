@@ -1,10 +1,11 @@
 """Queries and SQL of the predictive models; fixed parameters where a fit has no SQL."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.marts import r6
 from patronage.functions import churn_band
-from patronage.models import churn, lifetime
+from patronage.models import boosting, churn, lifetime
 from patronage.session import settle, work_path
 from patronage.sources import sinks
 
@@ -96,10 +97,38 @@ def _run_models(t):
 
 
 def _shadow(t):
-    """Label counts and eligibility; the AUC itself depends on the trees, so only its range is stated."""
-    s = churn.churn_shadow(t)
-    return s.select("tenant_id", "trained_on", "judged_on", F.col("auc").isNotNull().alias("eligible"),
-                    F.coalesce(F.col("auc").between(0.0, 1.0), F.lit(True)).alias("auc_fits"))
+    """Label counts and eligibility; every judged customer has a chance as score, and the AUC that the ranks give is that of the pairs."""
+    have, scored = churn.shadow_scores(churn.shadow_sets(t))
+    # pairs of one label each, counted per distinct score instead of by ranks
+    each = scored.groupBy("tenant_id", "score").agg(F.sum("label").alias("ones"), F.count_if(F.col("label") == 0).alias("zeros"))
+    below = F.sum("zeros").over(Window.partitionBy("tenant_id").orderBy("score")) - F.col("zeros") / 2
+    pairs = each.select("*", (F.col("ones") * below).alias("won")).groupBy("tenant_id").agg(
+        (F.sum("won") / (F.sum("ones") * F.sum("zeros"))).alias("by_pairs"))
+    judged = scored.groupBy("tenant_id").agg(F.count_if(F.col("score").between(0.0, 1.0)).alias("scored"))
+    told = have.join(churn.ranked_auc(scored), "tenant_id", "left").join(pairs, "tenant_id", "left").join(judged, "tenant_id", "left")
+    return told.select("tenant_id", F.col("train_n").alias("trained_on"), F.col("judge_n").alias("judged_on"), "eligible", F.coalesce("scored", F.lit(0)).alias("scored"),
+                       F.coalesce(F.abs(F.col("auc") - F.col("by_pairs")) < 1e-9, ~F.col("eligible")).alias("auc_fits"))
+
+
+def _labelled(t):
+    """Features and labels one horizon back."""
+    return settle(r6(_features(t)).join(churn.churn_labels(churn.cutoffs(t.order_headers, 1), t.order_headers), ["tenant_id", "customer_id"]))
+
+
+def _first_cut(t):
+    """The root of the first tree of every tenant: where it cuts and the values on either side."""
+    rows = _labelled(t)
+    stump = boosting.Trees(rounds=1, depth=1)
+    tree = F.col("trees")[0]
+    cut = tree["splits"][F.lit(1)]
+    return r6(boosting.fit(rows, churn.FEATURES, "churned", stump).select(
+        "tenant_id", F.col("base"), cut["feature"].alias("feature"), F.col("cuts")[cut["feature"]][cut["bin"] - 1].alias("goes_right_from"),
+        tree["leaves"][F.lit(2)].alias("left_value"), tree["leaves"][F.lit(3)].alias("right_value")))
+
+
+def _auc_of_recency(t):
+    """How well the weeks since the last order alone rank the customers."""
+    return r6(churn.ranked_auc(_labelled(t).select("tenant_id", F.col("recency_weeks").alias("score"), F.col("churned").alias("label"))))
 
 
 def _bgnbd_sql():
@@ -183,6 +212,8 @@ QUERIES = {
     "churn_features": lambda t: r6(_features(t)),
     "churn_labels": lambda t: churn.churn_labels(churn.cutoffs(t.order_headers, 1), t.order_headers),
     "churn_shadow_model": _shadow,
+    "churn_first_cut": _first_cut,
+    "churn_auc_of_recency": _auc_of_recency,
     "predictions_upsert": _upserted,
     "ml_report": lambda t: lifetime.ml_report(t.predictions),
     "run_models": _run_models,
@@ -245,6 +276,30 @@ SQL = {
                CASE WHEN repeaters < 10 THEN 'fewer than 10 repeat buyers' END AS reason FROM v_repeaters""",
     "churn_shadow_model": """
         SELECT coalesce(a.tenant_id, b.tenant_id) AS tenant_id, coalesce(a.n, 0) AS trained_on, coalesce(b.n, 0) AS judged_on,
-               coalesce(a.n >= 30 AND b.n >= 30 AND a.kinds = 2 AND b.kinds = 2, false) AS eligible, true AS auc_fits
+               coalesce(a.n >= 30 AND b.n >= 30 AND a.kinds = 2 AND b.kinds = 2, false) AS eligible,
+               CASE WHEN a.n >= 30 AND b.n >= 30 AND a.kinds = 2 AND b.kinds = 2 THEN b.n ELSE 0 END AS scored, true AS auc_fits
         FROM (SELECT * FROM v_shadow WHERE horizons = 2) a FULL JOIN (SELECT * FROM v_shadow WHERE horizons = 1) b ON a.tenant_id = b.tenant_id""",
 }
+VIEWS["v_features"], VIEWS["v_labels"] = SQL["churn_features"], SQL["churn_labels"]
+VIEWS["v_labelled"] = "SELECT f.*, CAST(l.churned AS DOUBLE) AS y FROM v_features f JOIN v_labels l ON l.tenant_id = f.tenant_id AND l.customer_id = f.customer_id"
+SQL["churn_auc_of_recency"] = """
+        SELECT tenant_id, round((sum(place * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc
+        FROM (SELECT tenant_id, y, rank() OVER (PARTITION BY tenant_id ORDER BY recency_weeks)
+                     + (count(*) OVER (PARTITION BY tenant_id, recency_weeks) - 1) / 2 AS place FROM v_labelled) GROUP BY tenant_id"""
+# Every row of the first tree has the same gradient but for its label, so counts of rows and labels are all that a cut needs.
+SQL["churn_first_cut"] = f"""
+        WITH whole AS (SELECT tenant_id, count(*) AS n, sum(y) AS ones, (sum(y) + 0.5::DOUBLE) / (count(*) + 1) AS p FROM v_labelled GROUP BY ALL),
+        long AS (SELECT tenant_id, y, unnest([{", ".join(churn.FEATURES)}]) AS value, unnest(range(0, {len(churn.FEATURES)})) AS feature FROM v_labelled),
+        binned AS (SELECT *, ((rank() OVER (PARTITION BY tenant_id, feature ORDER BY value) - 1) * 32) // count(*) OVER (PARTITION BY tenant_id, feature) AS bin FROM long),
+        cells AS (SELECT tenant_id, feature, bin, min(value) AS first_value, count(*) AS n, sum(y) AS ones FROM binned GROUP BY ALL),
+        cuts AS (SELECT c.tenant_id, feature, bin, p, w.n AS n, w.ones AS ones, sum(c.n) OVER upto AS nl, sum(c.ones) OVER upto AS ol,
+                        lead(first_value) OVER (PARTITION BY c.tenant_id, feature ORDER BY bin) AS next_value
+                 FROM cells c JOIN whole w ON w.tenant_id = c.tenant_id WINDOW upto AS (PARTITION BY c.tenant_id, feature ORDER BY bin)),
+        sides AS (SELECT *, nl * p - ol AS gl, (n - nl) * p - (ones - ol) AS gr, nl * p * (1 - p) + 1 AS hl, (n - nl) * p * (1 - p) + 1 AS hr,
+                         n * p - ones AS g, n * p * (1 - p) + 1 AS h FROM cuts),
+        best AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY round(gl * gl / hl + gr * gr / hr, 7) DESC, feature, bin) AS place FROM sides
+                 WHERE nl >= 10 AND n - nl >= 10 AND gl * gl / hl + gr * gr / hr > g * g / h)
+        SELECT w.tenant_id, round(ln(w.p / (1 - w.p)), 6) AS base, CAST(feature AS INTEGER) AS feature, next_value AS goes_right_from,
+               round(CASE WHEN place IS NULL THEN -(w.n * w.p - w.ones) / (w.n * w.p * (1 - w.p) + 1) ELSE -gl / hl END * 0.4::DOUBLE, 6) AS left_value,
+               round(CASE WHEN place IS NULL THEN -(w.n * w.p - w.ones) / (w.n * w.p * (1 - w.p) + 1) ELSE -gr / hr END * 0.4::DOUBLE, 6) AS right_value
+        FROM whole w LEFT JOIN best b ON b.tenant_id = w.tenant_id AND place = 1"""

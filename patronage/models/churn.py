@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronage.models import boosting
 from patronage.models.lifetime import WEEK
 from patronage.operators.orders import CUSTOMER
 from patronage.operators.scale import ranked_values
@@ -23,7 +19,6 @@ FEATURES = (
 HORIZON_DAYS = 182
 AUC_FLOOR = 0.65
 MIN_LABELLED = 30
-FITS_AT_ONCE = 8  # tenants whose trees grow side by side
 
 
 def cutoffs(orders: DataFrame, horizons: int) -> DataFrame:
@@ -126,13 +121,8 @@ def ranked_auc(scored: DataFrame) -> DataFrame:
     return sums.select("tenant_id", F.when(pairs > 0, (F.col("won") - F.col("p") * (F.col("p") + 1) / 2) / pairs).alias("auc"))
 
 
-def churn_shadow(tables: object, max_iter: int = 20) -> DataFrame:
-    """AUC per tenant: trained two horizons back, judged on the last one.
-
-    One distributed fit per tenant, several of them at a time; the judged rows of all tenants are
-    ranked together. A tenant with fewer than 30 labelled customers, or only one class, at either end is
-    reported without an AUC.
-    """
+def shadow_sets(tables: object) -> dict[str, DataFrame]:
+    """Labelled customers with their features: `train` two horizons back, `judge` one."""
     orders = tables.fact_orders
     sets = {}
     for name, horizons in (("train", 2), ("judge", 1)):
@@ -142,8 +132,15 @@ def churn_shadow(tables: object, max_iter: int = 20) -> DataFrame:
             tables.fact_tickets, tables.fact_messages,
         )
         rows = features.join(churn_labels(at, orders), CUSTOMER)
-        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-        sets[name] = settle(assembled.select("tenant_id", "features", F.col("churned").cast("double").alias("label")))
+        sets[name] = settle(rows.select(*CUSTOMER, *FEATURES, F.col("churned").cast("double").alias("label")))
+    return sets
+
+
+def shadow_scores(sets: dict[str, DataFrame], spec: boosting.Trees = boosting.Trees()) -> tuple[DataFrame, DataFrame]:
+    """Label counts per tenant with `eligible`, and the judged customers of eligible tenants with label and score.
+
+    All tenants' trees grow in the same passes; see `boosting`.
+    """
     sizes = {
         name: df.groupBy("tenant_id").agg(F.count(F.lit(1)).alias(f"{name}_n"), F.count_distinct("label").alias(f"{name}_kinds"))
         for name, df in sets.items()
@@ -153,17 +150,17 @@ def churn_shadow(tables: object, max_iter: int = 20) -> DataFrame:
     for name in sets:
         enough = enough & (F.col(f"{name}_n") >= MIN_LABELLED) & (F.col(f"{name}_kinds") == 2)
     have = settle(have.withColumn("eligible", enough))
+    chosen = have.where("eligible").select("tenant_id")
+    model = boosting.fit(sets["train"].join(chosen, "tenant_id", "left_semi"), FEATURES, "label", spec)
+    scored = boosting.score(sets["judge"], model, FEATURES, spec)
+    return have, settle(scored.select(*CUSTOMER, "label", "score"))
+
 
-    def judged(tenant: int) -> DataFrame:
-        one = F.col("tenant_id") == tenant
-        model = GBTClassifier(maxIter=max_iter, maxDepth=4, seed=0).fit(sets["train"].where(one))
-        chance = vector_to_array("probability")[1].alias("score")
-        return settle(model.transform(sets["judge"].where(one)).select("tenant_id", "label", chance))
-
-    eligible = sorted(r["tenant_id"] for r in have.where("eligible").select("tenant_id").toLocalIterator())
-    scored = sets["judge"].limit(0).select("tenant_id", "label", F.lit(0.0).alias("score"))
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        for part in pool.map(judged, eligible):
-            scored = scored.unionByName(part)
+def churn_shadow(tables: object, spec: boosting.Trees = boosting.Trees()) -> DataFrame:
+    """AUC per tenant: trained two horizons back, judged on the last one.
+
+    A tenant with fewer than 30 labelled customers, or only one class, at either end is reported without an AUC.
+    """
+    have, scored = shadow_scores(shadow_sets(tables), spec)
     return have.join(ranked_auc(scored), "tenant_id", "left").select(
         "tenant_id", F.col("train_n").alias("trained_on"), F.col("judge_n").alias("judged_on"), "auc", (F.col("auc") >= AUC_FLOOR).alias("above_floor"))

@@ -1,4 +1,4 @@
-"""The nightly order over synced tables: marts, predictions, scores, all stored per tenant."""
+"""The nightly order over synced tables: marts, predictions, the shadow classifier's AUC, scores, all stored per tenant."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronage.models.churn import churn_shadow
 from patronage.models.lifetime import run_models
 from patronage.plans.marts import MART_NAMES, build_marts
 from patronage.plans.score_inputs import ScoreInputs
@@ -37,6 +38,7 @@ def nightly(tables: object, path: str, run_at: datetime, indexed: bool = False)
     stamp = f"{run_at:%Y-%m-%d %H:%M:%S}"
     predicted = run_models(tables.fact_orders, stamp)
     sinks.write_predictions(predicted, f"{path}/predictions")
+    sinks.write_replace(churn_shadow(tables), f"{path}/churn_shadow", tables.tenants)
     tables.predictions = sinks.read_table(tables.spark, f"{path}/predictions", predicted)
     inputs = ScoreInputs(tables, marts, run_at)
     runs = score_runs(all_scores(inputs.all(tables.tenants)), stamp)
