@@ -287,19 +287,28 @@ SQL["churn_auc_of_recency"] = """
         FROM (SELECT tenant_id, y, rank() OVER (PARTITION BY tenant_id ORDER BY recency_weeks)
                      + (count(*) OVER (PARTITION BY tenant_id, recency_weeks) - 1) / 2 AS place FROM v_labelled) GROUP BY tenant_id"""
 # Every row of the first tree has the same gradient but for its label, so counts of rows and labels are all that a cut needs.
-SQL["churn_first_cut"] = f"""
-        WITH whole AS (SELECT tenant_id, count(*) AS n, sum(y) AS ones, (sum(y) + 0.5::DOUBLE) / (count(*) + 1) AS p FROM v_labelled GROUP BY ALL),
-        long AS (SELECT tenant_id, y, unnest([{", ".join(churn.FEATURES)}]) AS value, unnest(range(0, {len(churn.FEATURES)})) AS feature FROM v_labelled),
-        binned AS (SELECT *, ((rank() OVER (PARTITION BY tenant_id, feature ORDER BY value) - 1) * 32) // count(*) OVER (PARTITION BY tenant_id, feature) AS bin FROM long),
-        cells AS (SELECT tenant_id, feature, bin, min(value) AS first_value, count(*) AS n, sum(y) AS ones FROM binned GROUP BY ALL),
-        cuts AS (SELECT c.tenant_id, feature, bin, p, w.n AS n, w.ones AS ones, sum(c.n) OVER upto AS nl, sum(c.ones) OVER upto AS ol,
+VIEWS.update({
+    "v_first_whole": """
+        SELECT tenant_id, count(*) AS n, sum(y) AS ones, (sum(y) + 0.5::DOUBLE) / (count(*) + 1) AS p FROM v_labelled GROUP BY ALL""",
+    "v_first_long": f"""
+        SELECT tenant_id, y, unnest([{", ".join(churn.FEATURES)}]) AS value, unnest(range(0, {len(churn.FEATURES)})) AS feature FROM v_labelled""",
+    "v_first_binned": """
+        SELECT *, ((rank() OVER (PARTITION BY tenant_id, feature ORDER BY value) - 1) * 32) // count(*) OVER (PARTITION BY tenant_id, feature) AS bin FROM v_first_long""",
+    "v_first_cells": """
+        SELECT tenant_id, feature, bin, min(value) AS first_value, count(*) AS n, sum(y) AS ones FROM v_first_binned GROUP BY ALL""",
+    "v_first_cuts": """
+        SELECT c.tenant_id, feature, bin, p, w.n AS n, w.ones AS ones, sum(c.n) OVER upto AS nl, sum(c.ones) OVER upto AS ol,
                         lead(first_value) OVER (PARTITION BY c.tenant_id, feature ORDER BY bin) AS next_value
-                 FROM cells c JOIN whole w ON w.tenant_id = c.tenant_id WINDOW upto AS (PARTITION BY c.tenant_id, feature ORDER BY bin)),
-        sides AS (SELECT *, nl * p - ol AS gl, (n - nl) * p - (ones - ol) AS gr, nl * p * (1 - p) + 1 AS hl, (n - nl) * p * (1 - p) + 1 AS hr,
-                         n * p - ones AS g, n * p * (1 - p) + 1 AS h FROM cuts),
-        best AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY round(gl * gl / hl + gr * gr / hr, 7) DESC, feature, bin) AS place FROM sides
-                 WHERE nl >= 10 AND n - nl >= 10 AND gl * gl / hl + gr * gr / hr > g * g / h)
+                 FROM v_first_cells c JOIN v_first_whole w ON w.tenant_id = c.tenant_id WINDOW upto AS (PARTITION BY c.tenant_id, feature ORDER BY bin)""",
+    "v_first_sides": """
+        SELECT *, nl * p - ol AS gl, (n - nl) * p - (ones - ol) AS gr, nl * p * (1 - p) + 1 AS hl, (n - nl) * p * (1 - p) + 1 AS hr,
+                         n * p - ones AS g, n * p * (1 - p) + 1 AS h FROM v_first_cuts""",
+    "v_first_best": """
+        SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY round(gl * gl / hl + gr * gr / hr, 7) DESC, feature, bin) AS place FROM v_first_sides
+                 WHERE nl >= 10 AND n - nl >= 10 AND gl * gl / hl + gr * gr / hr > g * g / h""",
+})
+SQL["churn_first_cut"] = """
         SELECT w.tenant_id, round(ln(w.p / (1 - w.p)), 6) AS base, CAST(feature AS INTEGER) AS feature, next_value AS goes_right_from,
                round(CASE WHEN place IS NULL THEN -(w.n * w.p - w.ones) / (w.n * w.p * (1 - w.p) + 1) ELSE -gl / hl END * 0.4::DOUBLE, 6) AS left_value,
                round(CASE WHEN place IS NULL THEN -(w.n * w.p - w.ones) / (w.n * w.p * (1 - w.p) + 1) ELSE -gr / hr END * 0.4::DOUBLE, 6) AS right_value
-        FROM whole w LEFT JOIN best b ON b.tenant_id = w.tenant_id AND place = 1"""
+        FROM v_first_whole w LEFT JOIN v_first_best b ON b.tenant_id = w.tenant_id AND place = 1"""
