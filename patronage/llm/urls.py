@@ -4,10 +4,11 @@ Pages that a rule judges are the labelled ones. Per host, paths form a tree:
 
 1. Segments are typed: runs of digits and long hexadecimal runs become `{num}` and `{hex}`.
    Pages collapse to distinct shapes per host with counts of pages, labelled and blocked ones.
-2. Level by level a segment stays literal when it is frequent below its parent and its share of
-   blocked pages differs significantly (two proportions, 5 %) from its siblings'
-   share; every other segment becomes `*`. So variable segments turn into wildcards and
-   statistically similar branches merge.
+2. Branching point by branching point, to the deepest path there is, a segment stays literal when it
+   has pages enough and its share of blocked pages differs significantly (two proportions, 5 %) from its
+   siblings' share; every other segment becomes `*`. So variable segments turn into wildcards and
+   statistically similar branches merge. What all shapes of a branch share is stepped over
+   at once, and a branch ends where nothing can be told apart any more: a single shape, no label, too few pages.
 3. A template is rejected when its smoothed share of blocked pages, (blocked + PRIOR * WEIGHT) /
    (labelled + WEIGHT), reaches `REJECT`. Templates without evidence are allowed.
 
@@ -30,14 +31,13 @@ RULES: tuple[Rule, ...] = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH = 3  # literal levels; what lies deeper is one more segment, `{rest}`
 MIN_PAGES = 5  # of a literal segment
-MIN_SHARE = 100  # one in so many pages of its parent
 CHI_SQUARE = 3.841458820694124  # 95 % point at one degree of freedom
 WEIGHT, PRIOR, REJECT = 10.0, 0.25, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END = "$"
-LEVELS = [f"s{i}" for i in range(1, DEPTH + 2)]
+REST = "{rest}"
+TREE = ("host", "shape", "n", "labelled", "blocked", "template")
 
 
 def host_and_path(pages: DataFrame) -> DataFrame:
@@ -78,41 +78,73 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     judged = host_and_path(pages.select("page_id", "url"))
     judged = judged.withColumn("rule", _first(rules, lambda r: r[1] + r[2])).withColumn("ruled", _first(rules, lambda r: r[0]))
     typed = F.regexp_replace(F.regexp_replace("path", "[0-9a-f]{16,}", "{hex}"), "[0-9]+", "{num}")
-    parts = F.split(typed, "/")
-    segments = [F.coalesce(F.get(parts, F.lit(i)), F.lit(END)).alias(f"s{i}") for i in range(1, DEPTH + 1)]
-    rest = F.when(F.size(parts) > DEPTH + 1, "{rest}").otherwise(END).alias(f"s{DEPTH + 1}")
-    shaped = judged.drop("url").select("*", *segments, rest)
-
-    tree = stored(
-        shaped.groupBy("host", *LEVELS).agg(
-            F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"),
-            F.coalesce(F.sum((F.col("ruled") == "block").cast("long")), F.lit(0)).alias("blocked")), "url-shapes")
-    above = ["host"]
-    for i, level in enumerate(LEVELS, 1):
-        child = tree.groupBy(*above, level).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        parent = child.groupBy(*above).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-        kept = child.join(parent, above).where(_stands_out()).select(*above, level, F.lit(True).alias("literal"))
-        tree = stored(
-            tree.join(stored(kept, "url-branches"), [*above, level], "left")
-            .withColumn(f"t{i}", F.when(F.col("literal"), F.col(level)).otherwise("*")).drop("literal"), "url-tree")
-        above = [*above, f"t{i}"]
-    template = F.concat_ws("/", *above).alias("template")
-    found = tree.groupBy(*above).agg(F.sum("labelled").alias("labelled_"), F.sum("blocked").alias("blocked_"))
-    verdicts = stored(tree.join(found, above).select(
-        "host", *LEVELS, template, F.col("labelled_").alias("labelled"), F.col("blocked_").alias("blocked")), "url-templates")
+    shaped = judged.drop("url").withColumn("shape", typed)
+
+    shapes = shaped.groupBy("host", "shape").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"),
+        F.coalesce(F.sum((F.col("ruled") == "block").cast("long")), F.lit(0)).alias("blocked"))
+    parts = F.split("shape", "/")
+    # the first part lies before the first slash and is empty
+    rest = F.concat(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit(END)))
+    open_ = stored(shapes.select("*", F.col("host").alias("template"), rest.alias("rest")), "url-shapes")
+    ended = None
+    while True:
+        step = stored(_shared_part(open_), "url-branches")
+        over = step.where("ended").select(*TREE)
+        ended = over if ended is None else ended.unionByName(over)
+        going = step.where(~F.col("ended"))
+        if going.isEmpty():
+            break
+        open_ = stored(_branch(going), "url-tree")
+    found = ended.groupBy("host", "template").agg(F.sum("labelled").alias("labelled_"), F.sum("blocked").alias("blocked_"))
+    verdicts = stored(ended.join(found, ["host", "template"]).select(
+        "host", "shape", "template", F.col("labelled_").alias("labelled"), F.col("blocked_").alias("blocked")), "url-templates")
     rejected = (F.col("blocked") + PRIOR * WEIGHT) / (F.col("labelled") + WEIGHT) >= REJECT
     verdict = F.coalesce("ruled", F.when(rejected, "block").otherwise("allow"))
-    return shaped.join(verdicts, ["host", *LEVELS]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", "blocked")
+    return shaped.join(verdicts, ["host", "shape"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", "blocked")
+
+
+def _shared_part(tree: DataFrame) -> DataFrame:
+    """Step over the segments that all shapes of a branch share, and mark the branches that end.
+
+    The least and the greatest of a branch's remaining paths share just what all of them share.
+    """
+    branch = tree.groupBy("host", "template").agg(
+        F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"))
+    same = F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(same, F.lit(False))
+    branch = branch.select(
+        "host", "template", F.when(at > 0, at - 1).otherwise(F.size(same)).cast("int").alias("common"),
+        (F.col("low") == F.col("high")).alias("one"),
+        ((F.col("low") == F.col("high")) | (F.col("all_labelled") == 0) | (F.col("all_n") < MIN_PAGES)).alias("ended"))
+    passed = F.slice("rest", F.lit(1), F.col("common"))
+    left = F.slice("rest", F.col("common") + 1, F.greatest(F.size("rest") - F.col("common"), F.lit(0)))
+    onward = F.concat_ws("/", "template", passed)
+    template = F.when(F.col("ended") & ~F.col("one"), F.concat_ws("/", onward, F.lit(REST))).otherwise(onward)
+    return tree.join(branch, ["host", "template"]).select(
+        "host", "shape", "n", "labelled", "blocked", template.alias("template"), left.alias("rest"), "ended")
+
+
+def _branch(tree: DataFrame) -> DataFrame:
+    """One segment further: literal where it stands out among its siblings, else `*`."""
+    next_ = tree.withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit(END)))
+    child = next_.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    parent = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked")])
+    kept = child.join(parent, ["host", "template"]).where(_stands_out()).select("host", "template", "segment", F.lit(True).alias("literal"))
+    segment = F.when(F.col("literal"), F.col("segment")).otherwise("*")
+    return next_.join(kept, ["host", "template", "segment"], "left").select(
+        "host", "shape", "n", "labelled", "blocked", F.concat_ws("/", "template", segment).alias("template"),
+        F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"))
 
 
 def _stands_out() -> Column:
-    """Frequent, labelled, and blocked at another rate than its siblings (or alone in being labelled)."""
+    """Of pages enough, labelled, and blocked at another rate than its siblings (or alone in being labelled)."""
     n1, b1 = F.col("labelled").cast("double"), F.col("blocked").cast("double")
     n, b = F.col("all_labelled").cast("double"), F.col("all_blocked").cast("double")
     n2, b2 = n - n1, b - b1
     gap = b1 * n2 - b2 * n1
     differs = gap * gap * n > F.lit(CHI_SQUARE) * (b * (n - b)) * (n1 * n2)
-    return (F.col("n") >= MIN_PAGES) & (F.col("n") * MIN_SHARE >= F.col("all_n")) & (n1 > 0) & ((n2 == 0) | differs)
+    return (F.col("n") >= MIN_PAGES) & (n1 > 0) & ((n2 == 0) | differs)
 
 
 def _sql(rules: tuple[Rule, ...]) -> str:
@@ -123,35 +155,42 @@ def _sql(rules: tuple[Rule, ...]) -> str:
         fits = lambda r: f"(host = {quoted(r[1])} OR ends_with(host, {quoted('.' + r[1])})) AND starts_with(path, {quoted(r[2])})"
         return "CASE " + " ".join(f"WHEN {fits(r)} THEN {quoted(value(r))}" for r in ordered) + " END"
 
-    levels = ", ".join(LEVELS)
-    steps = [f"""
+    return f"""WITH RECURSIVE
 cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM cut),
 parsed AS (SELECT page_id, translate(raw_host, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM hosts),
-judged AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS ruled,
-  string_split(regexp_replace(regexp_replace(path, '[0-9a-f]{{16,}}', '{{hex}}', 'g'), '[0-9]+', '{{num}}', 'g'), '/') AS parts FROM parsed),
-shaped AS (SELECT * EXCLUDE (parts), {", ".join(f"coalesce(parts[{i + 1}], '{END}') AS s{i}" for i in range(1, DEPTH + 1))},
-  CASE WHEN len(parts) > {DEPTH + 1} THEN '{{rest}}' ELSE '{END}' END AS s{DEPTH + 1} FROM judged),
-tree0 AS (SELECT host, {levels}, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM shaped GROUP BY host, {levels})"""]
-    above = ["host"]
-    for i, level in enumerate(LEVELS, 1):
-        up = ", ".join(above)
-        steps.append(f"""
-child{i} AS (SELECT {up}, {level}, sum(n)::DOUBLE AS n, sum(labelled)::DOUBLE AS n1, sum(blocked)::DOUBLE AS b1 FROM tree{i - 1} GROUP BY {up}, {level}),
-parent{i} AS (SELECT {up}, sum(n) AS all_n, sum(n1) AS al, sum(b1) AS ab FROM child{i} GROUP BY {up}),
-kept{i} AS (SELECT {up}, {level}, true AS literal FROM child{i} JOIN parent{i} USING ({up})
-  WHERE n >= {MIN_PAGES} AND n * {MIN_SHARE} >= all_n AND n1 > 0 AND (al - n1 = 0 OR
-    (b1 * (al - n1) - (ab - b1) * n1) * (b1 * (al - n1) - (ab - b1) * n1) * al > CAST({CHI_SQUARE} AS DOUBLE) * (ab * (al - ab)) * (n1 * (al - n1)))),
-tree{i} AS (SELECT tree{i - 1}.*, CASE WHEN literal THEN {level} ELSE '*' END AS t{i} FROM tree{i - 1} LEFT JOIN kept{i} USING ({up}, {level}))""")
-        above.append(f"t{i}")
-    up = ", ".join(above)
-    return f"""WITH {",".join(steps)},
-found AS (SELECT {up}, CAST(sum(labelled) AS BIGINT) AS l, CAST(sum(blocked) AS BIGINT) AS b FROM tree{len(LEVELS)} GROUP BY {up}),
-verdicts AS (SELECT host, {levels}, concat_ws('/', {up}) AS template, l AS labelled, b AS blocked FROM tree{len(LEVELS)} JOIN found USING ({up}))
+shaped AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS ruled,
+  regexp_replace(regexp_replace(path, '[0-9a-f]{{16,}}', '{{hex}}', 'g'), '[0-9]+', '{{num}}', 'g') AS shape FROM parsed),
+shapes AS (SELECT host, shape, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM shaped GROUP BY host, shape),
+tree AS (
+  SELECT host, shape, n, labelled, blocked, host AS template, list_append(string_split(shape, '/')[2:], '{END}') AS rest, false AS ended FROM shapes
+  UNION ALL
+  SELECT host, shape, n, labelled, blocked,
+    CASE WHEN low = high THEN onward WHEN over THEN onward || '/{REST}' ELSE onward || '/' || CASE WHEN
+      cn >= {MIN_PAGES} AND n1 > 0 AND (al - n1 = 0 OR
+        (b1 * (al - n1) - (ab - b1) * n1) * (b1 * (al - n1) - (ab - b1) * n1) * al > CAST({CHI_SQUARE} AS DOUBLE) * (ab * (al - ab)) * (n1 * (al - n1)))
+      THEN segment ELSE '*' END END,
+    left_over[2:], over
+  FROM (
+    SELECT *, CAST(sum(n) OVER c AS DOUBLE) AS cn, CAST(sum(labelled) OVER c AS DOUBLE) AS n1, CAST(sum(blocked) OVER c AS DOUBLE) AS b1
+    FROM (
+      SELECT *, rest[common + 1:] AS left_over, coalesce(rest[common + 1], '{END}') AS segment,
+        template || CASE WHEN common > 0 THEN '/' || array_to_string(rest[1:common], '/') ELSE '' END AS onward,
+        low = high OR al = 0 OR an < {MIN_PAGES} AS over
+      FROM (
+        SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(low), len(high)) + 1), lambda i: low[i] IS NOT DISTINCT FROM high[i]), false) - 1,
+                           len(low)) AS common
+        FROM (SELECT host, shape, n, labelled, blocked, template, rest, min(rest) OVER b AS low, max(rest) OVER b AS high, CAST(sum(n) OVER b AS DOUBLE) AS an,
+                CAST(sum(labelled) OVER b AS DOUBLE) AS al, CAST(sum(blocked) OVER b AS DOUBLE) AS ab
+              FROM tree WHERE NOT ended WINDOW b AS (PARTITION BY host, template))))
+    WINDOW c AS (PARTITION BY host, template, segment))),
+ended AS (SELECT host, shape, template, labelled, blocked FROM tree WHERE ended),
+found AS (SELECT host, template, CAST(sum(labelled) AS BIGINT) AS labelled, CAST(sum(blocked) AS BIGINT) AS blocked FROM ended GROUP BY host, template),
+verdicts AS (SELECT ended.host, shape, template, found.labelled, found.blocked FROM ended JOIN found USING (host, template))
 SELECT page_id, host, path, rule,
   coalesce(ruled, CASE WHEN (blocked + {PRIOR * WEIGHT}) / (labelled + {WEIGHT}) >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
   template, labelled, blocked
-FROM shaped JOIN verdicts USING (host, {levels})"""
+FROM shaped JOIN verdicts USING (host, shape)"""
 
 
 SQL = _sql(RULES)

@@ -54,3 +54,32 @@ def test_similar_branches_merge_and_impure_templates_go(spark):
     c = by["http://v.net/c/150/"]
     assert (c["rule"], c["template"], c["labelled"], c["blocked"], c["verdict"]) == (None, "v.net/*/{num}//$", 200, 200, "block")
     assert by["http://w.net/c/1/"]["verdict"] == "allow"
+
+
+def both(spark, names, rules):
+    """The rows by url, after a comparison with the SQL of these rules."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(names)))
+    got = urls.filter_urls(table(spark, enumerate(names)), rules)
+    assert compare(got, con, urls._sql(rules)) is None
+    return {names[r["page_id"]]: r for r in got.collect()}
+
+
+def test_a_rare_labelled_branch_of_a_hot_host_stands_alone(spark):
+    count = {"en": 9000, "fr": 950, "de": 50}
+    by = both(spark, [f"http://h.com/{s}/{i}" for s, n in count.items() for i in range(n)], urls.RULES)
+    assert {r["verdict"] for u, r in by.items() if "/en/" in u} == {"allow"}
+    assert by["http://h.com/de/7"]["template"] == "h.com/de/{num}/$" and by["http://h.com/de/7"]["blocked"] == 50
+    assert (by["http://h.com/en/7"]["labelled"], by["http://h.com/en/7"]["rule"]) == (0, None)
+
+
+def test_branches_far_down_are_told_apart(spark):
+    deep = "/".join("abcdefghijklmnopqrstuvwxyz" * 20)
+    rules = (("block", "h.com", f"/{deep}/bad/"), ("allow", "h.com", f"/{deep}/fine/"), ("block", "h.com", f"/{deep}/new/x/y/1"))
+    names = [f"http://h.com/{deep}/{s}/{t}/{i}" for s in ("bad", "fine") for t in "pq" for i in range(10)]
+    names += [f"http://h.com/{deep}/new/x/{s}/{i}" for s in "yz" for i in range(30)] + ["http://h.com/", "http://h.com"]
+    by = both(spark, names, rules)
+    assert by[f"http://h.com/{deep}/bad/p/1"]["template"].startswith(f"h.com/{deep}/bad/")
+    assert by[f"http://h.com/{deep}/new/x/z/3"]["verdict"] == "allow"
+    assert by[f"http://h.com/{deep}/new/x/y/2"]["rule"] is None
