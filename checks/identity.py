@@ -6,7 +6,9 @@ from checks.ingest import _merged_core, handles
 from checks.marts import r6
 from patronage.functions import normalize_email, normalize_phone
 from patronage.operators import identity as idn
+from patronage.session import settle, work_path
 from patronage.sources.payloads import Payloads
+from patronage.streaming import components as growing
 
 
 class Case:
@@ -32,7 +34,20 @@ class Case:
 
 
 def _components(t):
-    c = Case(t).components
+    return _sized(Case(t).components)
+
+
+def _grown(t):
+    """All keys in three batches, and then the components of the store."""
+    c = Case(t)
+    pairs = settle(idn.nodes(c.keys, c.guests))
+    path = work_path(t.spark, "components")
+    for batch in range(3):
+        growing.add_pairs(pairs.where(F.expr("node div 2 % 3") == batch), path, batch)
+    return _sized(idn.as_members(growing.components(t.spark, path)))
+
+
+def _sized(c):
     # A component's name is an internal node number; the oldest id tells components apart just as well.
     low = c.groupBy("tenant_id", "component").agg(
         F.min(F.when(F.col("kind") == "customer", F.col("id"))).alias("low_customer"), F.count(F.lit(1)).alias("size"))
@@ -87,6 +102,7 @@ QUERIES = {
     "identity_keys": lambda t: Case(t).keys,
     "guest_order_keys": lambda t: Case(t).guests,
     "connected_components": _components,
+    "grow_components": _grown,
     "choose_survivor": lambda t: Case(t).chosen.select("tenant_id", "customer_id", "survivor_id"),
     "merge_edges": _edges,
     "repoint_children": lambda t: idn.repoint(
@@ -141,15 +157,17 @@ def _survive(field):
     return f"arg_min({field}, coalesce(place, 0)) FILTER ({field} IS NOT NULL) AS {{}}"
 
 
+COMPONENTS = """
+        SELECT c.tenant_id, node // 2 AS customer_id, low_customer, size FROM v_comp c
+        JOIN (SELECT tenant_id, component, min(CASE WHEN node % 2 = 0 THEN node // 2 END) AS low_customer, count(*) AS size FROM v_comp GROUP BY ALL) s
+          ON s.tenant_id = c.tenant_id AND s.component = c.component WHERE node % 2 = 0"""
 SQL = {
     "normalize_phone": "SELECT tenant_id, customer_id, clean_phone AS phone FROM t_pii",
     "normalize_email": "SELECT tenant_id, customer_id, clean_email AS email FROM t_pii",
     "identity_keys": "SELECT * FROM v_keys",
     "guest_order_keys": "SELECT * FROM v_guest_keys",
-    "connected_components": """
-        SELECT c.tenant_id, node // 2 AS customer_id, low_customer, size FROM v_comp c
-        JOIN (SELECT tenant_id, component, min(CASE WHEN node % 2 = 0 THEN node // 2 END) AS low_customer, count(*) AS size FROM v_comp GROUP BY ALL) s
-          ON s.tenant_id = c.tenant_id AND s.component = c.component WHERE node % 2 = 0""",
+    "connected_components": COMPONENTS,
+    "grow_components": COMPONENTS,
     "choose_survivor": "SELECT tenant_id, customer_id, survivor_id FROM v_chosen",
     "merge_edges": "SELECT * FROM v_edges",
     "repoint_children": """

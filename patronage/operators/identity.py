@@ -82,7 +82,7 @@ def guest_order_keys(orders: DataFrame, raw: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ components
 
 
-def _nodes(keys: DataFrame, guest_keys: DataFrame | None) -> DataFrame:
+def nodes(keys: DataFrame, guest_keys: DataFrame | None) -> DataFrame:
     """(node, key) pairs: a customer is an even node number, a guest order an odd one."""
     key = F.concat_ws(":", "identity_type", "value")
     pairs = keys.select(TENANT, (F.col("customer_id") * 2).alias("node"), key.alias("key"))
@@ -152,12 +152,17 @@ def customer_components(keys: DataFrame, guest_keys: DataFrame | None = None) ->
 
     Columns: tenant_id, kind (`customer` or `guest`), id, component.
     """
-    pairs = settle(_nodes(keys, guest_keys))
+    pairs = settle(nodes(keys, guest_keys))
     grouped = connected_components(star_edges(pairs))
     alone = pairs.select(TENANT, "node").distinct().join(grouped, [TENANT, "node"], "left")
-    return alone.select(
+    return as_members(alone.withColumn("component", F.coalesce("component", "node")))
+
+
+def as_members(found: DataFrame) -> DataFrame:
+    """Node numbers of (tenant_id, node, component) as customers and guest orders: tenant_id, kind, id, component."""
+    return found.select(
         TENANT, F.when(F.col("node") % 2 == 0, "customer").otherwise("guest").alias("kind"),
-        F.expr("(node - node % 2) div 2").alias("id"), F.coalesce("component", "node").alias("component"),
+        F.expr("(node - node % 2) div 2").alias("id"), "component",
     )
 
 

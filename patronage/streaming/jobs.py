@@ -28,8 +28,8 @@ def _run(stream: DataFrame, write, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def _bucket(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def _bucket(*keys: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 def _versions(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -41,10 +41,10 @@ def _versions(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _write_batch(rows: DataFrame, path: str, batch: int, *keys: str) -> None:
+def _write_batch(rows: DataFrame, path: str, batch: int, *keys: str, buckets: int = BUCKETS) -> None:
     """One folder per bucket and batch; a retried batch overwrites its own."""
     (
-        rows.withColumn("bucket", _bucket(*keys)).withColumn("batch", F.lit(batch).cast("long"))
+        rows.withColumn("bucket", _bucket(*keys, buckets=buckets)).withColumn("batch", F.lit(batch).cast("long"))
         .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket", "batch").parquet(path)
     )
