@@ -18,7 +18,8 @@ def latest_before(
 
     `payload` fields order facts of the same instant, highest wins, and come
     back in the struct `name` behind its `at` field. One pass over both sides
-    together: no pairs are formed, and every key is cut by the hour.
+    together: no pairs are formed, and every key is cut by the hour, a crowded hour further.
+    Rows of one instant are told apart by a hash, facts before asks.
     """
     entry = F.struct(F.col(fact_at).alias("at"), *payload)
     left = asks.select(
@@ -31,7 +32,7 @@ def latest_before(
     )
     both = left.unionByName(right, allowMissingColumns=True)
     seen = running(
-        both, keys, F.date_trunc("hour", F.col("__t")), ["__t", "__ask"],
+        both.withColumn("__tie", F.xxhash64("__row", "__fact")), keys, F.date_trunc("hour", F.col("__t")), ["__t", "__ask", "__tie"],
         peaks={"__latest": F.col("__fact")},
     )
     return seen.where("__ask = 1").select("__row.*", F.col("__latest").alias(name))

@@ -1,7 +1,7 @@
 """Building blocks that stay even when one group holds a third of the rows.
 
 * `running` - running sums and running peaks per key, where every key is cut
-  into time buckets whose totals are carried over;
+  into time buckets, and a crowded bucket into pieces, whose totals are carried over;
 * `ranked_values` - exact positions of every distinct value inside a group,
   without ever sorting the group in one task;
 * `quantile` - exact interpolated quantiles read off those positions.
@@ -12,6 +12,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Sampled rows: one in so many, by a hash of the row's place, so a retry samples the same rows.
+SAMPLE = 4096
+KEEP = 1024  # sampled rows kept of a bucket, those of the lowest hashes
+CROWDED = 16  # sampled rows that make a bucket crowded
+PIECES = 64  # of a crowded bucket
+# Crowded buckets that are cut, the fullest first. A bucket that is not among them holds no more than
+# about 1 / CUT of all rows, and CUT * (PIECES - 1) places are what a broadcast holds at most.
+CUT = 4096
+
+
+def _cuts(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """Where to cut the crowded buckets: cell, `__cuts` (up to PIECES - 1 places in order).
+
+    Per bucket the sampled rows of the lowest hashes are kept, cut in every task before the
+    shuffle. The highest hash kept tells how full a bucket is: the fuller, the lower.
+    """
+    lowest = Window.partitionBy(*cell).orderBy("__hash")
+    sampled = (
+        rows.select(*cell, "__place", F.xxhash64(*cell, "__place").alias("__hash")).where(F.pmod("__hash", F.lit(SAMPLE)) == 0)
+        .withColumn("__nth", F.row_number().over(lowest)).where(F.col("__nth") <= KEEP)
+    )
+    full = sampled.groupBy(*cell).agg(
+        F.sort_array(F.collect_list("__place")).alias("__all"), F.count(F.lit(1)).alias("__n"), F.max("__hash").alias("__top"))
+    step = F.col("__n") / F.lit(PIECES)
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(PIECES - 1)), lambda i: F.get("__all", F.floor(i * step).cast("int")))
+    return (
+        full.where(F.col("__n") >= CROWDED).orderBy(F.col("__n").desc(), "__top", *cell).limit(CUT)
+        .select(*cell, F.array_distinct(cuts).alias("__cuts"))
+    )
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -22,43 +53,42 @@ def running(
 ) -> DataFrame:
     """Add running sums and running maxima per key, up to and including the row.
 
-    `bucket` must not decrease along `order`. Every key is cut alike: rows are windowed
+    `bucket` must not decrease along `order`, columns that rise. Every key is cut alike: rows are windowed
     bucket by bucket, and what a key's earlier buckets add up to is joined on, from
-    one row per key and bucket. So a key with a third of all rows is spread over as
-    many tasks as it has buckets, nothing is counted beforehand, and only rows of one key in one
-    bucket are sorted together. A null key joins no carry, so give keys a value where
-    their rows belong together.
+    one row per key and bucket. A bucket with a great many rows, such as an import or a burst within an
+    hour, is cut further at places of `order` found by a sample, so rows of one key and instant are spread as
+    well where `order` goes on to tell them apart. Building it starts no job. A null key joins no carry, so
+    give keys a value where their rows belong together.
     """
     sums, peaks = sums or {}, peaks or {}
-    split = df.withColumn("__bucket", bucket)
+    split = df.withColumns({"__bucket": bucket, "__place": F.struct(*order)})
     for name, col in {**sums, **peaks}.items():
         split = split.withColumn(f"__in_{name}", col)
-
-    inside = (
-        Window.partitionBy(*keys, "__bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.filter("__cuts", lambda cut: cut <= F.col("__place"))
+    split = (
+        split.join(F.broadcast(_cuts(split, [*keys, "__bucket"])), [*keys, "__bucket"], "left")
+        .withColumn("__piece", F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(here))).drop("__cuts", "__place")
     )
+
+    part = [*keys, "__bucket", "__piece"]
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = split.select(
         "*",
         *[F.sum(f"__in_{n}").over(inside).alias(f"__at_{n}") for n in sums],
         *[F.max(f"__in_{n}").over(inside).alias(f"__at_{n}") for n in peaks],
     )
 
-    before = (
-        Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = split.groupBy(*keys, "__bucket").agg(
+    before = Window.partitionBy(*keys).orderBy("__bucket", "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = split.groupBy(*part).agg(
         *[F.sum(f"__in_{n}").alias(f"__t_{n}") for n in sums],
         *[F.max(f"__in_{n}").alias(f"__t_{n}") for n in peaks],
     )
     carry = totals.select(
-        *keys,
-        "__bucket",
+        *part,
         *[F.sum(f"__t_{n}").over(before).alias(f"__c_{n}") for n in sums],
         *[F.max(f"__t_{n}").over(before).alias(f"__c_{n}") for n in peaks],
     ).where(" or ".join(f"__c_{n} is not null" for n in (*sums, *peaks)))
-    joined = local.join(carry, [*keys, "__bucket"], "left")
+    joined = local.join(carry, part, "left")
     return joined.select(
         *[c for c in df.columns],
         *[

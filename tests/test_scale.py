@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from patronage.operators import scale
-from patronage.operators.attribution import last_click
+from patronage.operators.attribution import last_click, latest_before
 from patronage.operators.orders import order_index, valid_orders
 from patronage.plans.score_inputs import sends_after_revoke
 
@@ -43,6 +43,45 @@ def test_one_customer_is_spread_over_tasks(skewed, spark):
     assert len(where) >= 4 and max(where) < 0.5 * sum(where)
 
 
+@pytest.fixture()
+def small_pieces(monkeypatch):
+    """Pieces of a few rows, and few buckets that may be cut."""
+    for name, value in {"SAMPLE": 4, "KEEP": 64, "CROWDED": 8, "PIECES": 16, "CUT": 8}.items():
+        monkeypatch.setattr(scale, name, value)
+
+
+def test_one_instant_is_spread_over_tasks(spark, small_pieces):
+    """All rows of the hot key at one instant: they lie in several partitions before the window and are numbered right."""
+    at = datetime(2025, 3, 1, 10)
+    rows = [(0, at, i, i % 7) for i in range(2000)] + [(1 + i % 300, at + timedelta(minutes=i), i, 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, t timestamp_ntz, id long, v long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = scale.running(df, ["k"], F.date_trunc("hour", F.col("t")), ["t", "id"], sums={"nth": F.lit(1), "s": F.col("v")})
+        held = [r.n for r in out.where("k = 0").groupBy(F.spark_partition_id()).agg(F.count("nth").alias("n")).collect()]
+        got = {r.id: (r.nth, r.s) for r in out.where("k = 0").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(held) == 4 and max(held) < 1200  # the session has four shuffle partitions
+    assert got == {i: (i + 1, sum(j % 7 for j in range(i + 1))) for i in range(2000)}
+    bucketed = df.withColumns({"__bucket": F.date_trunc("hour", F.col("t")), "__place": F.struct("t", "id")})
+    cuts = scale._cuts(bucketed, ["k", "__bucket"]).collect()
+    assert [r.k for r in cuts] == [0] and 8 <= len(cuts[0]["__cuts"]) <= 15
+
+
+def test_pieces_change_no_result(skewed, small_pieces):
+    test_running_equals_plain_window(skewed)
+
+
+def test_a_burst_of_clicks_and_orders_at_one_instant(spark, small_pieces):
+    """Asks of an instant see every fact of that instant, whichever piece holds it."""
+    at = datetime(2025, 3, 1, 10)
+    asks = spark.createDataFrame([(1, i, at + timedelta(seconds=i // 300)) for i in range(900)], "k long, a long, t timestamp_ntz")
+    facts = spark.createDataFrame([(1, i, at + timedelta(seconds=i // 200)) for i in range(600)], "k long, f long, u timestamp_ntz")
+    got = latest_before(asks, facts, ["k"], "t", "u", [F.col("f")], "last")
+    assert {(r.a, r.last.f) for r in got.collect()} == {(i, 200 * (i // 300 + 1) - 1) for i in range(900)}
+
+
 def test_orders_of_one_customer_are_split(spark):
     """The key that numbers counted orders is never null: null keys would find no carry."""
     start = datetime(2024, 1, 1)
