@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators.identity import TENANT, connected_components, follow_pointers
 from patronage.session import settle
-from patronage.streaming.jobs import _bucket, _run, _versions, _write_batch
+from patronage.streaming.jobs import _buckets_of, _run, _versions, _write_batch
 
 # Fixed number per store. Many tasks' worth, and so many that a small batch touches few of them.
 BUCKETS = 64
@@ -39,9 +39,8 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def _near(keys: DataFrame, path: str, name: str, batch: int) -> DataFrame:
     """Rows of earlier batches in the buckets that `keys` fall into; a folder of another bucket is not opened."""
-    place = _bucket(TENANT, KEY[name], buckets=BUCKETS)
-    touched = [r[0] for r in keys.select(place.alias("b")).distinct().collect()]  # at most BUCKETS numbers
-    return _table(keys.sparkSession, path, name).where(F.col("bucket").isin(touched) & (F.col("batch") < batch)).drop("bucket", "batch")
+    touched = _buckets_of(keys, TENANT, KEY[name], buckets=BUCKETS)
+    return _table(keys.sparkSession, path, name).where(touched & (F.col("batch") < batch)).drop("bucket", "batch")
 
 
 def _add(rows: DataFrame, path: str, name: str, batch: int) -> None:

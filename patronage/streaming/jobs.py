@@ -41,6 +41,12 @@ def _versions(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _buckets_of(rows: DataFrame, *keys: str, buckets: int = BUCKETS) -> Column:
+    """Condition on `bucket`: the buckets that some rows fall into. Plain numbers, so that the scan lists no others' files."""
+    touched = [r[0] for r in rows.select(_bucket(*keys, buckets=buckets).alias("b")).distinct().collect()]  # at most `buckets` numbers
+    return F.col("bucket").isin(touched)
+
+
 def _write_batch(rows: DataFrame, path: str, batch: int, *keys: str, buckets: int = BUCKETS) -> None:
     """One folder per bucket and batch; a retried batch overwrites its own."""
     (
@@ -61,9 +67,7 @@ def stream_land_raw(source: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.persist()
-        touched = rows.select(_bucket(*RAW_KEY).alias("bucket")).distinct()
-        before = _versions(rows.sparkSession, path, like).where(F.col("batch") < batch)
-        before = before.join(F.broadcast(touched), "bucket", "left_semi")  # at most BUCKETS rows
+        before = _versions(rows.sparkSession, path, like).where((F.col("batch") < batch) & _buckets_of(rows, *RAW_KEY))
         _write_batch(land_raw(rows, before.select(*RAW_KEY)), path, batch, *RAW_KEY)
         rows.unpersist()
 
@@ -106,8 +110,7 @@ def stream_consent_state(ledger: DataFrame, path: str, checkpoint: str) -> DataF
     def write(rows: DataFrame, batch: int) -> None:
         session = rows.sparkSession
         rows.persist()
-        touched = rows.select(_bucket(*by).alias("bucket")).distinct()
-        before = _current(_versions(session, path, like).where(F.col("batch") < batch)).join(F.broadcast(touched), "bucket", "left_semi")
+        before = _current(_versions(session, path, like).where((F.col("batch") < batch) & _buckets_of(rows, *by)))
         merged = newest(rows.select(*key, *fields).unionByName(before.select(*key, *fields)))
         _write_batch(merged, path, batch, *by)
         _drop_superseded(session, path, batch)

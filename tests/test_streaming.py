@@ -4,6 +4,7 @@ import glob
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from patronage.sources import sinks
 from patronage.streaming import jobs
@@ -47,6 +48,19 @@ def test_landing_compares_with_earlier_batches(spark, tmp_path):
     assert sorted((r.external_id, r.seq) for r in landed.collect()) == [("x", 1), ("y", 2), ("z", 4)]
 
 
+def test_only_the_buckets_of_a_batch_are_listed(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    path = f"{tmp_path}/t"
+    jobs._write_batch(rows, path, 0, "k")
+    few = rows.where("k in (3, 4)")
+    held = jobs._versions(spark, path, rows).where(jobs._buckets_of(few, "k"))
+    listed = {r.bucket for r in held.select("bucket").distinct().collect()}
+    assert listed == {r.b for r in few.select(jobs._bucket("k").alias("b")).collect()}
+    scan = held._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket#" in scan and few.join(held, "k", "left_anti").count() == 0
+    assert jobs._versions(spark, path, rows).where(jobs._buckets_of(rows.limit(0), "k")).count() == 0
+
+
 def test_replacing_a_tenant_leaves_the_others(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "BUCKETS", 2)  # tenants share buckets
     path, schema = f"{tmp_path}/t", "tenant_id long, v long"
