@@ -263,6 +263,7 @@ class Marts:
     indexed: bool = False
     reuse: bool = False
     _made: dict = field(default_factory=dict)
+    _bases: set = field(default_factory=set)
 
     def _get(self, name: str, build, shared: bool = False) -> DataFrame:
         if name not in self._made:
@@ -270,6 +271,14 @@ class Marts:
             self._made[name] = settle(df) if shared and self.reuse else df
         return self._made[name]
 
+    def base(self, name: str) -> DataFrame:
+        """A small mart that others build on, stored once also without `reuse`, so that no plan holds what made it again and again."""
+        df = getattr(self, name)
+        if not self.reuse and name not in self._bases:
+            self._made[name] = settle(df)
+            self._bases.add(name)
+        return self._made[name]
+
     @property
     def orders(self) -> DataFrame:
         return self._get("orders", lambda: self.tables.fact_orders)
@@ -321,7 +330,7 @@ class Marts:
     def executive_kpis(self) -> DataFrame:
         return self._get(
             "executive_kpis",
-            lambda: executive_kpis(self.valid, self.tables.fact_refunds, self.leak_facts),
+            lambda: executive_kpis(self.valid, self.tables.fact_refunds, self.base("leak_facts")),
             shared=True,
         )
 

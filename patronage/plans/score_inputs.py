@@ -18,6 +18,7 @@ from patronage.operators.attribution import latest_before
 from patronage.operators.leaks import SETTLED
 from patronage.operators.orders import CUSTOMER, data_clock
 from patronage.operators.scale import beside
+from patronage.session import settle
 
 TENANT = "tenant_id"
 LEAK_TYPES = ("preventable_churn", "rto_cod", "failed_payments", "discount_abuse")
@@ -48,20 +49,20 @@ def _first_and_second(orders: DataFrame) -> DataFrame:
     )
 
 
-def repeat_rate_90d(orders: DataFrame) -> DataFrame:
-    """Share of customers, first seen 90 days ago or earlier, who reordered within 90 days."""
+def repeat_rate_90d(orders: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Share of customers, first seen 90 days ago or earlier, who reordered within 90 days; `pairs` are their first two orders, if at hand."""
     within = F.col("second_at") <= F.col("first_at") + F.make_dt_interval(F.lit(90))
     return (
-        _first_and_second(orders).join(data_clock(orders), TENANT)
+        (_first_and_second(orders) if pairs is None else pairs).join(data_clock(orders), TENANT)
         .where(F.col("first_at") <= _days_before(F.col("as_of"), 90))
         .groupBy(TENANT).agg(_rate(F.coalesce(within, F.lit(False))).alias("repeat_rate_90d"))
     )
 
 
-def median_repurchase_days(orders: DataFrame) -> DataFrame:
+def median_repurchase_days(orders: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Median days to the second order; days take few values, so the median stays small."""
     return (
-        _first_and_second(orders).where(F.col("second_at").isNotNull())
+        (_first_and_second(orders) if pairs is None else pairs).where(F.col("second_at").isNotNull())
         .groupBy(TENANT)
         .agg(F.median(day_gap(F.col("first_at"), F.col("second_at"))).alias("median_repurchase_days"))
     )
@@ -103,12 +104,12 @@ def new_to_active(dim: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def stage_transition(retention: DataFrame, source: str, target: tuple[str, ...], name: str) -> DataFrame:
-    """Of the customers in `source` three months before the newest month, the share now in `target`."""
+def stage_ends(retention: DataFrame) -> DataFrame:
+    """Every customer's stage three months before the newest month, and in it."""
     top = retention.groupBy(TENANT).agg(F.max("month").alias("top_month"))
     ends = retention.select(*CUSTOMER, "month", "lifecycle_stage").join(top, TENANT)
     # Both ends come out of one aggregation: no self-join of the history.
-    both = (
+    return (
         ends.where(F.col("month").isin(F.col("top_month"), F.add_months("top_month", -3)))
         .groupBy(*CUSTOMER)
         .agg(
@@ -116,6 +117,13 @@ def stage_transition(retention: DataFrame, source: str, target: tuple[str, ...],
             F.max(F.when(F.col("month") < F.col("top_month"), F.col("lifecycle_stage"))).alias("then"),
         )
     )
+
+
+def stage_transition(
+    retention: DataFrame, source: str, target: tuple[str, ...], name: str, ends: DataFrame | None = None
+) -> DataFrame:
+    """Of the customers in `source` three months before the newest month, the share now in `target`; `ends` are their stages, if at hand."""
+    both = stage_ends(retention) if ends is None else ends
     return both.where((F.col("then") == source) & F.col("now").isNotNull()).groupBy(TENANT).agg(
         _rate(F.col("now").isin(*target)).alias(name)
     )
@@ -412,19 +420,20 @@ class ScoreInputs:
 
     @cached_property
     def gravity(self) -> DataFrame:
-        indexed = self.tables.indexed_orders
+        pairs = settle(_first_and_second(self.tables.indexed_orders))
         return _beside(
-            self.tenants, repeat_rate_90d(indexed), median_repurchase_days(indexed),
-            m3_retention(self.marts.cohort_retention), repeat_revenue_share(self.marts.executive_kpis),
+            self.tenants, repeat_rate_90d(self.tables.order_headers, pairs), median_repurchase_days(self.tables.order_headers, pairs),
+            m3_retention(self.marts.cohort_retention), repeat_revenue_share(self.marts.base("executive_kpis")),
         )
 
     @cached_property
     def flow(self) -> DataFrame:
         dim, retention = self.marts.dim_customers, self.marts.retention_facts
+        ends = settle(stage_ends(retention))
         return _beside(
             self.tenants, healthy_share(dim), new_to_active(dim, self.tables.order_headers),
-            stage_transition(retention, "slipping", ("dormant", "lost"), "slipping_to_dormant_rate"),
-            stage_transition(retention, "dormant", ("new", "active", "loyal"), "reactivation_rate"),
+            stage_transition(retention, "slipping", ("dormant", "lost"), "slipping_to_dormant_rate", ends),
+            stage_transition(retention, "dormant", ("new", "active", "loyal"), "reactivation_rate", ends),
         )
 
     @cached_property
@@ -437,7 +446,7 @@ class ScoreInputs:
 
     @cached_property
     def watertight(self) -> DataFrame:
-        return _beside(self.tenants, watertight_inputs(self.marts.executive_kpis, self.marts.leak_facts))
+        return _beside(self.tenants, watertight_inputs(self.marts.base("executive_kpis"), self.marts.base("leak_facts")))
 
     @cached_property
     def vitals(self) -> DataFrame:
@@ -467,9 +476,12 @@ class ScoreInputs:
         )
 
     def first_phase(self, tenants: DataFrame) -> DataFrame:
-        """Gravity, flow, signal and watertight of all tenants, defaults filled in."""
+        """Gravity, flow, signal and watertight of all tenants, defaults filled in.
+
+        Each score's inputs are a row per tenant and stored by themselves, so that none of the plans holds more than one score.
+        """
         own = _beside(self.tenants.withColumn("has_orders", F.lit(True)),
-                      self.gravity, self.flow, self.signal, self.watertight)
+                      *[settle(part) for part in (self.gravity, self.flow, self.signal, self.watertight)])
         return with_defaults(tenants, own)
 
     def all(self, tenants: DataFrame) -> DataFrame:
