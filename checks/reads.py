@@ -28,7 +28,7 @@ SCORES = ["gravity", "flow", "signal", "watertight", "vitals", "velocity", "auto
 
 QUERIES = {
     "overview_kpis": lambda t: (lambda m: r6(reads.overview_kpis(
-        m.executive_kpis, m.rfm_current, m.leak_facts, m.orders, t.score_runs, t.tenants)))(Marts(t)),
+        m.base("executive_kpis"), m.rfm_current, m.leak_facts, m.orders, t.score_runs, t.tenants)))(Marts(t)),
     "cohort_matrix": lambda t: r6(reads.cohort_matrix(Marts(t).cohort_retention).select(
         "tenant_id", "cohort_month", "cohort_size", F.size("cells").alias("cells"),
         F.posexplode("cells").alias("place", "cell")).select(
