@@ -49,8 +49,11 @@ STATE = (
 
 
 def limbs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Doubles in parts that add up exactly as longs, over 2 ** 31 rows."""
-    high = np.floor(values * 2.0 ** -22)
+    """Doubles in parts that add up exactly as longs, over 2 ** 31 rows.
+
+    Parts are cut towards zero: a small negative term beside a borrowed 2 ** 22 would keep 30 binary digits behind the point only.
+    """
+    high = np.trunc(values * 2.0 ** -22)
     rest = np.rint((values - high * 2.0 ** 22) * 2.0 ** SCALE).astype(np.int64)
     return high.astype(np.int64), rest >> 31, rest & ((1 << 31) - 1)
 
@@ -62,7 +65,7 @@ def exact(parts: list[int]) -> float:
 
 def exact_sum(value: Column) -> Column:
     """The sum of a column, the same in every order of the rows, as a double; null terms do not count."""
-    whole = F.floor(value * 2.0 ** -22)
+    whole = F.when(value < 0, F.ceil(value * 2.0 ** -22)).otherwise(F.floor(value * 2.0 ** -22))
     rest = F.rint((value - whole.cast("double") * 2.0 ** 22) * 2.0 ** SCALE).cast("long")
     high, middle, low = F.sum(whole), F.sum(F.shiftright(rest, 31)), F.sum(rest.bitwiseAND(F.lit((1 << 31) - 1)))
     wide = lambda c: c.cast("decimal(38,0)")

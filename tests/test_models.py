@@ -248,3 +248,16 @@ def test_whole_run_is_repeatable(spark, tables):
     two = lifetime.run_models(tables.order_headers, "2026-01-01 00:00:00").orderBy("tenant_id", "customer_id").collect()
     assert [(r.customer_id, r.churn_band, r.ltv_12m_paise) for r in one] == [(r.customer_id, r.churn_band, r.ltv_12m_paise) for r in two]
     assert all(0.0 <= r.p_alive <= 1.0 and r.ltv_12m_paise >= 0 for r in one)
+
+
+def test_limbs_keep_small_negative_terms():
+    """Sums of negative terms are as fine as those of positive ones; rounded more coarsely, a fit of some hundred rows could stall."""
+    values = -np.random.default_rng(5).random(400) * 100
+    got = fitting.exact([int(p.sum()) for p in fitting.limbs(values)])
+    assert abs(got - math.fsum(values)) < 400 * 2.0 ** -41
+
+
+def test_exact_sum_keeps_small_negative_terms(spark):
+    values = (-np.random.default_rng(6).random(400) * 100).tolist()
+    got = spark.createDataFrame([(v,) for v in values], "v double").agg(fitting.exact_sum(F.col("v")).alias("s")).first().s
+    assert abs(got - math.fsum(values)) < 400 * 2.0 ** -41
