@@ -63,13 +63,15 @@ def _cursors(t):
 
 
 def _upsert(t):
-    current = t.products.select("tenant_id", "product_id", "title", "vendor")
+    """Products by external id: a third sent again twice, and new ones under ids of their own, whose product numbers may be those of others."""
+    current = t.products.select("tenant_id", F.concat(F.lit("P"), "product_id").alias("external_id"), "product_id", "title", "vendor")
     some = current.where("product_id % 3 = 0")
-    fresh = current.where("product_id % 50 = 0").withColumn("product_id", F.col("product_id") + 1000000)
+    fresh = current.where("product_id % 50 = 0").withColumns({
+        "external_id": F.concat(F.lit("N"), "product_id"), "product_id": F.col("product_id") + 1000000})
     incoming = some.unionByName(fresh).select(
-        "tenant_id", "product_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), "vendor").withColumn(
-        "title", F.concat(F.lit("v"), "seq")).select("tenant_id", "product_id", "title", "vendor", "seq")
-    return landing.upsert(current.withColumn("seq", F.lit(0)), incoming, ["tenant_id", "product_id"], "seq")
+        "tenant_id", "external_id", "product_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), "vendor").withColumn(
+        "title", F.concat(F.lit("v"), "seq")).select(*current.columns, "seq")
+    return landing.upsert(current.withColumn("seq", F.lit(0)), incoming, ["tenant_id", "external_id"], "seq").drop("external_id")
 
 
 def _ids(t):

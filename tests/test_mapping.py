@@ -203,3 +203,14 @@ def test_prediction_days_replace_and_append(spark, tmp_path):
     for day, p in (("2026-01-01", 0.1), ("2026-01-02", 0.2), ("2026-01-02", 0.3)):
         sinks.write_predictions(make(day, p), path)
     assert sorted(r.p_alive for r in sinks.read_table(spark, path, make("2026-01-01", 0.0)).collect()) == [0.1, 0.3]
+
+
+def test_upsert_query_keeps_products_of_one_number_apart(spark):
+    """Beyond a million products a new one's number is that of an old one; the two go by different external ids."""
+    from types import SimpleNamespace
+
+    from checks import ingest
+
+    products = spark.createDataFrame([(1, 50, "a", "x"), (1, 1000050, "b", "y")], "tenant_id long, product_id long, title string, vendor string")
+    got = sorted(tuple(r) for r in ingest._upsert(SimpleNamespace(products=products)).collect())
+    assert got == [(1, 50, "a", "x", 0), (1, 1000050, "v2", "x", 2), (1, 1000050, "v2", "y", 2), (1, 2000050, "v2", "y", 2)]
