@@ -224,8 +224,10 @@ def map_order_items(raw: DataFrame, orders: DataFrame, products: DataFrame, vari
     """Line items of the last payload of each order; the variant's cost is kept as it is now.
 
     Lookups: orders (tenant_id, external_id, order_id), products (.., product_id),
-    variants (.., variant_id, cost_paise).
+    variants (.., variant_id, cost_paise). A catalogue grows with tenants and parts and may look small to the
+    planner, so neither it nor the orders go through the driver as a broadcast.
     """
+    orders, products, variants = (lookup.hint("merge") for lookup in (orders, products, variants))
     i = F.col("i")
     lines = latest(parsed(raw, "shopify", "orders", ORDER)).select(
         "tenant_id", "external_id", F.posexplode("p.line_items").alias("line", "i")
