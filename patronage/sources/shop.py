@@ -81,9 +81,13 @@ def parsed(raw: DataFrame, source: str, resource: str, schema: str) -> DataFrame
 
 
 def latest(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Last payload of each key wins."""
+    """Last payload of each key wins.
+
+    The newest of structs is found by sorting, in a first step inside the task that made the rows. So they are dealt out before, by key and
+    sequence: a task then sorts a partition of bounded size, however many rows a small file unfolds into, and a key sent very often is spread.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("seq")).alias("r")).select(*keys, "r.*")
+    return rows.repartition(*keys, "seq").groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("seq")).alias("r")).select(*keys, "r.*")
 
 
 # ------------------------------------------------------------------ customers

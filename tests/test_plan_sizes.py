@@ -17,3 +17,8 @@ def test_catalogue_is_not_broadcast(spark):
     """Exploded per tenant, it is many times what the planner takes it for."""
     plan = registry.queries()["map_order_items"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("p_ext" in line or "v_ext" in line)]
+
+
+def test_payloads_are_dealt_out_before_the_newest_is_sorted_out(spark):
+    plan = registry.queries()["map_products"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
