@@ -51,12 +51,16 @@ def event_id(tenant: Column, source: Column, external: Column, name: Column) ->
 
 
 def with_event_id(events: DataFrame) -> DataFrame:
-    """Add the id and keep one row per id: the last written, by time and then content."""
+    """Add the id and keep one row per id: the last written, by time and then content.
+
+    The greatest struct is found by sorting, in a first step inside the task that made the rows. So they are dealt out by id
+    before: a task then sorts its share of the ids, however many events the rows of one file split unfold into.
+    """
     named = events.withColumn(
         "event_id", event_id(F.col("tenant_id"), F.col("source"), F.col("external_id"), F.col("event_name"))
     )
     rest = [c for c in COLUMNS if c not in ("event_id", "occurred_at")]
-    return named.groupBy("event_id").agg(F.max(F.struct("occurred_at", *rest)).alias("e")).select(
+    return named.repartition("event_id").groupBy("event_id").agg(F.max(F.struct("occurred_at", *rest)).alias("e")).select(
         "event_id", "e.*").select(*COLUMNS)
 
 

@@ -22,3 +22,9 @@ def test_catalogue_is_not_broadcast(spark):
 def test_payloads_are_dealt_out_before_the_newest_is_sorted_out(spark):
     plan = registry.queries()["map_products"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_events_are_dealt_out_before_the_last_written_is_sorted_out(spark):
+    """No sort in the tasks that make the events: the first sorting step comes after the exchange."""
+    plan = registry.queries()["export_events"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [event_id" in plan
