@@ -1,5 +1,7 @@
 """Queries and SQL of identity resolution."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from checks.ingest import _merged_core, handles
@@ -12,7 +14,7 @@ from patronage.streaming import components as growing
 
 
 class Case:
-    """One resolution over the whole tables, its steps made on demand."""
+    """One resolution over the whole tables, its steps made on demand and stored, as `resolve` does."""
 
     def __init__(self, t):
         self.t = t
@@ -21,16 +23,22 @@ class Case:
             t.dim_customers.select("tenant_id", "customer_id", "first_order_at"), ["tenant_id", "customer_id"])
         self.orders = t.order_headers.withColumns({
             "source": F.lit("shopify"), "external_id": F.concat(F.lit("O"), "order_id")})
-        self.keys = idn.identity_keys(handles(t), t.customer_pii, self.customers)
-        self.guests = idn.guest_order_keys(self.orders, self.raw)
 
-    @property
+    @cached_property
+    def keys(self):
+        return settle(idn.identity_keys(handles(self.t), self.t.customer_pii, self.customers))
+
+    @cached_property
+    def guests(self):
+        return settle(idn.guest_order_keys(self.orders, self.raw))
+
+    @cached_property
     def components(self):
-        return idn.customer_components(self.keys, self.guests)
+        return settle(idn.customer_components(self.keys, self.guests))
 
-    @property
+    @cached_property
     def chosen(self):
-        return idn.survivors(self.components, self.customers)
+        return settle(idn.survivors(self.components, self.customers))
 
 
 def _components(t):
@@ -62,16 +70,13 @@ def _edges(t):
 
 def _attach(t):
     c = Case(t)
-    parts = c.components
-    return idn.attach_guests(c.guests, parts, idn.survivors(parts, c.customers))
+    return idn.attach_guests(c.guests, c.components, c.chosen)
 
 
 def _report(t):
     c = Case(t)
-    parts = c.components
-    chosen = idn.survivors(parts, c.customers)
     return r6(idn.resolve_report(
-        t.tenants, c.customers, idn.merge_edges(chosen, c.keys), c.orders, idn.attach_guests(c.guests, parts, chosen)))
+        t.tenants, c.customers, idn.merge_edges(c.chosen, c.keys), c.orders, idn.attach_guests(c.guests, c.components, c.chosen)))
 
 
 def _resolve(t):

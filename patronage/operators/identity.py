@@ -109,12 +109,32 @@ def star_edges(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(tenant_id, node, component) for all nodes on an edge; component is its lowest node.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014). Each
-    step is a minimum per node and a join back to it, so a hub's neighbours are
+    First every node moves to the lowest node it sees, and the links between these are all that is
+    left for the rounds: a hub's neighbours take no part in them. The lowest node of a component is
+    seen by its neighbours, so it is among them.
+    """
+    now = settle(_downward(edges))
+    both = now.unionByName(now.select(TENANT, F.col("v").alias("u"), F.col("u").alias("v")))
+    low = settle(both.groupBy(TENANT, F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("home")))
+    side = lambda end: low.select(TENANT, F.col("node").alias(end), F.col("home").alias(f"home_{end}"))
+    between = now.join(side("u"), [TENANT, "u"]).join(side("v"), [TENANT, "v"]).where("home_u <> home_v")
+    joined = _star_rounds(between.select(TENANT, F.col("home_u").alias("u"), F.col("home_v").alias("v")))
+    return low.join(joined.withColumnRenamed("node", "home"), [TENANT, "home"], "left").select(
+        TENANT, "node", F.coalesce("component", "home").alias("component"))
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    return edges.select(TENANT, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _star_rounds(edges: DataFrame) -> DataFrame:
+    """(tenant_id, node, component) by the large-star and small-star steps of Kiveris et al. (2014).
+
+    Each step is a minimum per node and a join back to it, so a hub's neighbours are
     spread over tasks by AQE's skew split rather than collected. Rounds are
     checkpointed; the loop ends when a round changes nothing.
     """
-    now = settle(edges.select(TENANT, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = settle(_downward(edges))
     mark = None
     while True:
         both = now.unionByName(now.select(TENANT, F.col("v").alias("u"), F.col("u").alias("v")))
