@@ -28,26 +28,30 @@ def _numbered(orders: DataFrame, counted: Column) -> DataFrame:
     ).drop("__alone")
 
 
-def valid_orders(orders: DataFrame, indexed: bool = False) -> DataFrame:
-    """Orders that were not cancelled, with `oi`, the order's place in its customer's history.
-
-    A stored index wins; else the place is counted; a guest order is always a
-    first. With `indexed` the caller states that every known customer's valid
-    order carries its index, and nothing has to be counted.
-    """
-    valid = orders.where(F.col("cancelled_at").isNull())
+def numbered_orders(orders: DataFrame, indexed: bool = False) -> DataFrame:
+    """All orders, cancelled ones included, with the `oi` that `valid_orders` gives the others."""
     if indexed:
-        return valid.withColumn(
+        return orders.withColumn(
             "oi", F.when(F.col("customer_id").isNull(), F.coalesce("customer_order_index", F.lit(1)))
             .otherwise(F.col("customer_order_index")).cast("int")
         ).drop("customer_order_index")
     return (
-        _numbered(valid, F.col("customer_id").isNotNull())
+        _numbered(orders, F.col("customer_id").isNotNull() & F.col("cancelled_at").isNull())
         .withColumn("oi", F.coalesce("customer_order_index", "nth").cast("int"))
         .drop("nth", "customer_order_index")
     )
 
 
+def valid_orders(orders: DataFrame, indexed: bool = False) -> DataFrame:
+    """Orders that were not cancelled, with `oi`, the order's place in its customer's history.
+
+    A stored index wins; else the place is counted; a guest order is always a
+    first. With `indexed` the caller states that every known customer's valid
+    order carries its index, and nothing has to be counted.
+    """
+    return numbered_orders(orders.where(F.col("cancelled_at").isNull()), indexed)
+
+
 def order_index(orders: DataFrame) -> DataFrame:
     """The index each order should store: 1.. per customer, null if cancelled or guest."""
     counted = F.col("cancelled_at").isNull() & F.col("customer_id").isNotNull()

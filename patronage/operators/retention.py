@@ -64,18 +64,10 @@ def rto_orders(shipments: DataFrame) -> DataFrame:
     )
 
 
-def retention_facts(
+def retention_changes(
     orders: DataFrame, shipments: DataFrame, refunds: DataFrame, refund_fallback: bool = False
 ) -> DataFrame:
-    """Every customer and month from acquisition to the tenant's newest month.
-
-    Monthly and cumulative orders and revenue, the stage at month end, returns
-    and refunds. Orders, returns and refunds collapse together to months in
-    which something happened; running totals are taken over those, and each is
-    then stretched to the month before the next, so the long spine is neither
-    joined nor sorted. A refund without a customer is left out unless
-    `refund_fallback` lets it take its order's.
-    """
+    """The months in which something happened to a customer, with running totals and `last`, the month before the next one."""
     owner = orders.select("tenant_id", "order_id", "customer_id", "placed_at")
     known = orders.where(F.col("cancelled_at").isNull() & F.col("customer_id").isNotNull())
     newest = known.groupBy("tenant_id").agg(F.trunc(F.to_date(F.max("placed_at")), "MM").alias("max_month"))
@@ -115,9 +107,17 @@ def retention_facts(
         F.lead("month").over(line).alias("next_month"),
     )
     last = F.least(F.add_months("next_month", -1), F.col("max_month"))
+    return (
+        running.where("cum_n > 0").join(newest, "tenant_id").where("month <= max_month").withColumn("last", last)
+        .drop("last_at", "next_month", "max_month")
+    )
+
+
+def stretched(changes: DataFrame) -> DataFrame:
+    """A row per customer and month out of `retention_changes`: each is repeated up to its `last` month, without a shuffle."""
     history = (
-        running.where("cum_n > 0").join(newest, "tenant_id").where("month <= max_month")
-        .select("*", F.posexplode(F.sequence("month", last, F.expr("INTERVAL 1 MONTH"))).alias("ahead", "at_month"))
+        changes
+        .select("*", F.posexplode(F.sequence("month", "last", F.expr("INTERVAL 1 MONTH"))).alias("ahead", "at_month"))
         .withColumn("days", day_gap(F.col("last_order_at"), F.last_day("at_month")))
     )
     own = lambda c: F.when(F.col("ahead") == 0, F.col(c)).otherwise(0)
@@ -136,3 +136,18 @@ def retention_facts(
         own("refund_amt").alias("refund_paise_in_month"),
         "acquisition_month",
     )
+
+
+def retention_facts(
+    orders: DataFrame, shipments: DataFrame, refunds: DataFrame, refund_fallback: bool = False
+) -> DataFrame:
+    """Every customer and month from acquisition to the tenant's newest month.
+
+    Monthly and cumulative orders and revenue, the stage at month end, returns
+    and refunds. Orders, returns and refunds collapse together to months in
+    which something happened; running totals are taken over those, and each is
+    then stretched to the month before the next, so the long spine is neither
+    joined nor sorted. A refund without a customer is left out unless
+    `refund_fallback` lets it take its order's.
+    """
+    return stretched(retention_changes(orders, shipments, refunds, refund_fallback))

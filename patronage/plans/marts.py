@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from patronage.functions import day_gap, month_of, seconds_between
 from patronage.operators.attribution import last_click
 from patronage.operators.leaks import leak_facts
-from patronage.operators.orders import share, valid_orders
-from patronage.operators.retention import cohort_retention, customer_months, retention_facts, rto_orders
+from patronage.operators.orders import numbered_orders, share, valid_orders
+from patronage.operators.retention import cohort_retention, customer_months, retention_changes, rto_orders, stretched
 from patronage.operators.rfm import rfm_current
 from patronage.operators.scale import beside, median_of
 from patronage.session import settle
@@ -247,6 +247,8 @@ VALID_COLUMNS = (
     "tenant_id", "order_id", "customer_id", "placed_at", "total_paise", "subtotal_paise", "discount_paise", "cod",
     "financial_status", "oi",
 )
+# Of all orders, cancelled ones too: what marts and score inputs read.
+ORDER_COLUMNS = (*VALID_COLUMNS[:-1], "cancelled_at")
 
 
 @dataclass
@@ -255,8 +257,8 @@ class Marts:
 
     `tables` is anything with the fact and dimension tables as attributes.
     With `reuse` what several marts share is checkpointed, which a nightly run
-    wants: the numbered orders (only the columns marts read) and the marts that
-    others build on. Stored tables are scanned again rather than copied.
+    wants: the numbered orders and the messages (only the columns marts read), the
+    months that change a customer's history, and the marts that others build on.
     """
 
     tables: object
@@ -281,13 +283,26 @@ class Marts:
 
     @property
     def orders(self) -> DataFrame:
-        return self._get("orders", lambda: self.tables.fact_orders)
+        def build() -> DataFrame:
+            all_orders = self.tables.fact_orders
+            if not self.reuse:
+                return all_orders
+            return numbered_orders(all_orders.select(*ORDER_COLUMNS, "customer_order_index"), self.indexed)
+
+        return self._get("orders", build, shared=True)
+
+    @property
+    def messages(self) -> DataFrame:
+        return self._get("messages", lambda: self.tables.fact_messages, shared=True)
 
     @property
     def valid(self) -> DataFrame:
-        return self._get(
-            "valid", lambda: valid_orders(self.orders, self.indexed).select(*VALID_COLUMNS), shared=True
-        )
+        def build() -> DataFrame:
+            if self.reuse:
+                return self.orders.where(F.col("cancelled_at").isNull())
+            return valid_orders(self.orders, self.indexed)
+
+        return self._get("valid", lambda: build().select(*VALID_COLUMNS))
 
     @property
     def dim_customers(self) -> DataFrame:
@@ -304,17 +319,15 @@ class Marts:
     @property
     def retention_facts(self) -> DataFrame:
         t = self.tables
-        return self._get(
-            "retention_facts",
-            lambda: retention_facts(self.orders, t.fact_shipments, t.fact_refunds),
-            shared=True,
-        )
+        return self._get("retention_facts", lambda: stretched(self._get(
+            "retention_changes", lambda: retention_changes(self.orders, t.fact_shipments, t.fact_refunds), shared=True,
+        )))
 
     @property
     def campaign_roi(self) -> DataFrame:
         t = self.tables
         return self._get(
-            "campaign_roi", lambda: campaign_roi(t.dim_campaigns, t.fact_messages, self.valid), shared=True
+            "campaign_roi", lambda: campaign_roi(t.dim_campaigns, self.messages, self.valid), shared=True
         )
 
     @property
@@ -346,7 +359,7 @@ class Marts:
     @property
     def messaging_facts(self) -> DataFrame:
         return self._get(
-            "messaging_facts", lambda: messaging_facts(self.tables.fact_messages, self.valid), shared=True
+            "messaging_facts", lambda: messaging_facts(self.messages, self.valid), shared=True
         )
 
     @property

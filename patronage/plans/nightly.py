@@ -27,7 +27,7 @@ class Stored:
     """Stored marts in place of built ones, for the steps after them."""
 
     def __init__(self, tables: object, marts: dict[str, DataFrame]) -> None:
-        self.orders, self.dim_customers = tables.fact_orders, tables.dim_customers
+        self.orders, self.dim_customers, self.messages = tables.fact_orders, tables.dim_customers, tables.fact_messages
         for name, df in marts.items():
             setattr(self, name, df)
 

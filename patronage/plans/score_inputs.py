@@ -416,32 +416,44 @@ class ScoreInputs:
 
     @cached_property
     def tenants(self) -> DataFrame:
-        return data_clock(self.tables.order_headers).select(TENANT)
+        return self.newest.select(TENANT)
+
+    @cached_property
+    def newest(self) -> DataFrame:
+        """The tenants' newest order times, a row each, in place of the orders where a step reads nothing but its clock off them."""
+        return settle(data_clock(self.marts.orders).withColumnRenamed("as_of", "placed_at"))
 
     @cached_property
     def gravity(self) -> DataFrame:
-        pairs = settle(_first_and_second(self.tables.indexed_orders))
+        pairs = settle(_first_and_second(self._indexed))
         return _beside(
-            self.tenants, repeat_rate_90d(self.tables.order_headers, pairs), median_repurchase_days(self.tables.order_headers, pairs),
+            self.tenants, repeat_rate_90d(self.newest, pairs), median_repurchase_days(self.newest, pairs),
             m3_retention(self.marts.cohort_retention), repeat_revenue_share(self.marts.base("executive_kpis")),
         )
 
+    @property
+    def _indexed(self) -> DataFrame:
+        """Orders with the index each stores; the marts have numbered them already where they keep what they share."""
+        if getattr(self.marts, "reuse", False):
+            return self.marts.orders.withColumnRenamed("oi", "customer_order_index")
+        return self.tables.indexed_orders
+
     @cached_property
     def flow(self) -> DataFrame:
         dim, retention = self.marts.dim_customers, self.marts.retention_facts
         ends = settle(stage_ends(retention))
         return _beside(
-            self.tenants, healthy_share(dim), new_to_active(dim, self.tables.order_headers),
+            self.tenants, healthy_share(dim), new_to_active(dim, self.newest),
             stage_transition(retention, "slipping", ("dormant", "lost"), "slipping_to_dormant_rate", ends),
             stage_transition(retention, "dormant", ("new", "active", "loyal"), "reactivation_rate", ends),
         )
 
     @cached_property
     def signal(self) -> DataFrame:
-        t = self.tables
+        t, orders = self.tables, self.marts.orders
         return _beside(
-            self.tenants, identity_rate(t.order_headers), field_completeness(t.customers, t.clean_pii),
-            payment_match_rate(t.order_headers, t.fact_payments), history_months(t.order_headers),
+            self.tenants, identity_rate(orders), field_completeness(t.customers, t.clean_pii),
+            payment_match_rate(orders, t.fact_payments), history_months(orders),
         )
 
     @cached_property
@@ -452,7 +464,7 @@ class ScoreInputs:
     def vitals(self) -> DataFrame:
         t = self.tables
         return vitals_inputs(
-            self.marts.messaging_facts, self.marts.dim_customers, t.fact_consent, t.fact_messages, t.dim_campaigns
+            self.marts.messaging_facts, self.marts.dim_customers, t.fact_consent, self.marts.messages, t.dim_campaigns
         )
 
     @cached_property
@@ -471,7 +483,7 @@ class ScoreInputs:
     def altitude(self) -> DataFrame:
         t = self.tables
         return altitude_inputs(
-            t.predictions, t.score_runs, self.marts.rfm_current, t.order_headers, t.experiments,
+            t.predictions, t.score_runs, self.marts.rfm_current, self.newest, t.experiments,
             self.velocity, self.vitals, self.run_at,
         )
 
@@ -485,7 +497,11 @@ class ScoreInputs:
         return with_defaults(tenants, own)
 
     def all(self, tenants: DataFrame) -> DataFrame:
+        """Inputs of all nine scores, each stored before the next is built: altitude is built on the stored vitals and velocity."""
+        first = self.first_phase(tenants)
+        for name in ("vitals", "velocity", "autopilot", "pulse", "altitude"):
+            setattr(self, name, settle(getattr(self, name)))
         return _beside(
-            self.first_phase(tenants), self.vitals, self.velocity, self.autopilot, self.pulse,
+            first, self.vitals, self.velocity, self.autopilot, self.pulse,
             self.altitude.drop("flows_total", "flows_active_60d"),
         )

@@ -28,3 +28,10 @@ def test_events_are_dealt_out_before_the_last_written_is_sorted_out(spark):
     """No sort in the tasks that make the events: the first sorting step comes after the exchange."""
     plan = registry.queries()["export_events"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [event_id" in plan
+
+
+@pytest.mark.parametrize("name", ["score_components"])
+def test_scores_read_stored_inputs(spark, name):
+    """What the scores are computed from is stored score by score: the last plan reads the list of tenants and none of the large tables."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [o_" not in plan and "Relation [event_id" not in plan and "Relation [c_custkey" not in plan
