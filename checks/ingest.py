@@ -1,5 +1,8 @@
 """Queries and SQL of landing, mapping and the data-quality profile."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.marts import r6
@@ -30,14 +33,20 @@ def consent_links(t, source):
     return linked(t, source).select("tenant_id", "external_id", "customer_id")
 
 
-def message_links(t, source):
-    """Customers of message records, through the profile ids that consent brought in."""
+def message_links(t, source, claimed):
+    """Customers of message records, through the profile ids that consent brought in and the handles `claimed` by shop customers."""
     owners = t.customers.select("tenant_id", F.lit(crm.PROFILE_KEY[source]).alias("identity_type"),
                                 F.concat(F.lit("kp"), "customer_id").alias("identity_value"), "customer_id")
-    known = settle(handles(t).select(*owners.columns).unionByName(owners))
+    known = settle(claimed.select(*owners.columns).unionByName(owners))
     return crm.link_profiles(crm.profiles(Payloads(t).messages(source), source, "messages"), known).select("tenant_id", "external_id", "customer_id")
 
 
+def _messages(t):
+    p, claimed = Payloads(t), settle(handles(t))  # once for both sources
+    return functools.reduce(DataFrame.unionByName, [
+        crm.map_messages(p.messages(source), source, message_links(t, source, claimed), p.campaign_lookup()) for source in ("klaviyo", "interakt")])
+
+
 def _state(raw):
     return raw.where("tenant_id < 5").groupBy("tenant_id", "source", "resource").agg(
         F.expr("cast(max(seq) div 2 as string)").alias("cursor"),
@@ -190,9 +199,7 @@ QUERIES = {
     "map_consent": lambda t: crm.map_consent(
         P(t).consent("interakt"), "interakt", consent_links(t, "interakt"), P(t).consent("interakt").where("seq % 4 = 0")),
     "consent_flags": _flags,
-    "map_messages": lambda t: crm.map_messages(P(t).messages("klaviyo"), "klaviyo", message_links(t, "klaviyo"),
-                                               P(t).campaign_lookup()).unionByName(
-        crm.map_messages(P(t).messages("interakt"), "interakt", message_links(t, "interakt"), P(t).campaign_lookup())),
+    "map_messages": _messages,
     "map_tickets": lambda t: crm.map_tickets(P(t).tickets(), handles(t), P(t).order_lookup()),
     "map_reviews": lambda t: crm.map_reviews(P(t).reviews(), handles(t), P(t).order_lookup(), P(t).product_lookup()).drop("body"),
     "link_nps": _link_nps,

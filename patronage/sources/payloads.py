@@ -188,6 +188,8 @@ class Payloads:
     def messages(self, source: str) -> DataFrame:
         whatsapp = source == "interakt"
         rows = self.t.fact_messages.where("channel = 'whatsapp'" if whatsapp else "channel <> 'whatsapp'")
+        # Events lie packed in few small files: dealt out while narrow, so that not one task writes and parses the text of a whole file.
+        rows = rows.repartition("message_id")
         k = "message_id"
         return _record(rows, source, "messages", "concat('m', message_id)", k, {
             "campaign_id": "concat('cmp', campaign_id)",

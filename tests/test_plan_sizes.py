@@ -35,3 +35,12 @@ def test_scores_read_stored_inputs(spark, name):
     """What the scores are computed from is stored score by score: the last plan reads the list of tenants and none of the large tables."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation [o_" not in plan and "Relation [event_id" not in plan and "Relation [c_custkey" not in plan
+
+
+def test_messages_are_dealt_out_before_their_text_is_made(spark):
+    """The exchange lies below the step that makes the JSON text, so a small file of events is not written and parsed in one task."""
+    from patronage.sources.payloads import Payloads
+    from patronage.sources.tables import Tables
+
+    plan = Payloads(Tables(spark, SF)).messages("klaviyo")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.index("payload#") < plan.index("RepartitionByExpression")
