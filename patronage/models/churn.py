@@ -55,9 +55,11 @@ def churn_features(
         F.sum(F.coalesce("subtotal_paise", F.lit(0))).alias("gross"),
     )
     order_key = ["tenant_id", "order_id"]
+    # Orders and products have a row per key, so their sides of a partition are small and even: they are
+    # hashed, and the many items stream past them and are not sorted.
     kinds = (
-        items.select(*order_key, "product_id").join(past.select(*order_key, "customer_id"), order_key)
-        .join(products.select("tenant_id", "product_id", "product_type"), ["tenant_id", "product_id"], "left")
+        items.select(*order_key, "product_id").join(past.select(*order_key, "customer_id").hint("shuffle_hash"), order_key)
+        .join(products.select("tenant_id", "product_id", "product_type").hint("shuffle_hash"), ["tenant_id", "product_id"], "left")
         .select(*CUSTOMER, F.coalesce("product_type", F.lit("unknown")).alias("kind")).distinct()
         .groupBy(*CUSTOMER).agg(F.count(F.lit(1)).alias("kinds"))
     )
@@ -78,7 +80,7 @@ def churn_features(
     )
     out = base
     for part in (kinds, returned, asked, mail):
-        out = out.join(part, CUSTOMER, "left")
+        out = out.join(part.hint("shuffle_hash"), CUSTOMER, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(
         *CUSTOMER,

@@ -44,3 +44,9 @@ def test_messages_are_dealt_out_before_their_text_is_made(spark):
 
     plan = Payloads(Tables(spark, SF)).messages("klaviyo")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and plan.index("payload#") < plan.index("RepartitionByExpression")
+
+
+def test_items_are_not_sorted_for_churn_features(spark):
+    """Six joins of the features hash the side with a row per key; the items and the customers stream past."""
+    plan = registry.queries()["churn_features"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 6
