@@ -7,13 +7,14 @@ but for the last, which returns one row per piece of a packed document.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import language, lines, near, packing, toxicity
-from patronage.llm.common import fresh, read, stored
+from patronage.llm.common import fresh, read, small_batches, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,12 +61,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER, remember=150_000)
 
 
+def bounded(stage: Stage) -> Stage:
+    """`stage` with documents sent to Python in small batches: at 10,000 rows each, a batch is held several times over."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language_id),
-    ("toxicity", toxic),
-    ("line_dedup", line_dedup),
-    ("simhash_near_dedup", near_dedup),
-    ("best_fit_packing", pack),
+    ("language_id", bounded(language_id)),
+    ("toxicity", bounded(toxic)),
+    ("line_dedup", bounded(line_dedup)),
+    ("simhash_near_dedup", bounded(near_dedup)),
+    ("best_fit_packing", bounded(pack)),
 ]
 
 # Learned models, edit distance and token ids are beyond SQL.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import sys
 from collections.abc import Callable, Iterator
@@ -23,6 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of a few megabytes, however long the texts; a limit that the session has stays."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 _scratch: list[list[str]] = []  # the paths of every open `scratch`, the innermost last
 
 
@@ -98,6 +109,16 @@ def per_worker(key: tuple, build: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def forget() -> None:
+    """Drop what `per_worker` keeps for the operators that ran before, such as a tokenizer and its pieces; they make it again."""
+    kept = sys.modules.get("_patronage_worker")
+    if kept and any(isinstance(key, tuple) for key in kept.__dict__):
+        del sys.modules["_patronage_worker"]
+        del kept
+        gc.collect()
+        give_back()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A text column as Python strings; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

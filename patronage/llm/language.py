@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import fresh, per_batch, shared, texts_of
+from patronage.llm.common import forget, fresh, give_back, per_batch, shared, texts_of
 
 UNKNOWN = "und"
 DIM = 4096
@@ -169,9 +169,11 @@ def predict_known(model: Model, x: np.ndarray) -> tuple[str, float]:
 
 def _vectors(docs: DataFrame, columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in per_batch(BATCH, batches):
             made = [features(t).astype("<f4").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=[*columns, "x"])
+        give_back()
 
     return docs.select(*columns, "text").mapInArrow(run, f"{columns[0]} string, {columns[1]} long, x binary")
 
@@ -217,11 +219,13 @@ def identify(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_
     schema = out.drop(text).withColumn(lang_name, F.lit("")).withColumn(score_name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = sent.value
         for batch in per_batch(BATCH, batches):
             found = [predict_known(model, features(t)) if model.families and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t in texts_of(batch, text)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(kept)], pa.array([f for f, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=[*kept, lang_name, score_name])
+        give_back()
 
     return out.mapInArrow(run, schema)
