@@ -3,6 +3,8 @@
 Every query meets every vector, block by block: vectors lie in blocks of about
 `BLOCK` by a hash of their id, queries in blocks of about `QUERIES`, and a task takes
 one of each. So memory is two blocks, and copies of one vector spread over all of them.
+A search whose work in a block does not grow faster than its pairs takes blocks of `BYTES` instead (`by_size`):
+the wider the blocks, the fewer copies of queries and vectors are sent and the fewer trees are made.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from patronage.llm.common import stored
 
 BLOCK = 2048
 QUERIES = 2048
+BYTES = 16 << 20  # of a block's components
+GROUPS = 4  # pairs of blocks per core at least, down to blocks of `BLOCK`
 MATCH = "query_id long, vec_id long, score {}"
 
 
@@ -49,15 +53,28 @@ def matrix(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def by_count(vectors: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """Numbers of blocks of vectors and of queries, of about `BLOCK` and `QUERIES`."""
+    return max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
+
+
+def by_size(vectors: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """Numbers of blocks of vectors and of queries, of at most about `BYTES`; more blocks of vectors where cores would be idle."""
+    (n, wide), (_, asked_wide) = (df.agg(F.count("x"), F.coalesce(F.sum(F.size("x").cast("long")), F.lit(0))).first() for df in (vectors, queries))
+    query_blocks = max(1, -(-asked_wide * 8 // BYTES))
+    busy = -(-GROUPS * vectors.sparkSession.sparkContext.defaultParallelism // query_blocks)
+    return max(1, -(-wide * 8 // BYTES), min(-(-n // BLOCK), busy)), query_blocks
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, kind: str,
-            search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+            search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]],
+            dealt: Callable[[DataFrame, DataFrame], tuple[int, int]] = by_count) -> DataFrame:
     """The k best (query_id, rank, vec_id, score) per query over all blocks; ties go to the smaller id.
 
     search(query ids, query vectors, ids, vectors, k) gives the matches of one block as
     (query ids, ids, scores), a query's own id left out.
     """
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    query_blocks = max(1, -(-queries.count() // QUERIES))
+    blocks, query_blocks = dealt(vectors, queries)
     at = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     here = vectors.withColumn("block", at(blocks)).withColumn("queries", every(query_blocks))

@@ -123,3 +123,57 @@ def test_cosine_of_extreme_lengths(spark):
     got = sorted(tuple(r) for r in ann.neighbours(frame(spark, rows)).collect())
     assert [g[:3] for g in got] == [(50, 1, 2), (50, 2, 1)]
     assert np.allclose([g[3] for g in got], [1.0, 0.5**0.5])
+
+
+def nodes(node):
+    return 1 + sum(nodes(c) for c in node.children)
+
+
+def test_even_points_are_not_split_to_the_last():
+    """No centre is near many points here: a node for each of them would prune nothing and cost more than the products."""
+    x = np.random.default_rng(4).normal(size=(4000, 64)) * 32
+    assert nodes(topk.cover_tree(x)) < 4000 / 16
+    assert nodes(topk.cover_tree(np.eye(3000))) < 3000 / 16
+
+
+def test_products_are_few():
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(8000, 64)) * 32)
+    best = topk.Best(x[::50], np.arange(0, 8000, 50), x, np.arange(8000), 5)
+    sizes = []
+    real = best.products
+    best.products = lambda rows, points: (sizes.append(len(rows) * len(points)), real(rows, points))[1]
+    topk.dual_search(topk.cover_tree(x[::50]), [topk.cover_tree(x)], best)
+    assert len(sizes) < 200 and sum(sizes) < 1.2 * 160 * 8000
+
+
+@pytest.mark.parametrize("shape", ["flat", "ties", "one place", "outliers"])
+def test_small_steps_are_exact(shape, monkeypatch):
+    for name, value in {"LEAF": 8, "CHILDREN": 3, "AT_ONCE": 16, "ROWS": 7, "FIRST": 9}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    x = {"flat": rng.integers(-90, 90, (500, 6)), "ties": rng.integers(0, 2, (500, 3)), "one place": np.full((500, 3), 7),
+         "outliers": rng.integers(-3, 3, (500, 4)) * 2 ** rng.integers(0, 30, (500, 1))}[shape].astype(float)
+    ids = rng.permutation(250).repeat(2)  # ids come twice and in no order
+    query_ids = ids[:60]
+    got = topk.search(query_ids, x[:60], ids, x, 5)
+    products = (x[:60] @ x.T).astype(int)
+    want = []
+    for i in range(60):
+        order = [j for j in np.lexsort((ids, -products[i])) if ids[j] != query_ids[i]][:5]
+        want += [(query_ids[i], ids[j], products[i, j]) for j in order]
+    assert list(zip(*(c.tolist() for c in got))) == want
+
+
+def test_blocks_by_size(spark, monkeypatch):
+    """Blocks grow with the table, so queries and vectors are sent to few others; several blocks of either give the same."""
+    table = read(spark, SF, "embeddings")
+    wide = spark.range(30_000).selectExpr("id as vec_id", "array_repeat(0.5d, 64) as x")
+    assert vectors.by_size(wide, wide.where("vec_id % 50 = 0")) == (15, 1)  # 15 blocks of `BLOCK`, for idle cores
+    monkeypatch.setattr(vectors, "GROUPS", 0)
+    assert vectors.by_size(wide, wide.where("vec_id % 50 = 0")) == (1, 1)
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    monkeypatch.setattr(vectors, "BYTES", 100 * 64 * 8)
+    monkeypatch.setattr(topk, "query_set", lambda usable, every: usable.where("vec_id % 2 = 0"))
+    got = {tuple(r) for r in topk.top_products(table).collect()}
+    assert len(got) == 250 * 5 and got >= set(slow(rows, product, True))
