@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.operators.scale import ranked_values
-from patronage.session import settle
+from patronage.session import settle, settle_sizeless
 
 FINE = float(1 << 28)  # fixed point of a gradient; sums stay exact over 2 ** 34 rows of a node
 BROADCAST_TENANTS = 10_000  # tenants whose trees (under a kilobyte each) go to every task; more are joined by their key
@@ -202,7 +202,7 @@ def _by_levels(state: DataFrame, model: DataFrame, small: bool, spec: Trees) ->
                 ends = F.array(*[F.struct((F.col("node") * 2 + i).alias("node"), F.col(c).alias("value")) for i, c in enumerate(("left", "right"))])
                 found.append(F.map_from_entries(F.flatten(F.collect_list(ends))).alias("leaves"))
             grown = _joined(cuts.groupBy("tenant_id").agg(*found), tree, small)
-            tree = settle(grown.select("tenant_id", F.map_concat("splits", "more").alias("splits"), *[c for c in ("leaves",) if len(found) > 1]))
+            tree = settle_sizeless(grown.select("tenant_id", F.map_concat("splits", "more").alias("splits"), *[c for c in ("leaves",) if len(found) > 1]))
         reached = _walk(F.col("x"), F.col("splits"), spec.depth)
         state = settle(_joined(state, tree, small).select(
             "tenant_id", "x", "y", (F.col("margin") + F.coalesce(F.col("leaves")[reached], F.lit(0.0))).alias("margin")))

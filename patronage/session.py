@@ -75,3 +75,14 @@ def settle(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage into the reliable checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def settle_sizeless(df: DataFrame) -> DataFrame:
+    """`settle` for a table that a loop joins to what came of it: without the size that Spark estimates.
+
+    A settled table keeps its estimate, and the estimate of a join is the product of its sides'. Where a step joins
+    the table of the step before more than once, the digits of that number double every step until it fills the driver.
+    """
+    done = settle(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
