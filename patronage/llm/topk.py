@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronage.llm.common import give_back
 from patronage.llm.vectors import by_size, nearest, prepared, query_set, valid
 
 BASE = 1.3
@@ -169,33 +170,33 @@ def _descend(q: Node, nodes: list[Node], best: Best) -> None:
         for child in q.children:
             _descend(child, below, best)
         return
-    waiting: list[np.ndarray] = []  # points that most queries of the leaf must see
-
-    def look(rows: np.ndarray, nodes: list[Node]) -> None:
-        reach = best.reach(rows, nodes)
-        wanted = reach >= best.scores[rows, -1][:, None]
-        counts = wanted.sum(axis=0)
-        for i in np.argsort(-reach.max(axis=0), kind="stable"):
-            if not counts[i]:
-                continue
-            most = 2 * counts[i] >= len(q.points)
-            some = rows if 2 * counts[i] >= len(rows) else rows[wanted[:, i]]
-            if nodes[i].children:
-                look(some, nodes[i].children)
-            elif most:
-                waiting.append(nodes[i].points)
-                if sum(map(len, waiting)) >= AT_ONCE:
-                    best.see(q.points, np.concatenate(waiting))
-                    waiting.clear()
-            else:
-                best.see(rows[wanted[:, i]], nodes[i].points)
-
-    look(q.points, kept)
+    waiting: list[np.ndarray] = []
+    _look(q.points, q.points, kept, best, waiting)
     if waiting:
         best.see(q.points, np.concatenate(waiting))
 
 
+def _look(leaf: np.ndarray, rows: np.ndarray, nodes: list[Node], best: Best, waiting: list[np.ndarray]) -> None:
+    """What some rows of a leaf of queries must see below `nodes`; points that most of the leaf must see gather in `waiting`."""
+    reach = best.reach(rows, nodes)
+    wanted = reach >= best.scores[rows, -1][:, None]
+    counts = wanted.sum(axis=0)
+    for i in np.argsort(-reach.max(axis=0), kind="stable"):
+        if not counts[i]:
+            continue
+        if nodes[i].children:
+            _look(leaf, rows if 2 * counts[i] >= len(rows) else rows[wanted[:, i]], nodes[i].children, best, waiting)
+        elif 2 * counts[i] >= len(leaf):
+            waiting.append(nodes[i].points)
+            if sum(map(len, waiting)) >= AT_ONCE:
+                best.see(leaf, np.concatenate(waiting))
+                waiting.clear()
+        else:
+            best.see(rows[wanted[:, i]], nodes[i].points)
+
+
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    give_back()  # what the blocks before left
     best = Best(queries, query_ids, vectors, ids, k)
     dual_search(cover_tree(queries), [cover_tree(vectors)], best)
     row, at = np.nonzero(best.found >= 0)
